@@ -171,10 +171,8 @@ SELECT doc_id, {_MONEY}::INT AS money_mentions,
        round({_NUMBERS}::DOUBLE/greatest(len(regexp_extract_all(text,'{P.token_pattern}')),1),6)+0.0
          AS number_density, ({_MONEY}>0)::INT AS has_specific_sum FROM documents""")
 def numeric_mentions(spark, sf):
-    m = E.numeric_mentions(F.col("text"), P)
-    return table(spark, sf, "documents").select(
-        "doc_id", m["money_mentions"].alias("money_mentions"), r6(m["number_density"]).alias("number_density"),
-        m["has_specific_sum"].alias("has_specific_sum"))
+    out = E.with_numeric_mentions(table(spark, sf, "documents").select("doc_id", "text"), "text", P)
+    return out.select("doc_id", "money_mentions", r6("number_density").alias("number_density"), "has_specific_sum")
 
 
 _COUNTS_SQL = f"""counts AS (SELECT *, len(rt)::DOUBLE AS nw,
@@ -191,16 +189,15 @@ scores AS (SELECT *, CASE WHEN nw>0 THEN round(206.835-1.015*(nw/ns)-84.6*(ny/nw
 @query("readability", f"""WITH {_WORD_SQL}, {_COUNTS_SQL}
 SELECT doc_id, f AS readability_flesch, g AS readability_fog, x AS readability_lix FROM scores""")
 def readability(spark, sf):
-    return table(spark, sf, "documents").withColumn("c", T.clean_readable("text")).select(
-        "doc_id", *[e.alias(n) for n, e in E.readability(F.col("c"), P).items()])
+    docs = table(spark, sf, "documents").select("doc_id", T.clean_readable("text").alias("c"))
+    return E.with_readability(docs, "c", P).drop("c")
 
 
 @query("readability_avg", f"""WITH {_WORD_SQL}, {_COUNTS_SQL}
 SELECT doc_id, round((f-g-x)/3.0,6)+0.0 AS readability_avg FROM scores""")
 def readability_avg(spark, sf):
-    out = table(spark, sf, "documents").withColumn("c", T.clean_readable("text")).select(
-        "doc_id", *[e.alias(n) for n, e in E.readability(F.col("c"), P).items()])
-    return E.readability_avg(out).select("doc_id", r6("readability_avg").alias("readability_avg"))
+    docs = table(spark, sf, "documents").select("doc_id", T.clean_readable("text").alias("c"))
+    return E.readability_avg(E.with_readability(docs, "c", P)).select("doc_id", r6("readability_avg").alias("readability_avg"))
 
 
 _ALL_SQL = f"""feat AS (SELECT doc_id, readable AS clean_text, {_SOCIAL} AS social_score,

@@ -35,8 +35,11 @@ def regex_replace(col, pattern: str, replacement: str) -> Column:
 
 
 def squeeze(col, space: str = SPACE) -> Column:
-    """Collapse runs of white space to one blank and strip both ends."""
-    return F.trim(regex_replace(col, f"[{space}]+", " "))
+    """Collapse runs of white space to one blank and strip both ends.
+
+    Single blanks are left alone, and printable ASCII is passed over early.
+    """
+    return F.trim(regex_replace(col, f"(?![!-~])(?:[{space}&&[^ ]][{space}]*+| [{space}]++)", " "))
 
 
 # --------------------------------------------------------------------------
@@ -138,9 +141,14 @@ def clean_model_text(col) -> Column:
     return clean_readable(col)
 
 
+def keep_only(col, letters: str) -> Column:
+    """Everything but the given characters becomes a single blank between words."""
+    return F.trim(regex_replace(col, f"(?![a-zA-Z])(?:[^{letters} ][^{letters}]*+| [^{letters}]++)", " "))
+
+
 def words_only(col) -> Column:
-    """Replace all but letters, numbers, underscores and blanks in tag-free text."""
-    return squeeze(regex_replace(col, f"[^{WORD}{SPACE}]", " "))
+    """Letters, numbers and underscores of tag-free text, single blanks between words."""
+    return keep_only(col, WORD)
 
 
 def clean_words(col) -> Column:
@@ -149,9 +157,8 @@ def clean_words(col) -> Column:
 
 
 def clean_topics(col, letters: str = RUSSIAN.letters) -> Column:
-    """Cleaning for topic models: letters only, digits dropped."""
-    text = strip_tags(html_unescape(F.coalesce(as_column(col), F.lit(""))))
-    return squeeze(regex_replace(text, f"[^{letters}{SPACE}]", " "))
+    """Cleaning for topic models: letters only, digits dropped. The set must hold a-z."""
+    return keep_only(strip_tags(html_unescape(F.coalesce(as_column(col), F.lit("")))), letters)
 
 
 # --------------------------------------------------------------------------
@@ -199,9 +206,19 @@ def count_sentences(col) -> Column:
     return count_matches(col, f"[^.!?{SPACE}][^.!?]*+")
 
 
-def case_insensitive(pattern: str) -> str:
-    """A pattern whose ``\\w`` and case folding cover every alphabet."""
-    return "(?iu)" + pattern.replace(r"\w", f"[{WORD}]")
+def any_pattern(patterns: list[str]) -> str:
+    """Alternation in list order; ``\\w`` and case folding cover every alphabet.
+
+    When every pattern starts with a letter, a look at the next character
+    skips the places where none can match.
+    """
+    body = "(?iu:" + "|".join(p.replace(r"\w", f"[{WORD}]") for p in patterns) + ")"
+    first = {p[0].lower() for p in patterns}
+    if not all(c.isalpha() for c in first):
+        return body
+    folds = {"s": "\u017f", "k": "\u212a"}
+    letters = sorted(first | {c.upper() for c in first} | {folds[c] for c in first if c in folds})
+    return f"(?=[{''.join(letters)}]){body}"
 
 
 def money_pattern(currency: list[str]) -> str:

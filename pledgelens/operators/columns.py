@@ -86,7 +86,8 @@ def is_successful(ratio) -> Column:
 
 def duration_days(start, finish) -> Column:
     """Days between two timestamps, fractions kept."""
-    return (F.unix_micros(as_column(finish)) - F.unix_micros(as_column(start))) / F.lit(86_400_000_000.0)
+    seconds = (as_column(finish) - as_column(start)).cast("interval second").cast("decimal(20,6)")
+    return seconds.cast("double") / F.lit(86_400.0)
 
 
 def text_len_chars(col) -> Column:

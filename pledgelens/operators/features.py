@@ -90,16 +90,26 @@ def share(count: Column, total: Column) -> Column:
 
 
 def gratitude_pattern(pack: LanguagePack) -> str:
-    return T.case_insensitive("|".join(pack.gratitude))
+    return T.any_pattern(pack.gratitude)
 
 
-def readability(text: Column, pack: LanguagePack = RUSSIAN) -> dict[str, Column]:
-    """Flesch, Fog and LIX of readable text; null when it holds no word."""
-    words = T.count_tokens(text, pack)
-    sentences = F.greatest(T.count_sentences(text), F.lit(1))
-    syllables = T.count_syllables(text, pack.both_case_vowels)
-    return readability_from_counts(
-        words, sentences, syllables, T.count_complex_tokens(text, pack), T.count_long_tokens(text, pack))
+def with_readability(
+    df: DataFrame, text_col: str, pack: LanguagePack = RUSSIAN, n_tokens: Column | None = None
+) -> DataFrame:
+    """Flesch, Fog and LIX of readable text; null when it holds no word.
+
+    The five counts are columns of their own, so each regex runs once per row.
+    ``n_tokens`` saves one of them when the caller has counted already.
+    """
+    counted = df.withColumns({
+        "__words": T.count_tokens(text_col, pack) if n_tokens is None else n_tokens,
+        "__sents": F.greatest(T.count_sentences(text_col), F.lit(1)),
+        "__syll": T.count_syllables(text_col, pack.both_case_vowels),
+        "__complex": T.count_complex_tokens(text_col, pack),
+        "__long": T.count_long_tokens(text_col, pack),
+    })
+    scores = readability_from_counts(*(F.col(c) for c in ("__words", "__sents", "__syll", "__complex", "__long")))
+    return counted.withColumns(scores).drop("__words", "__sents", "__syll", "__complex", "__long")
 
 
 def readability_from_counts(
@@ -121,15 +131,27 @@ def readability_avg(df: DataFrame) -> DataFrame:
         (F.col("readability_flesch") - F.col("readability_fog") - F.col("readability_lix")) / F.lit(3.0))
 
 
-def numeric_mentions(raw: Column, pack: LanguagePack = RUSSIAN) -> dict[str, Column]:
-    """Sums of money and numbers in the raw text, tags included."""
-    money = T.count_matches(raw, T.money_pattern(pack.currency))
-    tokens = F.greatest(T.count_tokens(raw, pack), F.lit(1))
-    return {
-        "money_mentions": money,
-        "number_density": T.count_matches(raw, T.NUMBER_PATTERN) / tokens,
-        "has_specific_sum": (money > 0).cast("int"),
-    }
+def with_numeric_mentions(
+    df: DataFrame, raw_col: str, pack: LanguagePack = RUSSIAN, n_tokens: Column | None = None
+) -> DataFrame:
+    """Sums of money and numbers in the raw text, tags included.
+
+    ``n_tokens`` is the token count of the cleaned text, reused for texts that
+    hold no tag and no entity.
+    """
+    tokens = T.count_tokens(raw_col, pack)
+    if n_tokens is not None:
+        marked = F.contains(F.col(raw_col), F.lit("<")) | F.contains(F.col(raw_col), F.lit("&"))
+        tokens = F.when(marked, tokens).otherwise(n_tokens)
+    counted = df.withColumns({
+        "money_mentions": T.count_matches(raw_col, T.money_pattern(pack.currency)),
+        "__numbers": T.count_matches(raw_col, T.NUMBER_PATTERN),
+        "__tokens": tokens,
+    })
+    return counted.withColumns({
+        "number_density": F.col("__numbers") / F.greatest(F.col("__tokens"), F.lit(1)),
+        "has_specific_sum": (F.col("money_mentions") > 0).cast("int"),
+    }).drop("__numbers", "__tokens")
 
 
 def legacy_we_ratio(df: DataFrame) -> DataFrame:
@@ -142,7 +164,8 @@ def legacy_we_ratio(df: DataFrame) -> DataFrame:
 # Operators
 # --------------------------------------------------------------------------
 def with_lexicon_features(
-    df: DataFrame, words_col: str, pack: LanguagePack = RUSSIAN, forms: DataFrame | None = None
+    df: DataFrame, words_col: str, pack: LanguagePack = RUSSIAN, forms: DataFrame | None = None,
+    n_tokens: Column | None = None,
 ) -> DataFrame:
     """Social, gratitude, pronoun and certainty features of cleaned words."""
     social = forms_reaching(pack.social, forms)
@@ -150,40 +173,40 @@ def with_lexicon_features(
     uncertain = forms_reaching(pack.uncertainty, forms)
     every = sorted({*social, *certain, *uncertain, *pack.we_forms, *pack.i_forms})
     counted = (
-        df.withColumn("__n", T.count_tokens(F.col(words_col), pack))
+        df.withColumn("__n", T.count_tokens(words_col, pack) if n_tokens is None else n_tokens)
         .withColumn("__g", T.count_matches(F.col(words_col), gratitude_pattern(pack)))
         # One scan of the tokens keeps the few that any list knows.
         .withColumn("__hits", F.filter(
-            T.tokenize(F.lower(words_col), pack.token_pattern), lambda t: t.isin(every)))
+            F.transform(T.tokenize(words_col, pack.token_pattern), F.lower), lambda t: t.isin(every)))
     )
-    we, i = hits_in(F.col("__hits"), pack.we_forms), hits_in(F.col("__hits"), pack.i_forms)
-    n = F.col("__n")
+    lists = {"__social": social, "we_count": pack.we_forms, "i_count": pack.i_forms,
+             "__certain": certain, "__uncertain": uncertain}
+    counted = counted.withColumns({name: hits_in(F.col("__hits"), terms) for name, terms in lists.items()})
+    n, we, i = F.col("__n"), F.col("we_count"), F.col("i_count")
     return counted.withColumns({
-        "social_score": share(hits_in(F.col("__hits"), social), n),
+        "social_score": share(F.col("__social"), n),
         "gratitude_score": F.col("__g") / F.greatest(n, F.lit(1)),
         "has_gratitude": (F.col("__g") > 0).cast("int"),
-        "we_count": we,
-        "i_count": i,
         "we_ratio": share(we, n),
         "i_ratio": share(i, n),
         "we_vs_i": we / (i + 1),
-        "certainty_score": share(hits_in(F.col("__hits"), certain), n),
-        "uncertainty_score": share(hits_in(F.col("__hits"), uncertain), n),
-    }).drop("__n", "__g", "__hits")
+        "certainty_score": share(F.col("__certain"), n),
+        "uncertainty_score": share(F.col("__uncertain"), n),
+    }).drop("__n", "__g", "__hits", "__social", "__certain", "__uncertain")
 
 
 def extract_text_features(
     df: DataFrame, text_col: str, pack: LanguagePack = RUSSIAN, forms: DataFrame | None = None
 ) -> DataFrame:
     """Append ``clean_text`` and every column of ``TEXT_FEATURES``."""
-    cleaned = (
-        df.withColumn("clean_text", T.clean_readable(text_col))
-        .withColumn("__words", T.words_only("clean_text"))
-    )
-    featured = with_lexicon_features(cleaned, "__words", pack, forms).drop("__words")
-    featured = featured.withColumns(
-        numeric_mentions(F.col(text_col), pack) | readability(F.col("clean_text"), pack))
-    return readability_avg(featured)
+    # Cleaning keeps every letter, so one token count serves all features.
+    cleaned = df.withColumn("clean_text", T.clean_readable(text_col)).withColumns({
+        "__words_only": T.words_only("clean_text"), "__tokens_all": T.count_tokens("clean_text", pack)})
+    n = F.col("__tokens_all")
+    out = with_lexicon_features(cleaned, "__words_only", pack, forms, n)
+    out = with_numeric_mentions(out, text_col, pack, n)
+    out = with_readability(out, "clean_text", pack, n)
+    return readability_avg(out).drop("__words_only", "__tokens_all")
 
 
 def score_sentences(

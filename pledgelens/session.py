@@ -18,6 +18,7 @@ def local_session(cores: int = 8, app_name: str = "pledgelens") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PLEDGELENS_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
