@@ -29,6 +29,11 @@ def as_column(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def bind(col: Column, fn) -> Column:
+    """``fn(col)`` with ``col`` evaluated once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(col), fn), F.lit(0))
+
+
 def regex_replace(col, pattern: str, replacement: str) -> Column:
     """``regexp_replace`` with a literal pattern and replacement."""
     return F.regexp_replace(as_column(col), F.lit(pattern), F.lit(replacement))
@@ -116,12 +121,15 @@ def _decode_entity(entity: Column) -> Column:
 
 def html_unescape(col) -> Column:
     """Decode named and numeric HTML references once, left to right."""
-    text = as_column(col)
-    pieces = F.split(text, _ENTITY, -1)
-    entities = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
-    joined = F.array_join(
-        F.zip_with(pieces, entities, lambda p, e: F.concat(p, F.coalesce(_decode_entity(e), F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+    def decode(text: Column) -> Column:
+        pieces = F.split(text, _ENTITY, -1)
+        entities = F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+        joined = F.array_join(
+            F.zip_with(pieces, entities, lambda p, e: F.concat(p, F.coalesce(_decode_entity(e), F.lit("")))), "")
+        return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+    return bind(as_column(col), decode)
 
 
 # --------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_column, regex_replace
+from .text import as_column, bind, regex_replace
 
 #: Inside of a character class: white space by browser rules.
 PAGE_SPACE = (
@@ -29,12 +29,17 @@ VIDEO_HOSTS = [r"youtube\.com", r"youtu\.be", r"vimeo\.com", r"rutube\.ru", "vkv
 # ---------------------------------------------------------------------------
 
 
+_PAGE_SPACE_CHARS = "".join(map(chr, [
+    *range(0x9, 0xE), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def page_trim(col) -> Column:
-    return regex_replace(col, f"^[{PAGE_SPACE}]+|[{PAGE_SPACE}]+$", "")
+    return F.btrim(as_column(col), F.lit(_PAGE_SPACE_CHARS))
 
 
 def squeeze_page(col) -> Column:
-    return F.trim(regex_replace(col, f"[{PAGE_SPACE}&&[^ ]][{PAGE_SPACE}]*+| [{PAGE_SPACE}]++", " "))
+    return F.trim(regex_replace(
+        col, f"(?![!-~])(?:[{PAGE_SPACE}&&[^ ]][{PAGE_SPACE}]*+| [{PAGE_SPACE}]++)", " "))
 
 
 def clean_ws(col) -> Column:
@@ -152,16 +157,21 @@ def normalize_all(urls, base=None) -> Column:
 
 def extract_urls(text, base=None, attributes: list[str] = URL_ATTRIBUTES, protocol_relative: bool = True) -> Column:
     """Links in attributes, bare links and, optionally, ``//host`` links."""
-    text = F.coalesce(as_column(text), F.lit(""))
     stop = f"[^{PAGE_SPACE}\"'<>]"
-    found = [
-        F.regexp_extract_all(text, F.lit(
-            rf"(?i)(?:{'|'.join(attributes)})[{PAGE_SPACE}]*=[{PAGE_SPACE}]*[\"']([^\"']+)[\"']"), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(rf"(?i)\bhttps?://{stop}+"), F.lit(0)),
-    ]
-    if protocol_relative:
-        found.append(F.regexp_extract_all(text, F.lit(rf"(?<=[\"'{PAGE_SPACE}(])//{stop}+"), F.lit(0)))
-    return normalize_all(F.concat(*found), base)
+    # A look at the first letter keeps the scan cheap where no attribute starts.
+    first = "".join(sorted({c for a in attributes for c in (a[0].lower(), a[0].upper())}))
+    in_tags = (rf"(?=[{first}])(?i:{'|'.join(attributes)})[{PAGE_SPACE}]*=[{PAGE_SPACE}]*[\"']([^\"']+)[\"']")
+
+    def find(t: Column) -> Column:
+        found = [
+            F.regexp_extract_all(t, F.lit(in_tags), F.lit(1)),
+            F.regexp_extract_all(t, F.lit(rf"(?=[hH])\b(?i:https?)://{stop}+"), F.lit(0)),
+        ]
+        if protocol_relative:
+            found.append(F.regexp_extract_all(t, F.lit(rf"//(?<=[\"'{PAGE_SPACE}(]//){stop}+"), F.lit(0)))
+        return F.concat(*found)
+
+    return normalize_all(bind(F.coalesce(as_column(text), F.lit("")), find), base)
 
 
 def is_image_url(url: Column, encoded: bool = True) -> Column:
@@ -178,13 +188,14 @@ def is_video_url(url: Column, extra_hosts: list[str] = ()) -> Column:
 
 def classify_urls(urls, encoded: bool = True, extra_hosts: list[str] = ()) -> Column:
     """``struct<imageUrls, videoUrls, otherUrls>``; the first kind that fits wins."""
-    urls = F.array_distinct(as_column(urls))
-    image = lambda u: is_image_url(u, encoded)
-    video = lambda u: ~is_image_url(u, encoded) & is_video_url(u, extra_hosts)
-    return F.struct(
-        F.filter(urls, image).alias("imageUrls"),
-        F.filter(urls, video).alias("videoUrls"),
-        F.filter(urls, lambda u: ~is_image_url(u, encoded) & ~is_video_url(u, extra_hosts)).alias("otherUrls"))
+
+    def kinds(urls: Column) -> Column:
+        return F.struct(
+            F.filter(urls, lambda u: is_image_url(u, encoded)).alias("imageUrls"),
+            F.filter(urls, lambda u: ~is_image_url(u, encoded) & is_video_url(u, extra_hosts)).alias("videoUrls"),
+            F.filter(urls, lambda u: ~is_image_url(u, encoded) & ~is_video_url(u, extra_hosts)).alias("otherUrls"))
+
+    return bind(F.array_distinct(as_column(urls)), kinds)
 
 
 def collect_url_strings(json, base=None) -> Column:

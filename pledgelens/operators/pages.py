@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.text import as_column, html_unescape
+from ..functions.text import as_column, bind, html_unescape
 from .lookup import lookup_join
 
 # ---------------------------------------------------------------------------
@@ -95,9 +95,13 @@ def _struct_of(fields: dict[str, Column]) -> Column:
 def _attribute(tag_pattern: str, html: Column, attribute: str) -> Column:
     """First value of an attribute on the first tag that fits, entities decoded."""
     opened = F.regexp_extract(html, f"(?is)<{tag_pattern}[^>]*>", 0)
-    double = F.regexp_extract(opened, rf'(?is)\s{attribute}\s*=\s*"([^"]*)"', 1)
-    single = F.regexp_extract(opened, rf"(?is)\s{attribute}\s*=\s*'([^']*)'", 1)
-    return html_unescape(F.coalesce(_or_null(double), _or_null(single)))
+
+    def value(tag: Column) -> Column:
+        double = F.regexp_extract(tag, rf'(?is)\s{attribute}\s*=\s*"([^"]*)"', 1)
+        single = F.regexp_extract(tag, rf"(?is)\s{attribute}\s*=\s*'([^']*)'", 1)
+        return F.when(tag != "", F.coalesce(_or_null(double), _or_null(single)))
+
+    return html_unescape(bind(opened, value))
 
 
 def meta_content(html, kind: str, name: str) -> Column:
@@ -168,11 +172,11 @@ def tab_counts_by_label(html, labels: dict[str, str] = TAB_LABELS) -> Column:
     texts = F.transform(F.regexp_extract_all(as_column(html), F.lit(r">([^<>]+)<"), F.lit(1)), U.page_trim)
     nodes = F.slice(F.filter(texts, lambda t: (F.length(t) > 0) & (F.length(t) < TAB_TEXT_LIMIT)), 1, TAB_NODE_LIMIT)
 
-    def count(pattern: str) -> Column:
+    def count(nodes: Column, pattern: str) -> Column:
         hits = F.filter(nodes, lambda t: t.rlike(pattern))
         return F.regexp_extract(F.get(hits, F.lit(0)), pattern, 1).try_cast("double")
 
-    return _struct_of({name: count(pattern) for name, pattern in labels.items()})
+    return bind(nodes, lambda n: _struct_of({name: count(n, pattern) for name, pattern in labels.items()}))
 
 
 def tab_counts_by_link(html, links: dict[str, str] = TAB_LINKS) -> Column:
@@ -202,7 +206,10 @@ def extract_state_json(html, marker: str = STATE_MARKER) -> Column:
 
 def find_blocks(state) -> Column:
     """The first state value shaped like a campaign, a description, rewards and counters."""
-    values = F.filter(F.map_values(as_column(state)), lambda v: v.startswith("{"))
+    return bind(F.filter(F.map_values(as_column(state)), lambda v: v.startswith("{")), _first_blocks)
+
+
+def _first_blocks(values: Column) -> Column:
 
     def kind(value: Column, path: str) -> Column:
         return F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), path, "variant")), F.lit(""))
@@ -313,7 +320,8 @@ def build_records(df: DataFrame, html_col: str, url_col: str, scraped_at: Column
     """Nested records from pages with an embedded state; pages without a campaign become error rows."""
     base = F.col(url_col)
     staged = page_meta(df.select(html_col, url_col), html_col, url_col)
-    staged = staged.withColumn("b", find_blocks(extract_state_json(html_col))).withColumns({
+    staged = staged.withColumn("state", extract_state_json(html_col)).withColumn(
+        "b", find_blocks("state")).withColumns({
         "tabs": tab_counts_by_label(html_col),
         "c": F.col("b.campaign"), "d": F.col("b.descriptionBlock"),
         "r": F.col("b.rewardsBlock"), "k": F.col("b.countersBlock"),
