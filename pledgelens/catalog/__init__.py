@@ -1,6 +1,6 @@
 """Runnable queries over the shared test tables, one per operator."""
 
-from . import pages, tables, text  # noqa: F401
+from . import modeling, pages, tables, terms, text  # noqa: F401
 from .base import QUERIES, SQL
 
 
