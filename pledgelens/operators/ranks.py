@@ -7,8 +7,9 @@ range is ordered on its own and shifted by the total of the ranges before it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 #: Distinct-value groups up to this many rows are ordered in one task.
 SINGLE_RANGE_ROWS = 500_000
@@ -36,7 +37,7 @@ def _range_bounds(long: DataFrame, keys: list[str], value: str) -> DataFrame | N
     rows = stats.collect()
     if not rows or max(r["n"] for r in rows) <= SINGLE_RANGE_ROWS:
         return None
-    schema = long.select(*keys).schema.add("limits", "array<double>")
+    schema = long.select(*keys).schema.add("limits", t.ArrayType(t.DoubleType()))
     data = [tuple(r[k] for k in keys) + (sorted(set(float(x) for x in r["limits"])),) for r in rows]
     return long.sparkSession.createDataFrame(data, schema)
 
