@@ -159,9 +159,14 @@ def number_or_null(spark, sf):
 # --------------------------------------------------------------------------
 # Pages with an embedded state, rendered from orders
 # --------------------------------------------------------------------------
+def spread(spark, orders):
+    """The narrow order rows over all cores, before they become wide pages."""
+    return orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+
+
 def state_pages(spark, sf):
     """One page per order: campaign, description, rewards and counters as embedded JSON."""
-    o = table(spark, sf, "orders").join(
+    o = spread(spark, table(spark, sf, "orders")).join(
         table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
     campaign = F.struct(
@@ -295,7 +300,7 @@ def reward_table(spark, sf):
 # Pages of the second family, rendered from orders
 # --------------------------------------------------------------------------
 def shop_pages(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread(spark, table(spark, sf, "orders"))
     key = F.col("o_orderkey")
     price = F.col("o_totalprice").cast("bigint").cast("string")
     html = F.concat(

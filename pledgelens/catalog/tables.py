@@ -6,13 +6,15 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ..functions.lexicons import WESTERN
 from ..operators import columns as C
 from ..operators import compare as K
+from ..operators import features as E
 from ..operators import profile as H
 from ..operators import ranks as R
 from ..operators import scaling as S
 from .base import query, r6, table
-from .text import FEATURE_CTE, feature_table
+from .text import FEATURE_CTE, feature_table, rounded_features
 
 # --------------------------------------------------------------------------
 # Campaign-like base tables. Orders play campaigns: the price is the money
@@ -475,8 +477,10 @@ tl AS ({union_sql("SELECT '{c}' AS feature, {c}::DOUBLE AS value, y FROM lab WHE
 
 
 def labeled_features(spark, sf):
+    """Features of the labelled documents; the join comes first, so others cost nothing."""
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("y"))
-    return feature_table(spark, sf).join(labels, "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return rounded_features(E.extract_text_features(docs, "text", WESTERN), "doc_id", "y")
 
 
 @query("class_location", f"""WITH {_LABELED}

@@ -219,7 +219,11 @@ INT_FEATURES = {"has_gratitude", "we_count", "i_count", "money_mentions", "has_s
 def feature_table(spark, sf):
     """All text features of the documents, rounded for comparison."""
     out = E.extract_text_features(table(spark, sf, "documents"), "text", P)
-    return out.select("doc_id", "clean_text", *[
+    return rounded_features(out, "doc_id", "clean_text")
+
+
+def rounded_features(df, *keep):
+    return df.select(*keep, *[
         F.col(c).cast("int").alias(c) if c in INT_FEATURES else r6(c).alias(c) for c in E.TEXT_FEATURES])
 
 

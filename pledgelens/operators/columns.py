@@ -8,7 +8,7 @@ from pyspark.sql import types as t
 
 from ..functions.text import SPACE, as_column
 from . import ranks as R
-from .lookup import fits_broadcast
+from .lookup import lookup_join
 
 NUMERIC = (t.NumericType,)
 
@@ -115,8 +115,7 @@ def array_counts(df: DataFrame, arrays: dict[str, str]) -> DataFrame:
 def category_grouped(df: DataFrame, tag_col: str, mapping: DataFrame, default: str = "Other") -> DataFrame:
     """Coarse category from a ``(tag, category)`` table; unknown tags get ``default``."""
     table = mapping.select(F.col("tag").alias(tag_col), F.col("category").alias("category_grouped"))
-    side = F.broadcast(table) if fits_broadcast(table) else table
-    return df.join(side, tag_col, "left").withColumn(
+    return lookup_join(df, table, [tag_col], "left").withColumn(
         "category_grouped", F.coalesce("category_grouped", F.lit(default)))
 
 
@@ -312,7 +311,7 @@ def quantile_codes(df: DataFrame, col: str, q: int = 4, name: str | None = None)
     """
     name = name or f"{col}_bin"
     long = R.melt_numeric(df, [col])
-    cum = R.cumulate(long, ["feature"])
+    cum = R.cumulate(long, ["feature"], max_rows=df.count())
     first = cum.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("d")).first()
     q = min(q, first["d"] or 0)
     if q < 1:

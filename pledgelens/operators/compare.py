@@ -19,7 +19,7 @@ def class_counts(df: DataFrame, features: list[str], y: str) -> DataFrame:
     long = R.melt_numeric(df.where(F.col(y).isin(0, 1)), features, [y])
     return R.cumulate(long, ["feature"], "value", {
         "n": F.count(F.lit(1)), "n1": F.count_if(F.col(y) == 1), "n0": F.count_if(F.col(y) == 0),
-        "s": F.sum("value")})
+        "s": F.sum("value")}, max_rows=df.count())
 
 
 def _class_median(side: str) -> list[Column]:

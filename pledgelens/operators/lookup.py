@@ -19,12 +19,26 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def checked_lookup(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """The table and whether it may be broadcast.
+
+    A table that fits stays cached, so checking its size does not mean computing
+    it twice; a larger one is released.
+    """
+    held = lookup.persist()
+    if fits_broadcast(held, max_rows):
+        return held, True
+    held.unpersist()
+    return lookup, False
+
+
 def lookup_join(
     big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Join with a lookup table, broadcast only when its row count is checked."""
-    if fits_broadcast(lookup, max_rows):
-        return big.join(F.broadcast(lookup), on, how)
+    side, small = checked_lookup(lookup, max_rows)
+    if small:
+        return big.join(F.broadcast(side), on, how)
     return hot_key_join(big, lookup, on, how)
 
 

@@ -121,12 +121,12 @@ def compare_models(
 ) -> DataFrame:
     """``(set, model, ROC_AUC, PR_AUC, F1, Precision, Recall)`` by out-of-fold scores."""
     sets, models = sets or feature_sets(df), models or model_zoo()
-    out = None
+    n, out = df.count(), None
     for set_name, features in sets.items():
         for model_name, spec in models.items():
             cat = category if set_name[:1] in ("A", "C") else None
             scored = oof_predict(df, id_col, y, features, spec, k, seed, fold_prepare(features, cat))
-            row = M.binary_metrics(scored, y).select(
+            row = M.binary_metrics(scored, y, max_rows=n).select(
                 F.lit(set_name).alias("set"), F.lit(model_name).alias("model"),
                 "ROC_AUC", "PR_AUC", "F1", "Precision", "Recall")
             out = row if out is None else out.unionByName(row)
@@ -139,9 +139,11 @@ def ablation(
 ) -> DataFrame:
     """Change of ROC-AUC when a group of features is left out."""
 
+    n = df.count()
+
     def auc(names: list[str], label: str) -> DataFrame:
         scored = oof_predict(df, id_col, y, names, spec, k, seed)
-        return M.ranking_metrics(scored, y, "probability").select(F.lit(label).alias("removed"), F.col("ROC_AUC").alias("AUC"))
+        return M.ranking_metrics(scored, y, "probability", max_rows=n).select(F.lit(label).alias("removed"), F.col("ROC_AUC").alias("AUC"))
 
     base = auc(features, "none").select(F.col("AUC").alias("__base"))
     out = None
@@ -170,7 +172,8 @@ def permutation_importance(
     """
     features = fitted.features
     rows = to_matrix(df, features, [id_col, y])
-    base = M.ranking_metrics(fitted.predict(rows), y, "probability").first()["ROC_AUC"]
+    n = rows.count()
+    base = M.ranking_metrics(fitted.predict(rows), y, "probability", max_rows=n).first()["ROC_AUC"]
     one = rows.withColumn("__all", F.lit(1))
     numbered = R.shuffled_row_number(one, id_col, ["__all"], seed, "__rn")
     shuffled = None
@@ -185,7 +188,7 @@ def permutation_importance(
         part = pairs.select(F.col(y), F.lit(r).alias("repeat"), F.inline(changed))
         shuffled = part if shuffled is None else shuffled.unionByName(part)
     scored = fitted.predict(shuffled).select(y, "feature", "repeat", "probability")
-    drops = M.ranking_metrics(scored, y, "probability", ["feature", "repeat"]).withColumn(
+    drops = M.ranking_metrics(scored, y, "probability", ["feature", "repeat"], n).withColumn(
         "drop", F.lit(base) - F.col("ROC_AUC"))
     return drops.groupBy("feature").agg(
         F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std")
@@ -260,7 +263,7 @@ def learning_curve(
                     F.lit(side).alias("side"), F.lit(size).alias("share"), F.lit(fold).alias("fold"),
                     F.lit(rows).alias("n_train"), F.col(y).alias("y"), "probability")
                 scored = s if scored is None else scored.unionByName(s)
-    aucs = M.ranking_metrics(scored, "y", "probability", ["side", "share", "fold", "n_train"])
+    aucs = M.ranking_metrics(scored, "y", "probability", ["side", "share", "fold", "n_train"], n)
 
     def at(side: str, fn) -> Column:
         return fn(F.when(F.col("side") == side, F.col("ROC_AUC")))

@@ -45,7 +45,7 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None) -> DataFra
     basics = long.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    quart = R.quantiles(R.cumulate(long, ["feature"]), ["feature"], {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    quart = R.quantiles(R.cumulate(long, ["feature"], max_rows=df.count()), ["feature"], {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     joined = basics.join(F.broadcast(quart), "feature")
     return joined.select("feature", "count", *[
         F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
@@ -128,7 +128,7 @@ def box_stats(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFram
     keys = [*by, "feature"]
     if by:
         class_sizes(df, by)
-    cum = R.cumulate(R.melt_numeric(df, columns, by), keys)
+    cum = R.cumulate(R.melt_numeric(df, columns, by), keys, max_rows=df.count())
     quart = R.quantiles(cum, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     joined = cum.join(F.broadcast(quart), keys)
     reach = (F.col("q3") - F.col("q1")) * 1.5
@@ -165,23 +165,56 @@ def _pair_cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         .groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n")))
 
 
-def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``(a, b, r)``: rank correlation with average ranks of the complete rows."""
-    cells = _pair_cells(df, pairs)
-
-    def ranked(side: str) -> DataFrame:
-        cum = R.cumulate(cells, ["a", "b"], side, {"n": F.sum("n")})
-        return R.average_ranks(cum).select("a", "b", side, F.col("rank").alias(f"r{side}"))
-
-    joined = lookup_join(cells, ranked("x"), ["a", "b", "x"], "inner")
-    joined = lookup_join(joined, ranked("y"), ["a", "b", "y"], "inner")
+def _rank_products(cells: DataFrame, left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str]) -> DataFrame:
+    """``(a, b, r)`` from joint counts and the ranks of both sides."""
+    joined = lookup_join(cells, left, lkeys, "inner")
+    joined = lookup_join(joined, right, rkeys, "inner")
     n = F.sum("n").cast("double")
     sx, sy = F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
     sxy = F.sum(F.col("n") * F.col("rx") * F.col("ry"))
     sxx, syy = F.sum(F.col("n") * F.col("rx") * F.col("rx")), F.sum(F.col("n") * F.col("ry") * F.col("ry"))
-    cov = n * sxy - sx * sy
     scale = F.sqrt(n * sxx - sx * sx) * F.sqrt(n * syy - sy * sy)
-    return joined.groupBy("a", "b").agg(F.try_divide(cov, scale).alias("r"))
+    return joined.groupBy("a", "b").agg(F.try_divide(n * sxy - sx * sy, scale).alias("r"))
+
+
+def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``(a, b, r)``: rank correlation with average ranks of the complete rows.
+
+    Columns without missing values are ranked once for all their pairs; other
+    pairs rank their own complete rows. One number per pair comes back, so the
+    result is computed at once and the shared counts are released.
+    """
+    columns = sorted({c for pair in pairs for c in pair})
+    wide = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns]).persist()
+    found = []
+    try:
+        filled = wide.agg(F.count(F.lit(1)).alias("__n"), *[F.count(c).alias(c) for c in columns]).first()
+        n_rows = filled["__n"]
+        full = {c for c in columns if filled[c] == n_rows}
+        whole = [p for p in pairs if set(p) <= full]
+        partial = [p for p in pairs if not set(p) <= full]
+        if whole:
+            used = sorted({c for p in whole for c in p})
+            ranks = R.average_ranks(R.cumulate(R.melt_numeric(wide, used), ["feature"], max_rows=n_rows)).select(
+                "feature", "value", "rank").persist()
+            cells = _pair_cells(wide, whole)
+            left = ranks.select(F.col("feature").alias("a"), F.col("value").alias("x"), F.col("rank").alias("rx"))
+            right = ranks.select(F.col("feature").alias("b"), F.col("value").alias("y"), F.col("rank").alias("ry"))
+            found += _rank_products(cells, left, right, ["a", "x"], ["b", "y"]).collect()
+            ranks.unpersist()
+        if partial:
+            cells = _pair_cells(wide, partial).persist()
+
+            def ranked(side: str) -> DataFrame:
+                cum = R.cumulate(cells, ["a", "b"], side, {"n": F.sum("n")}, max_rows=n_rows)
+                return R.average_ranks(cum).select("a", "b", side, F.col("rank").alias(f"r{side}"))
+
+            found += _rank_products(cells, ranked("x"), ranked("y"), ["a", "b", "x"], ["a", "b", "y"]).collect()
+            cells.unpersist()
+    finally:
+        wide.unpersist()
+    rows = [(r["a"], r["b"], r["r"]) for r in found]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def corr_matrix(df: DataFrame, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
@@ -221,7 +254,7 @@ def group_stats(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     class_sizes(df, y)
     basics = long.groupBy(*keys).agg(
         F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.count("value").alias("count"))
-    medians = R.quantiles(R.cumulate(long, keys), keys, {"median": 0.5})
+    medians = R.quantiles(R.cumulate(long, keys, max_rows=df.count()), keys, {"median": 0.5})
     return basics.join(F.broadcast(medians), keys).select(*keys, "mean", "median", "std", "count")
 
 

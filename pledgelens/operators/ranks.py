@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from ..functions import text as T
+
 #: Distinct-value groups up to this many rows are ordered in one task.
 SINGLE_RANGE_ROWS = 500_000
 #: Value ranges per group beyond that.
@@ -24,6 +26,10 @@ def melt_numeric(df: DataFrame, columns: list[str], ids: list[str] = ()) -> Data
     return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+#: Limits per chunk of the two-step range search.
+CHUNK = 14
+
+
 def _range_bounds(long: DataFrame, keys: list[str], value: str) -> DataFrame | None:
     """Inner range limits per group, or None when every group is small.
 
@@ -33,27 +39,41 @@ def _range_bounds(long: DataFrame, keys: list[str], value: str) -> DataFrame | N
     """
     fractions = [i / RANGES for i in range(1, RANGES)]
     stats = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, fractions, 2000).alias("limits"))
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, fractions, 1000).alias("limits"))
     rows = stats.collect()
     if not rows or max(r["n"] for r in rows) <= SINGLE_RANGE_ROWS:
         return None
-    schema = long.select(*keys).schema.add("limits", t.ArrayType(t.DoubleType()))
-    data = [tuple(r[k] for k in keys) + (sorted(set(float(x) for x in r["limits"])),) for r in rows]
+    doubles = t.ArrayType(t.DoubleType())
+    schema = long.select(*keys).schema.add("heads", doubles).add("chunks", t.ArrayType(doubles))
+    data = []
+    for r in rows:
+        limits = sorted({float(x) for x in r["limits"]})
+        chunks = [limits[i: i + CHUNK] for i in range(0, len(limits), CHUNK)]
+        heads = [c[-1] for c in chunks if len(c) == CHUNK]
+        data.append(tuple(r[k] for k in keys) + (heads, chunks))
     return long.sparkSession.createDataFrame(data, schema)
 
 
+def _range_of(value: Column) -> Column:
+    """Number of limits below the value: full chunks first, then inside one chunk."""
+    whole = F.size(F.filter("heads", lambda limit: limit < value))
+    return T.bind(whole, lambda w: w * CHUNK + F.coalesce(
+        F.size(F.filter(F.get("chunks", w), lambda limit: limit < value)), F.lit(0)))
+
+
 def cumulate(
     long: DataFrame, keys: list[str], value: str = "value", measures: dict[str, Column] | None = None,
-    bounds: DataFrame | None | str = "auto",
+    max_rows: int | None = None,
 ) -> DataFrame:
     """Distinct values per group with each measure's sum, running sum and total.
 
-    Returns ``keys, value`` and for every measure ``m``: ``m`` (at the value),
+    ``max_rows`` is a known upper limit of a group's rows; a small one saves the
+    pass that looks for range limits. Returns ``keys, value`` and for every measure ``m``: ``m`` (at the value),
     ``m_before`` (over smaller values) and ``m_total`` (over the group).
     """
     measures = measures or {"n": F.count(F.lit(1))}
-    if isinstance(bounds, str):
-        bounds = _range_bounds(long, keys, value)
+    small = max_rows is not None and max_rows <= SINGLE_RANGE_ROWS
+    bounds = None if small else _range_bounds(long, keys, value)
     counts = long.groupBy(*keys, value).agg(*[expr.alias(m) for m, expr in measures.items()])
     if bounds is None:
         running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -63,7 +83,7 @@ def cumulate(
             *[F.coalesce(F.sum(m).over(running), F.lit(0)).alias(f"{m}_before") for m in measures],
             *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures])
     ranged = counts.join(F.broadcast(bounds), keys).withColumn(
-        "__range", F.size(F.filter("limits", lambda limit: limit < F.col(value)))).drop("limits")
+        "__range", _range_of(F.col(value))).drop("heads", "chunks")
     totals = ranged.groupBy(*keys, "__range").agg(*[F.sum(m).alias(f"__{m}") for m in measures])
     over_ranges = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

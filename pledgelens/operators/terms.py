@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import RUSSIAN, LanguagePack
 from .features import explode_tokens, lemma_tokens
-from .lookup import fits_broadcast, hot_key_join
+from .lookup import lookup_join
 
 
 # --------------------------------------------------------------------------
@@ -65,13 +65,15 @@ def empty_text_count(df: DataFrame, terms_col: str = "terms") -> DataFrame:
 def ngrams(terms: Column | str, longest: int = 2, shortest_word: int = 2) -> Column:
     """One- to ``longest``-word runs over words of at least ``shortest_word`` characters."""
 
-    def windows(words: Column, n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-
     def runs(words: Column) -> Column:
-        return F.concat(words, *[windows(words, n) for n in range(2, longest + 1)])
+        found = [words]
+        for n in range(2, longest + 1):
+            # Append each run's next word; the two slices have the same length.
+            count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+            found.append(F.zip_with(
+                F.slice(found[-1], F.lit(1), count), F.slice(words, F.lit(n), count),
+                lambda run, word: F.concat(run, F.lit(" "), word)))
+        return F.concat(*found)
 
     return T.bind(F.filter(T.as_column(terms), lambda w: F.length(w) >= shortest_word), runs)
 
@@ -101,10 +103,7 @@ def bag_of_words(bags: DataFrame, vocab: DataFrame) -> DataFrame:
 
     The vocabulary is broadcast only if its checked size allows it.
     """
-    terms = vocab.select("term")
-    if fits_broadcast(terms):
-        return bags.join(F.broadcast(terms), "term", "left_semi")
-    return hot_key_join(bags, terms, ["term"], "left_semi")
+    return lookup_join(bags, vocab.select("term"), ["term"], "left_semi")
 
 
 def tfidf(
@@ -133,9 +132,8 @@ def tfidf(
 def max_abs_scale(weights: DataFrame, term_col: str = "term", weight_col: str = "weight") -> DataFrame:
     """Divide by the largest absolute weight of the term."""
     top = weights.groupBy(term_col).agg(F.max(F.abs(weight_col)).alias("__m"))
-    side = F.broadcast(top) if fits_broadcast(top) else top
     scaled = F.when(F.col("__m") == 0, F.col(weight_col)).otherwise(F.col(weight_col) / F.col("__m"))
-    return weights.join(side, term_col).withColumn("scaled", scaled).drop("__m")
+    return lookup_join(weights, top, [term_col], "inner").withColumn("scaled", scaled).drop("__m")
 
 
 # --------------------------------------------------------------------------

@@ -24,7 +24,7 @@ def skewed(spark):
 
 def test_ranges_change_nothing(spark, skewed, monkeypatch):
     long = R.melt_numeric(skewed, ["a", "b"])
-    plain = R.cumulate(long, ["feature"], bounds=None)
+    plain = R.cumulate(long, ["feature"], max_rows=skewed.count())
     monkeypatch.setattr(R, "SINGLE_RANGE_ROWS", 100)
     monkeypatch.setattr(R, "RANGES", 13)
     ranged = R.cumulate(long, ["feature"])
