@@ -54,9 +54,10 @@ _ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32}+;?)"
 _HOT_ENTITIES = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;")
 
 
-def _named_entity_map() -> Column:
-    names = {name: chars for name, chars in html.entities.html5.items()}
-    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+def _named_entity_map(legacy: bool = False) -> Column:
+    """Entity names to characters; ``legacy`` keeps those valid without a semicolon."""
+    names = {n: c for n, c in html.entities.html5.items() if not (legacy and n.endswith(";"))}
+    return F.from_json(F.lit(json.dumps(names, ensure_ascii=False)), "map<string,string>")
 
 
 def _legacy_prefix_pattern() -> str:
@@ -105,13 +106,12 @@ def _decode_entity(entity: Column) -> Column:
         _HOT_ENTITIES[1:],
         F.when(body == _HOT_ENTITIES[0], "&"),
     )
-    table = _named_entity_map()
     prefix = F.regexp_extract(body, _legacy_prefix_pattern(), 1)
     by_prefix = F.when(
         prefix != "",
-        F.concat(F.try_element_at(table, prefix), F.substring(body, F.length(prefix) + 1, F.length(body))),
+        F.concat(F.try_element_at(_named_entity_map(True), prefix), F.substring(body, F.length(prefix) + 1, F.length(body))),
     )
-    named = F.coalesce(hot, F.try_element_at(table, body), by_prefix, entity)
+    named = F.coalesce(hot, F.try_element_at(_named_entity_map(), body), by_prefix, entity)
     return (
         F.when(body.rlike("^#[xX]"), _code_point_text(hex_code))
         .when(body.startswith("#"), _code_point_text(dec_code))

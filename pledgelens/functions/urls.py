@@ -148,6 +148,11 @@ def normalize_url(col, base=None) -> Column:
     return F.get(_normalize_array(F.array(as_column(col)), None if base is None else as_column(base)), F.lit(0))
 
 
+def normalize_each(urls: Column, base=None) -> Column:
+    """Every member of an array of links normalised in place; bad links become null."""
+    return _normalize_array(urls, None if base is None else as_column(base))
+
+
 def normalize_all(urls, base=None) -> Column:
     """Normalised, distinct, non-null members of an array of links, order kept."""
     urls = F.array_distinct(as_column(urls))
@@ -155,12 +160,12 @@ def normalize_all(urls, base=None) -> Column:
     return F.array_distinct(F.filter(done, lambda u: u.isNotNull()))
 
 
-def extract_urls(text, base=None, attributes: list[str] = URL_ATTRIBUTES, protocol_relative: bool = True) -> Column:
-    """Links in attributes, bare links and, optionally, ``//host`` links."""
+def find_links(text, attributes: list[str] = URL_ATTRIBUTES, protocol_relative: bool = True) -> Column:
+    """Links as written: in attributes, bare, and, optionally, as ``//host``."""
     stop = f"[^{PAGE_SPACE}\"'<>]"
     # A look at the first letter keeps the scan cheap where no attribute starts.
     first = "".join(sorted({c for a in attributes for c in (a[0].lower(), a[0].upper())}))
-    in_tags = (rf"(?=[{first}])(?i:{'|'.join(attributes)})[{PAGE_SPACE}]*=[{PAGE_SPACE}]*[\"']([^\"']+)[\"']")
+    in_tags = rf"(?=[{first}])(?i:{'|'.join(attributes)})[{PAGE_SPACE}]*=[{PAGE_SPACE}]*[\"']([^\"']+)[\"']"
 
     def find(t: Column) -> Column:
         found = [
@@ -171,7 +176,12 @@ def extract_urls(text, base=None, attributes: list[str] = URL_ATTRIBUTES, protoc
             found.append(F.regexp_extract_all(t, F.lit(rf"//(?<=[\"'{PAGE_SPACE}(]//){stop}+"), F.lit(0)))
         return F.concat(*found)
 
-    return normalize_all(bind(F.coalesce(as_column(text), F.lit("")), find), base)
+    return bind(F.coalesce(as_column(text), F.lit("")), find)
+
+
+def extract_urls(text, base=None, attributes: list[str] = URL_ATTRIBUTES, protocol_relative: bool = True) -> Column:
+    """The links of :func:`find_links`, normalised and distinct."""
+    return normalize_all(find_links(text, attributes, protocol_relative), base)
 
 
 def is_image_url(url: Column, encoded: bool = True) -> Column:
@@ -204,9 +214,13 @@ def collect_url_strings(json, base=None) -> Column:
     A value counts as a link when it has a web scheme or starts with ``//`` or
     ``/``; free text is not resolved into a link.
     """
+    return normalize_all(find_json_links(json), base)
+
+
+def find_json_links(json) -> Column:
+    """Link-like string values of a JSON text, as written."""
     text = F.coalesce(as_column(json), F.lit(""))
-    values = F.regexp_extract_all(text, F.lit(r'"((?:https?:)?//[^"\\]+|/[^"\\]+)"(?!\s*:)'), F.lit(1))
-    return normalize_all(values, base)
+    return F.regexp_extract_all(text, F.lit(r'"((?:https?:)?//[^"\\]+|/[^"\\]+)"(?!\s*:)'), F.lit(1))
 
 
 def normalize_item_url(col, host: str, base=None, section: str = "projects", min_parts: int = 3) -> Column:

@@ -93,7 +93,7 @@ def _struct_of(fields: dict[str, Column]) -> Column:
 # Markup readers
 # --------------------------------------------------------------------------
 def _attribute(tag_pattern: str, html: Column, attribute: str) -> Column:
-    """First value of an attribute on the first tag that fits, entities decoded."""
+    """First value of an attribute on the first tag that fits, as written."""
     opened = F.regexp_extract(html, f"(?is)<{tag_pattern}[^>]*>", 0)
 
     def value(tag: Column) -> Column:
@@ -101,55 +101,80 @@ def _attribute(tag_pattern: str, html: Column, attribute: str) -> Column:
         single = F.regexp_extract(tag, rf"(?is)\s{attribute}\s*=\s*'([^']*)'", 1)
         return F.when(tag != "", F.coalesce(_or_null(double), _or_null(single)))
 
-    return html_unescape(bind(opened, value))
+    return bind(opened, value)
 
 
 def meta_content(html, kind: str, name: str) -> Column:
     """``content`` of the meta tag whose ``kind`` attribute equals ``name``."""
-    return _attribute(rf'meta(?=[^>]*\s{kind}\s*=\s*["\']{name}["\'])', as_column(html), "content")
+    return html_unescape(_meta_source(as_column(html), kind, name))
+
+
+def _meta_source(html: Column, kind: str, name: str) -> Column:
+    return _attribute(rf'meta(?=[^>]*\s{kind}\s*=\s*["\']{name}["\'])', html, "content")
+
+
+def _title_source(html: Column) -> Column:
+    return _or_null(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def _canonical_source(html: Column) -> Column:
+    return _attribute(r'link(?=[^>]*\srel\s*=\s*["\']canonical["\'])', html, "href")
 
 
 def meta_fields(html, fields: dict[str, tuple[str, str]] = META_FIELDS) -> Column:
-    return _struct_of({n: meta_content(html, kind, name) for n, (kind, name) in fields.items()})
+    sources = F.array(*[_meta_source(as_column(html), kind, name) for kind, name in fields.values()])
+    return bind(F.transform(sources, html_unescape), lambda a: _struct_of(
+        {n: F.get(a, F.lit(i)) for i, n in enumerate(fields)}))
 
 
 def page_title(html) -> Column:
-    return U.clean_ws(html_unescape(_or_null(F.regexp_extract(as_column(html), r"(?is)<title[^>]*>(.*?)</title>", 1))))
+    return U.clean_ws(html_unescape(_title_source(as_column(html))))
 
 
 def canonical_url(html, base) -> Column:
-    return U.normalize_url(
-        _attribute(r'link(?=[^>]*\srel\s*=\s*["\']canonical["\'])', as_column(html), "href"), base)
+    return U.normalize_url(html_unescape(_canonical_source(as_column(html))), base)
 
 
-def tag_urls(html, tags: list[str], attribute: str, base) -> Column:
-    """Normalised links of an attribute on the given tags, in page order."""
+def tag_links(html, tags: list[str], attribute: str) -> Column:
+    """Links of an attribute on the given tags, as written, in page order."""
     found = F.regexp_extract_all(
         as_column(html),
         F.lit(rf"(?is)<(?:{'|'.join(tags)})\b[^>]*?\s{attribute}\s*=\s*(?:\"([^\">]*)\"|'[^'>]*')"), F.lit(0))
-    values = F.transform(found, lambda t: F.regexp_extract(t, rf"(?is)\s{attribute}\s*=\s*[\"']([^\"']*)[\"']$", 1))
-    return U.normalize_all(F.transform(values, html_unescape_light), base)
+    # The ampersand is decoded when the link is normalised.
+    return F.transform(found, lambda t: F.regexp_extract(t, rf"(?is)\s{attribute}\s*=\s*[\"']([^\"']*)[\"']$", 1))
 
 
-def html_unescape_light(text: Column) -> Column:
-    """Only the ampersand, the one entity that matters inside a link."""
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+def tag_urls(html, tags: list[str], attribute: str, base) -> Column:
+    """Normalised links of an attribute on the given tags."""
+    return U.normalize_all(tag_links(html, tags, attribute), base)
 
 
 def page_meta(df: DataFrame, html_col: str, url_col: str, wide: bool = False) -> DataFrame:
-    """Title, canonical link, meta tags and media links of each page."""
+    """Title, canonical link, meta tags and media links of each page.
+
+    All texts are decoded by one expression and all links normalised by one,
+    which keeps the plan small.
+    """
     html, base = F.col(html_col), F.col(url_col)
-    frames = tag_urls(html, ["iframe"], "src", base)
+    fields = META_FIELDS_WIDE if wide else META_FIELDS
+    sources = [_title_source(html), _canonical_source(html), *[_meta_source(html, k, n) for k, n in fields.values()]]
+    lists = [tag_links(html, ["img"], "src"), tag_links(html, ["video", "source"], "src"),
+             tag_links(html, ["iframe"], "src"), tag_links(html, ["a"], "href")]
+    staged = df.withColumns({
+        "__texts": F.transform(F.array(*sources), html_unescape),
+        "__links": F.transform(F.array(*lists), lambda urls: U.normalize_all(urls, base)),
+    })
+    frames = F.get("__links", F.lit(2))
     if not wide:
         frames = F.filter(frames, lambda u: u.rlike(FRAME_VIDEO_HOSTS))
-    return df.withColumns({
-        "pageTitle": page_title(html),
-        "canonicalUrl": canonical_url(html, base),
-        "meta": meta_fields(html, META_FIELDS_WIDE if wide else META_FIELDS),
-        "domImages": tag_urls(html, ["img"], "src", base),
-        "domVideos": F.array_union(tag_urls(html, ["video", "source"], "src", base), frames),
-        "anchorLinks": tag_urls(html, ["a"], "href", base),
-    })
+    return staged.withColumns({
+        "pageTitle": U.clean_ws(F.get("__texts", F.lit(0))),
+        "canonicalUrl": U.normalize_url(F.get("__texts", F.lit(1)), base),
+        "meta": _struct_of({n: F.get("__texts", F.lit(i)) for i, n in enumerate(fields, 2)}),
+        "domImages": F.get("__links", F.lit(0)),
+        "domVideos": F.array_union(F.get("__links", F.lit(1)), frames),
+        "anchorLinks": F.get("__links", F.lit(3)),
+    }).drop("__texts", "__links")
 
 
 def element_html(html, classes: list[str], tag: str = r"[a-z0-9]+") -> Column:
@@ -163,8 +188,11 @@ def element_html(html, classes: list[str], tag: str = r"[a-z0-9]+") -> Column:
 
 
 def element_text(html, classes: list[str], tag: str = r"[a-z0-9]+") -> Column:
-    inner = element_html(html, classes, tag)
-    return U.clean_ws(html_unescape(F.regexp_replace(inner, F.lit("<[^>]*>"), F.lit(""))))
+    return _inner_text(element_html(html, classes, tag))
+
+
+def _inner_text(source: Column) -> Column:
+    return U.clean_ws(html_unescape(F.regexp_replace(source, F.lit("<[^>]*>"), F.lit(""))))
 
 
 def tab_counts_by_label(html, labels: dict[str, str] = TAB_LABELS) -> Column:
@@ -311,9 +339,23 @@ def _union(*arrays: Column) -> Column:
     return F.array_distinct(F.concat(*[F.coalesce(a, empty) for a in arrays]))
 
 
-def _description_urls(rewards: Column, field: str, base: Column, **kwargs) -> Column:
-    joined = F.array_join(F.transform(rewards, lambda r: F.coalesce(r[field], F.lit(""))), "\n")
-    return U.extract_urls(joined, base, **kwargs)
+def _joined(rewards: Column, field: str) -> Column:
+    return F.array_join(F.transform(rewards, lambda r: F.coalesce(r[field], F.lit(""))), "\n")
+
+
+def _links_of_lists(lists: dict[str, Column], base: Column, **kinds) -> Column:
+    """Lists of links as written to a struct of classified lists, by one expression."""
+    empty = F.array().cast("array<string>")
+    done = F.transform(
+        F.array(*[F.coalesce(c, empty) for c in lists.values()]),
+        lambda urls: U.classify_urls(U.normalize_all(urls, base), **kinds))
+    return bind(done, lambda d: _struct_of({n: F.get(d, F.lit(i)) for i, n in enumerate(lists)}))
+
+
+def _links_of(singles: dict[str, Column], base: Column) -> Column:
+    """Single links as written to a struct of normalised links, by one expression."""
+    return bind(U.normalize_each(F.array(*singles.values()), base), lambda d: _struct_of(
+        {n: F.get(d, F.lit(i)) for i, n in enumerate(singles)}))
 
 
 def build_records(df: DataFrame, html_col: str, url_col: str, scraped_at: Column | None = None) -> DataFrame:
@@ -333,26 +375,23 @@ def build_records(df: DataFrame, html_col: str, url_col: str, scraped_at: Column
     staged = staged.withColumns({
         "html_text": F.get_json_object("d", "$.description"),
         "items": map_rewards("r", base), "donate": map_donate("r", base),
-        "img": U.normalize_url(campaign("imageUrl"), base),
-        "view_img": U.normalize_url(campaign("viewImageUrl"), base),
-        "vid": U.normalize_url(campaign("videoUrl"), base),
+        "one": _links_of({"img": campaign("imageUrl"), "view": campaign("viewImageUrl"),
+                          "vid": campaign("videoUrl"), "og": F.col("meta.ogImage")}, base),
         "link_map": F.from_json(campaign("links"), "map<string,string>"),
-    }).withColumns({
-        "from_text": U.classify_urls(U.extract_urls("html_text", base)),
-        "from_rewards": U.classify_urls(_description_urls(F.col("items"), "descriptionHtml", base)),
-        "from_state": U.classify_urls(U.collect_url_strings(
-            F.concat_ws("\n", F.col("c"), F.col("r"), F.col("d")), base)),
-        "own_links": U.normalize_all(F.coalesce(F.map_values("link_map"), F.array().cast("array<string>")), base),
-    })
+    }).withColumn("many", _links_of_lists({
+        "own": F.map_values("link_map"), "text": U.find_links("html_text"),
+        "rewards": U.find_links(_joined(F.col("items"), "descriptionHtml")),
+        "state": U.find_json_links(F.concat_ws("\n", F.col("c"), F.col("r"), F.col("d"))),
+    }, base))
     images = _union(
-        _no_nulls(F.col("img"), F.col("view_img"), U.normalize_url(F.col("meta.ogImage"), base)),
+        _no_nulls(F.col("one.img"), F.col("one.view"), F.col("one.og")),
         F.filter(F.transform("items", lambda i: i["imageUrl"]), lambda u: u.isNotNull()),
-        F.col("from_text.imageUrls"), F.col("from_rewards.imageUrls"), F.col("from_state.imageUrls"), F.col("domImages"))
+        F.col("many.text.imageUrls"), F.col("many.rewards.imageUrls"), F.col("many.state.imageUrls"), F.col("domImages"))
     videos = _union(
-        _no_nulls(F.col("vid")), F.col("from_text.videoUrls"), F.col("from_rewards.videoUrls"),
-        F.col("from_state.videoUrls"), F.col("domVideos"))
-    links = _union(F.col("own_links"), F.col("from_text.otherUrls"), F.col("from_rewards.otherUrls"),
-                   F.col("from_state.otherUrls"))
+        _no_nulls(F.col("one.vid")), F.col("many.text.videoUrls"), F.col("many.rewards.videoUrls"),
+        F.col("many.state.videoUrls"), F.col("domVideos"))
+    own = _union(F.col("many.own.imageUrls"), F.col("many.own.videoUrls"), F.col("many.own.otherUrls"))
+    links = _union(own, F.col("many.text.otherUrls"), F.col("many.rewards.otherUrls"), F.col("many.state.otherUrls"))
     staged = staged.withColumns({"imageUrls": images, "videoUrls": videos}).withColumn(
         "externalLinks", F.array_except(F.array_except(links, F.col("imageUrls")), F.col("videoUrls")))
 
@@ -365,7 +404,7 @@ def build_records(df: DataFrame, html_col: str, url_col: str, scraped_at: Column
     card |= {
         "collectedAmount": amount("collectedAmount"), "targetAmount": amount("targetAmount"),
         "mainCategory": F.struct(campaign("mainCategory.tagName").alias("tagName")),
-        "imageUrl": F.col("img"), "viewImageUrl": F.col("view_img"), "videoUrl": F.col("vid"),
+        "imageUrl": F.col("one.img"), "viewImageUrl": F.col("one.view"), "videoUrl": F.col("one.vid"),
         "author": F.struct(campaign("author.id").alias("id"),
                            campaign("author.campaignsAmount").try_cast("int").alias("campaignsAmount")),
         "links": F.col("link_map"),
@@ -400,6 +439,7 @@ def build_shop_records(
     description_classes: tuple[str, ...] = ("description",), scraped_at: Column | None = None,
 ) -> DataFrame:
     """Nested records from pages of the second family; pages without a title become error rows."""
+    shown = ELEMENT_FIELDS | {"creatorProjectsInfo": ["creator", "achivements-v2"]}
     plain = {"attributes": ["href", "src", "poster", "data-src"], "protocol_relative": False}
     staged = page_meta(df.select(html_col, url_col), html_col, url_col, wide=True)
     own = F.col(url_col) if host is None else F.coalesce(U.normalize_item_url(url_col, host), F.col(url_col))
@@ -409,45 +449,46 @@ def build_shop_records(
         "html_text": _or_null(element_html(html_col, list(description_classes))),
         "project": F.regexp_extract(F.col(html_col), r"(?s)gon\.Project\s*=\s*(\{.*)$", 1),
         "reward_json": F.regexp_extract(F.col(html_col), r"(?s)gon\.Rewards\s*=\s*(\[.*?\])\s*(?:;|</script)", 1),
-        **{name: element_text(html_col, classes, "h1" if name == "title" else r"[a-z0-9]+")
-           for name, classes in ELEMENT_FIELDS.items()},
-    })
+        "texts": F.transform(F.array(*[
+            element_html(html_col, classes, "h1" if name == "title" else r"[a-z0-9]+")
+            for name, classes in shown.items()]), _inner_text),
+    }).withColumns({name: F.get("texts", F.lit(i)) for i, name in enumerate(shown)})
     base = F.col("base")
 
     def inner_image(classes: list[str]) -> Column:
         block = element_html(html_col, classes)
-        return U.normalize_url(_or_null(F.regexp_extract(block, r'(?is)<img\b[^>]*\ssrc\s*=\s*["\']([^"\']+)', 1)), base)
+        return _or_null(F.regexp_extract(block, r'(?is)<img\b[^>]*\ssrc\s*=\s*["\']([^"\']+)', 1))
 
     staged = staged.withColumns({
-        "items": map_shop_rewards("reward_json", base), "mainImage": inner_image(["video-wrapper"]),
-        "creatorAvatar": inner_image(["creator", "avatar"]),
-    }).withColumns({
-        "from_text": U.classify_urls(U.extract_urls("html_text", base, **plain), False, ["twitter:player"]),
-        "from_rewards": U.classify_urls(
-            _description_urls(F.col("items"), "description", base, **plain), False, ["twitter:player"]),
-    }).withColumns({
+        "items": map_shop_rewards("reward_json", base),
+        "one": _links_of({
+            "main": inner_image(["video-wrapper"]), "avatar": inner_image(["creator", "avatar"]),
+            "og": F.col("meta.ogImage"), "player": F.col("meta.twitterPlayer"),
+            "stream": F.col("meta.twitterPlayerStream")}, base),
+    }).withColumn("many", _links_of_lists({
+        "text": U.find_links("html_text", **plain),
+        "rewards": U.find_links(_joined(F.col("items"), "description"), **plain),
+    }, base, encoded=False, extra_hosts=["twitter:player"])).withColumns({
         "imageUrls": _union(
-            _no_nulls(F.col("mainImage"), U.normalize_url(F.col("meta.ogImage"), base)),
+            _no_nulls(F.col("one.main"), F.col("one.og")),
             F.filter(F.transform("items", lambda i: i["imageUrl"]), lambda u: u.isNotNull()),
-            F.col("from_text.imageUrls"), F.col("domImages")),
+            F.col("many.text.imageUrls"), F.col("domImages")),
         "videoUrls": _union(
-            _no_nulls(U.normalize_url(F.col("meta.twitterPlayer"), base),
-                      U.normalize_url(F.col("meta.twitterPlayerStream"), base)),
-            F.col("from_text.videoUrls"), F.col("domVideos")),
+            _no_nulls(F.col("one.player"), F.col("one.stream")), F.col("many.text.videoUrls"), F.col("domVideos")),
     })
-    links = _union(F.col("anchorLinks"), F.col("from_text.otherUrls"), F.col("from_rewards.otherUrls"))
+    links = _union(F.col("anchorLinks"), F.col("many.text.otherUrls"), F.col("many.rewards.otherUrls"))
     fragments = F.array_distinct(F.concat(U.date_like_strings("timerText"), U.date_like_strings("timeLeftText")))
     card = {
         "projectId": F.get_json_object("project", "$.id"), "creatorId": F.get_json_object("project", "$.creator_id"),
         "projectType": F.get_json_object("project", "$.type"),
-        **{n: F.col(n) for n in ("title", "subtitle", "location", "category", "creatorName", "creatorAvatar")},
-        "creatorProjectsInfo": element_text(html_col, ["creator", "achivements-v2"]),
+        **{n: F.col(n) for n in ("title", "subtitle", "location", "category", "creatorName")},
+        "creatorAvatar": F.col("one.avatar"), "creatorProjectsInfo": F.col("creatorProjectsInfo"),
         "fundedNow": U.parse_int("fundedNowText"),
         "fundedTarget": F.get(U.parse_all_ints("fundedTargetText"), F.lit(0)),
         "fundedNowText": F.col("fundedNowText"), "fundedTargetText": F.col("fundedTargetText"),
         "progressPercent": U.parse_percent("progressPercentText"),
         **{n: F.col(n) for n in ("progressPercentText", "backersText", "timeLeftText", "timerText")},
-        "dateLikeStrings": fragments, "mainImageUrl": F.col("mainImage"),
+        "dateLikeStrings": fragments, "mainImageUrl": F.col("one.main"),
     }
     counts = {
         "newsCount": F.col("tabs.newsCount"), "commentsCount": F.col("tabs.commentsCount"),
