@@ -84,7 +84,7 @@ class Leaf:
 def _model_nodes(fitted: Fitted, spark: SparkSession) -> list[list[dict]]:
     """Nodes of every tree, read back from the saved model's table."""
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir() or '/tmp'}/trees-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/trees-{uuid.uuid4().hex}"
     fitted.model.write().overwrite().save(path)
     rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
     trees: dict[int, dict[int, object]] = {}

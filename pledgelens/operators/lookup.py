@@ -33,13 +33,14 @@ def checked_lookup(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[D
 
 
 def lookup_join(
-    big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS
+    big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join with a lookup table, broadcast only when its row count is checked."""
     side, small = checked_lookup(lookup, max_rows)
     if small:
         return big.join(F.broadcast(side), on, how)
-    return hot_key_join(big, lookup, on, how)
+    return hot_key_join(big, lookup, on, how, hot)
 
 
 def hot_keys(big: DataFrame, on: list[str], share: float = 0.002) -> DataFrame:
@@ -53,15 +54,35 @@ def hot_keys(big: DataFrame, on: list[str], share: float = 0.002) -> DataFrame:
     )
 
 
-def hot_key_join(big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Shuffle join in which hot keys travel by broadcast instead.
+#: Pieces a hot key's rows are cut into on their way through the shuffle.
+SALTS = 64
 
-    ``lookup`` must have unique keys. The result equals ``big.join(lookup, on, how)``
-    for ``how`` in ``left``, ``inner``, ``left_semi`` and ``left_anti``.
+
+def hot_key_join(
+    big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", hot: DataFrame | None = None
+) -> DataFrame:
+    """Shuffle join in which hot keys are answered by a small broadcast instead.
+
+    ``lookup`` must have unique keys; ``hot`` may name the hot keys (a bounded
+    table) when they are known. Rows with a hot key get a salt, so the shuffle
+    spreads them, and take their values from the broadcast. The result equals
+    ``big.join(lookup, on, how)`` for left, inner, left_semi and left_anti.
     """
-    hot = hot_keys(big, on)
-    hot_lookup = lookup.join(F.broadcast(hot), on, "left_semi")
-    marked = big.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left")
-    cold_rows = marked.where(F.col("__hot").isNull()).drop("__hot")
-    hot_rows = marked.where(F.col("__hot").isNotNull()).drop("__hot")
-    return cold_rows.join(lookup, on, how).unionByName(hot_rows.join(F.broadcast(hot_lookup), on, how))
+    hot = hot_keys(big, on) if hot is None else hot.select(*on)
+    values = [c for c in lookup.columns if c not in on]
+    renamed = lookup.select(*on, F.lit(True).alias("__in_hot"), *[F.col(c).alias(f"__hot_{c}") for c in values])
+    answers = hot.withColumn("__hot", F.lit(True)).join(renamed, on, "left")
+    marked = big.join(F.broadcast(answers), on, "left")
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)) + 1
+    salted = marked.withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0)).cast("bigint"))
+    cold = lookup.withColumns({"__salt": F.lit(0).cast("bigint"), "__in_cold": F.lit(True)})
+    joined = salted.join(cold, [*on, "__salt"], "left")
+    found = F.col("__in_hot").isNotNull() | F.col("__in_cold").isNotNull()
+    if how == "left_anti":
+        return joined.where(~found).select(*big.columns)
+    if how == "left_semi":
+        return joined.where(found).select(*big.columns)
+    out = joined if how == "left" else joined.where(found)
+    taken = [F.coalesce(F.col(c), F.col(f"__hot_{c}")).alias(c) for c in values]
+    rest = [c for c in big.columns if c not in on]
+    return out.select(*on, *rest, *taken)

@@ -166,9 +166,16 @@ def _pair_cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def _rank_products(cells: DataFrame, left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str]) -> DataFrame:
-    """``(a, b, r)`` from joint counts and the ranks of both sides."""
-    joined = lookup_join(cells, left, lkeys, "inner")
-    joined = lookup_join(joined, right, rkeys, "inner")
+    """``(a, b, r)`` from joint counts and the ranks of both sides.
+
+    The rank tables carry the value counts, so their heavy values are known.
+    """
+
+    def heavy(ranks: DataFrame) -> DataFrame:
+        return ranks.where((F.col("w") >= 1000) & (F.col("w") >= F.col("w_total") * 0.002))
+
+    joined = lookup_join(cells, left.drop("w", "w_total"), lkeys, "inner", hot=heavy(left))
+    joined = lookup_join(joined, right.drop("w", "w_total"), rkeys, "inner", hot=heavy(right))
     n = F.sum("n").cast("double")
     sx, sy = F.sum(F.col("n") * F.col("rx")), F.sum(F.col("n") * F.col("ry"))
     sxy = F.sum(F.col("n") * F.col("rx") * F.col("ry"))
@@ -196,18 +203,23 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         if whole:
             used = sorted({c for p in whole for c in p})
             ranks = R.average_ranks(R.cumulate(R.melt_numeric(wide, used), ["feature"], max_rows=n_rows)).select(
-                "feature", "value", "rank").persist()
+                "feature", "value", "rank", F.col("n").alias("w"), F.col("n_total").alias("w_total")).persist()
             cells = _pair_cells(wide, whole)
-            left = ranks.select(F.col("feature").alias("a"), F.col("value").alias("x"), F.col("rank").alias("rx"))
-            right = ranks.select(F.col("feature").alias("b"), F.col("value").alias("y"), F.col("rank").alias("ry"))
-            found += _rank_products(cells, left, right, ["a", "x"], ["b", "y"]).collect()
+
+            def side(name: str, value: str) -> DataFrame:
+                return ranks.select(F.col("feature").alias(name), F.col("value").alias(value),
+                                    F.col("rank").alias(f"r{value}"), "w", "w_total")
+
+            found += _rank_products(cells, side("a", "x"), side("b", "y"), ["a", "x"], ["b", "y"]).collect()
             ranks.unpersist()
         if partial:
             cells = _pair_cells(wide, partial).persist()
 
             def ranked(side: str) -> DataFrame:
                 cum = R.cumulate(cells, ["a", "b"], side, {"n": F.sum("n")}, max_rows=n_rows)
-                return R.average_ranks(cum).select("a", "b", side, F.col("rank").alias(f"r{side}"))
+                return R.average_ranks(cum).select(
+                    "a", "b", side, F.col("rank").alias(f"r{side}"), F.col("n").alias("w"),
+                    F.col("n_total").alias("w_total"))
 
             found += _rank_products(cells, ranked("x"), ranked("y"), ["a", "b", "x"], ["a", "b", "y"]).collect()
             cells.unpersist()
