@@ -1,4 +1,4 @@
-"""Session helper for scripts and tests; a cluster brings its own session."""
+"""Session helpers for scripts and tests; a cluster brings its own session."""
 
 from __future__ import annotations
 
@@ -24,8 +24,25 @@ def local_session(cores: int = 8, app_name: str = "pledgelens") -> SparkSession:
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's checkpoint folder; set one only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Without the setting, a session in one process gets a temporary folder; a cluster is refused, because its
+    executors would each write to their own disk.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pledgelens-shared-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Make ``checkpoint()`` write to the shared folder."""
+    folder = shared_folder(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="pledgelens-ckpt-"))
+        spark.sparkContext.setCheckpointDir(folder)
