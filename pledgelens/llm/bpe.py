@@ -198,12 +198,14 @@ def encode(
 def _encode_long(long: DataFrame, text: str, path: str, outputs, types, most: int) -> DataFrame:
     """Results by text key. Equal texts are encoded once, pieces in all tasks."""
 
+    schema = pa.schema([("__key", pa.string()), ("piece", pa.int32()), ("run", pa.int32()), ("data", pa.binary())])
+
     def pieces(batches):
         bpe = loaded(path)
         for batch in batches:
             for key, value in zip(batch.column("__key").to_pylist(), strings(batch.column(text))):
                 for i, (run, data) in enumerate(cut(bpe, value, most)):
-                    yield pa.RecordBatch.from_pydict({"__key": [key], "piece": [i], "run": [run], "data": [data]})
+                    yield pa.RecordBatch.from_pydict({"__key": [key], "piece": [i], "run": [run], "data": [data]}, schema)
 
     def leaves(batches):
         bpe = loaded(path)
