@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, simhash
+from . import bpe, decontam, quality, simhash, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,36 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 @query("op2_suffix_automaton", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _glob_sql(glob: str) -> str:
+    """A glob as a regular expression for SQL."""
+    out = glob.replace(".", "[.]").replace("?", "[^/]").replace("**", "\0").replace("*", "[^/]*").replace("\0", ".*")
+    return f"regexp_full_match(url0, '{out}', 's')"
+
+
+def _rules_sql() -> str:
+    rules = sorted(urls.SITE_RULES, key=lambda r: -len(r.name))
+    fits = [
+        f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in rules
+    ]
+    verdicts = " ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in rules)
+    globs = " ".join(f"WHEN {_glob_sql(g)} THEN '{g}'" for g in urls.BLOCK_GLOBS)
+    return f"""
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+judged AS (
+  SELECT page_id, host, path, CASE {' '.join(fits)} END AS rule, CASE {globs} END AS glob
+  FROM (SELECT *, '.' || host || path AS url0 FROM parts))
+SELECT page_id, host, path, rule, glob,
+       CASE {verdicts} WHEN glob IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+
+@query("op3_url_globs", _rules_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
