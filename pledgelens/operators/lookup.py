@@ -1,8 +1,8 @@
 """Joins of a large table with a lookup table of checked size.
 
-A side is broadcast only after a bounded count proved it small. Beyond the
-bound the join shuffles, and the keys that hold a large share of the rows are
-answered from a small broadcast of their own, so no task receives a hot key.
+A side is broadcast only after a bounded count of its rows and bytes proved it small. Beyond the bound the join
+shuffles, and the keys that hold a large share of the rows are answered from a small broadcast of their own, so
+no task receives a hot key. Rows with a null key match nothing and are spread too.
 """
 
 from __future__ import annotations
@@ -10,37 +10,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest lookup table, in rows, that is sent to every executor.
+#: Largest lookup table that is sent to every executor: in rows, and in bytes of its values as text.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``max_rows`` rows (reads no more than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_lookup(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """The table and whether it may be broadcast.
-
-    A table that fits stays cached, so checking its size does not mean computing
-    it twice; a larger one is released.
-    """
-    held = lookup.persist()
-    if fits_broadcast(held, max_rows):
-        return held, True
-    held.unpersist()
-    return lookup, False
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the table has at most ``max_rows`` rows and ``max_bytes`` bytes (reads no more rows than that)."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return found[0] <= max_rows and found[1] <= max_bytes
 
 
 def lookup_join(
     big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
-    hot: DataFrame | None = None,
+    hot: DataFrame | None = None, salt_on: list[str] | None = None,
 ) -> DataFrame:
-    """Join with a lookup table, broadcast only when its row count is checked."""
-    side, small = checked_lookup(lookup, max_rows)
-    if small:
-        return big.join(F.broadcast(side), on, how)
-    return hot_key_join(big, lookup, on, how, hot)
+    """Join with a lookup table of unique keys, broadcast only when its size is checked."""
+    if fits_broadcast(lookup, max_rows):
+        return big.join(F.broadcast(lookup), on, how)
+    return hot_key_join(big, lookup, on, how, hot, salt_on)
 
 
 def hot_keys(big: DataFrame, on: list[str], share: float = 0.002) -> DataFrame:
@@ -58,23 +47,32 @@ def hot_keys(big: DataFrame, on: list[str], share: float = 0.002) -> DataFrame:
 SALTS = 64
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    """The columns that a hash can be taken of: those without a map in them."""
+    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+
+
 def hot_key_join(
-    big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", hot: DataFrame | None = None
+    big: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", hot: DataFrame | None = None,
+    salt_on: list[str] | None = None,
 ) -> DataFrame:
     """Shuffle join in which hot keys are answered by a small broadcast instead.
 
-    ``lookup`` must have unique keys; ``hot`` may name the hot keys (a bounded
-    table) when they are known. Rows with a hot key get a salt, so the shuffle
-    spreads them, and take their values from the broadcast. The result equals
+    ``lookup`` must have unique keys; ``hot`` may name the hot keys (a table of at most ``BROADCAST_ROWS`` rows)
+    when they are known. Rows with a hot or a null key get a salt, from the columns ``salt_on`` or all that can be hashed, so
+    the shuffle spreads them; hot ones take their values from the broadcast. The result equals
     ``big.join(lookup, on, how)`` for left, inner, left_semi and left_anti.
     """
     hot = hot_keys(big, on) if hot is None else hot.select(*on)
     values = [c for c in lookup.columns if c not in on]
     renamed = lookup.select(*on, F.lit(True).alias("__in_hot"), *[F.col(c).alias(f"__hot_{c}") for c in values])
     answers = hot.withColumn("__hot", F.lit(True)).join(renamed, on, "left")
-    marked = big.join(F.broadcast(answers), on, "left")
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)) + 1
-    salted = marked.withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0)).cast("bigint"))
+    marked = big.join(F.broadcast(answers) if fits_broadcast(answers) else answers, on, "left")
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in salt_on or _hashable(big)]), F.lit(SALTS)) + 1
+    unmatched = F.lit(False)
+    for c in on:
+        unmatched = unmatched | F.col(c).isNull()
+    salted = marked.withColumn("__salt", F.when(F.col("__hot") | unmatched, spread).otherwise(F.lit(0)).cast("bigint"))
     cold = lookup.withColumns({"__salt": F.lit(0).cast("bigint"), "__in_cold": F.lit(True)})
     joined = salted.join(cold, [*on, "__salt"], "left")
     found = F.col("__in_hot").isNotNull() | F.col("__in_cold").isNotNull()
