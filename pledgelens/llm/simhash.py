@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "label", F.coalesce("label", "bits")
     )
     lowest = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = grouped.join(lowest, "label").select("bits", "component_id", "class_size")
+    named = written(grouped.join(lowest, "label").select("bits", "component_id", "class_size"), "simhash-components")
     out = lookup_join(prints, named, ["bits"])
     return out.select(
         F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "class_size"

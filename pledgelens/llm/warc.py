@@ -104,7 +104,7 @@ def decided(pages: DataFrame, page_id: str, url: str, payload: str) -> DataFrame
         keyed.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1").select("payload_digest", "first")
     )
-    out = lookup_join(keyed, firsts, ["payload_digest"])
+    out = lookup_join(keyed, written(firsts, "warc-firsts"), ["payload_digest"], salt_on=["page_id", "url"])
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return out.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
