@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, licences, quality, secrets, simhash, toxicity, urls, warc
+from . import bpe, decontam, licences, pii, quality, secrets, simhash, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_rare_tokens")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op7_boosted_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
