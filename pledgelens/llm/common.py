@@ -8,6 +8,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pledgelens.session import shared_folder
 
@@ -48,5 +49,16 @@ def schema_with(df: DataFrame, drop: Iterable[str] = (), **columns: str) -> str:
     return ", ".join(parts + [f"`{n}` {t}" for n, t in columns.items()])
 
 
+def wrapped(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others in the struct ``__rest``, so that no name can clash."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*names, F.struct(F.lit(0).alias("__none"), *rest).alias("__rest"))
+
+
+def unwrapped(df: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    """``columns`` as they were before ``wrapped``, with the present values of the named ones."""
+    return df.select(*[F.col(c) if c in names else F.col("__rest")[c].alias(c) for c in columns])
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, schema_with, utf8, written
+from .common import extended, schema_with, unwrapped, utf8, wrapped, written
 
 WINDOW = 10
 #: Words of one automaton: what a task holds in memory and a broadcast may carry.
@@ -260,18 +260,16 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = 0.5) -> DataFrame:
     """The documents with hit spans cut out of ``text``; those hit beyond ``max_coverage`` of their words go."""
-    inner = docs.select(F.col(text).alias("text"), F.struct(*docs.columns).alias("__row"))
-    hit = scan(inner, benchmark).where(n_hit() <= F.col("n_words") * max_coverage)
+    hit = scan(wrapped(docs, text), benchmark, text).where(n_hit() <= F.col("n_words") * max_coverage)
 
     def cleaned(batches):
         for batch in batches:
-            column = batch.column("text")
-            made = column.to_pylist()
+            made = batch.column(text).to_pylist()
             for i, spans in enumerate(batch.column("hit_spans").to_pylist()):
                 if spans:
                     made[i] = without(made[i].encode(), [(s["first"], s["end"]) for s in spans]).decode()
-            yield extended(batch, ("hit_spans", "hit_items", "n_words"), text=pa.array(made, pa.string()))
+            yield extended(batch, drop, **{text: pa.array(made, pa.string())})
 
     drop = ("hit_spans", "hit_items", "n_words")
-    out = hit.mapInArrow(cleaned, schema_with(hit, drop, text="string"))
-    return out.select(*[F.col("text").alias(text) if c == text else F.col(f"__row.`{c}`") for c in docs.columns])
+    out = hit.mapInArrow(cleaned, schema_with(hit, drop, **{text: "string"}))
+    return unwrapped(out, docs.columns, text)

@@ -24,6 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unwrapped, wrapped
 from .spans import listing, tagged, with_matches
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -186,7 +187,7 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with ``text`` and ``found``: the spans (start, kind_order, end, kind), in order."""
+    """The columns ``keep`` with ``found``: the spans (start, kind_order, end, kind), in order."""
     kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
     rows = docs.select(kept, F.coalesce(F.col(text), F.lit("")).alias("text"))
     wide = {k: p for k, p in WIDE_PATTERNS.items() if k in model.thresholds}
@@ -203,7 +204,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...
 
     tags = [tagged(confirmed(k), i, k) for i, k in enumerate(BASE_PATTERNS)]
     tags += [tagged(selected(k), len(BASE_PATTERNS) + i, k) for i, k in enumerate(wide)]
-    return found.select("kept.*", F.col("text").alias("__text"), F.sort_array(F.concat(*tags)).alias("found"))
+    return found.select("kept.*", F.sort_array(F.concat(*tags)).alias("found"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -236,9 +237,6 @@ def _mask(text: Column, found: Column) -> Column:
 def redacted(docs: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
     """The documents with personal data in ``text`` replaced by its kind; other columns stay as they are."""
     model = model or train(docs, text)
-    inner = docs.select(F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
-    found = scan(inner, model, keep=("row",))
-    clean = F.when(F.size("found") > 0, _mask(F.col("__text"), F.col("found"))).otherwise(F.col("row")[text])
-    return found.withColumn("__clean", clean).select(
-        *[F.col("__clean").alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
-    )
+    found = scan(wrapped(docs, text), model, text, keep=(text, "__rest"))
+    clean = F.when(F.size("found") > 0, _mask(F.col(text), F.col("found"))).otherwise(F.col(text))
+    return unwrapped(found.withColumn(text, clean), docs.columns, text)

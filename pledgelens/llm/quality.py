@@ -23,10 +23,9 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import bpe
-from .common import extended, schema_with, strings
+from .common import extended, schema_with, strings, unwrapped, wrapped
 
 MIN_WORDS = 10
 MAX_REPEATED = 20
@@ -177,6 +176,5 @@ def quality_rules(
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    plain = docs.columns
-    inner = docs.select("text", "lang", F.struct(*plain).alias("__row"))
-    return quality_rules(inner).where("kept").select("__row.*")
+    passed = quality_rules(wrapped(docs, "text", "lang")).where("kept")
+    return unwrapped(passed, docs.columns, "text", "lang")

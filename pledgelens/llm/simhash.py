@@ -16,6 +16,7 @@ linked with, or null if there is none. Columns of the input that bear an output'
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,22 +36,48 @@ BLOCK = 4096
 STRIP = 256
 
 
-def fingerprint(data: bytes, shingle: int = 3) -> int:
-    """The 64-bit SimHash of a text: bit set if over half of its shingle hashes have it."""
+def shingle_hashes(data: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every run of so many words, repeats included; of all words if there are fewer."""
     words = data.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes)
     starts = (ends - sizes)[:len(words) - shingle + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
+    return np.array(
         [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist())], np.uint64
     )
-    return majority(hashes)
+
+
+def fingerprint(data: bytes, shingle: int = 3) -> int:
+    """The 64-bit SimHash of a text: bit set if over half of its shingle hashes have it."""
+    return majority(shingle_hashes(data, shingle))
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other 64 bits of the same shingles: a published mixing step with the k-th increment."""
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(data: bytes, shingle: int = 5, words: int = 4) -> list[int]:
+    """A SimHash of ``words`` times 64 bits, as signed numbers."""
+    hashes = shingle_hashes(data, shingle)
+    found = [majority(hashes if k == 0 else remixed(hashes, k)) for k in range(words)]
+    return np.array(found, np.uint64).view(np.int64).tolist()
+
+
+def wide_radius(similarity: float, words: int = 4) -> int:
+    """The bits in which texts of such a Jaccard similarity of shingles are expected to differ.
+
+    A bit differs with the angle between the two sets, seen as vectors, over pi.
+    """
+    return int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -155,6 +182,65 @@ def tile_links(distinct: DataFrame, radius: int = 3, block: int = BLOCK) -> Data
     return pairs.mapInArrow(compared, "a bigint, b bigint")
 
 
+#: Fingerprints of a block of wide fingerprints, and population counts of a tile.
+WIDE_BLOCK = 8192
+WIDE_TILE = 8
+
+
+def wide_links(distinct: DataFrame, radius: int, words: int = 4, block: int = WIDE_BLOCK) -> DataFrame:
+    """Links ``a``, ``b`` between distinct wide ``bits``; tiles are ranges of the whole population count.
+
+    Pairs within the radius in the first two words are compared in the others too.
+    """
+    total = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x).cast("int"))
+    tiled = distinct.select("bits", F.floor(total / WIDE_TILE).cast("int").alias("tile"))
+    sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(block / 2)).cast("int").alias("blocks"))
+    blocks = (
+        lookup_join(tiled, sizes, ["tile"])
+        .withColumn("block", F.pmod(F.xxhash64("bits"), F.col("blocks")).cast("int"))
+        .groupBy("tile", "block").agg(F.collect_list("bits").alias("members"))
+    )
+    blocks = written(blocks, "simhash-blocks")
+    steps = F.sequence(F.lit(0), F.lit(-(-radius // WIDE_TILE)))
+    left = blocks.select(
+        F.col("tile").alias("from_tile"), F.col("block").alias("from_block"), F.col("members").alias("mine"), F.explode(steps).alias("step")
+    ).withColumn("tile", F.col("from_tile") + F.col("step"))
+    other = (F.col("step") > 0) | (F.col("from_block") < F.col("block"))
+    pairs = left.join(blocks, "tile").where(other | (F.col("from_block") == F.col("block")))
+    # As many tasks as there are pairs of blocks for, dealt evenly.
+    pairs = pairs.select("mine", F.when(other, F.col("members")).alias("other"), "from_tile", "from_block", "tile", "block")
+    pairs = pairs.repartition("from_tile", "from_block", "tile", "block").select("mine", "other")
+
+    def compared(batches):
+        for batch in batches:
+            for mine, others in zip(batch.column("mine"), batch.column("other")):
+                a = mine.values.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+                b = a if others.values is None else others.values.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+                forest, links = Forest(), []
+                for i, j in _close_wide(a, b, radius):
+                    links += [
+                        (p, q) for p, q in zip(i.tolist(), j.tolist())
+                        if (a is not b or p != q) and forest.join(p, q if a is b else len(a) + q)
+                    ]
+                if links:
+                    kind = pa.list_(pa.int64())
+                    sides = (a.view(np.int64)[[p for p, _ in links]], b.view(np.int64)[[q for _, q in links]])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), kind) for x in sides], names=["a", "b"])
+
+    return pairs.mapInArrow(compared, "a array<bigint>, b array<bigint>")
+
+
+def _close_wide(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, len(a), STRIP):
+        part = a[at:at + STRIP]
+        first = sum(np.bitwise_count(part[:, None, k] ^ b[None, :, k]) for k in range(min(2, a.shape[1])))
+        i, j = np.nonzero(first <= radius)
+        if len(i):
+            whole = np.bitwise_count(part[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
+            if whole.any():
+                yield i[whole] + at, j[whole]
+
+
 def components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """Per linked node its component: the smallest node reachable over the links ``a``, ``b``."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -195,3 +281,42 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(
         F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "class_size"
     )
+
+
+def deduplicated(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4,
+) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id, all columns kept.
+
+    Texts link if their fingerprints of ``words`` times 64 bits over shingles of ``shingle`` words differ in no more
+    bits than a Jaccard similarity of ``similarity`` lets expect. Rows without an id go before none with one; of
+    rows equal in id and text one stays.
+    """
+    # A row is known by its id and a hash of its text.
+    name = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(text))
+    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), name.alias("row"))
+
+    def hashed(batches):
+        for batch in batches:
+            made = [wide_fingerprint(x, shingle, words) for x in utf8(batch.column("text"))]
+            yield extended(batch, ("text",), bits=pa.array(made, pa.list_(pa.int64())))
+
+    prints = keyed.mapInArrow(hashed, schema_with(keyed, ("text",), bits="array<bigint>"))
+    prints = written(prints, "dedup-prints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    classes = written(prints.groupBy("bits").agg(F.min(order).alias("first")), "dedup-classes")
+    labels = components(wide_links(classes.select("bits"), wide_radius(similarity, words), words))
+    grouped = classes.join(labels.withColumnRenamed("a", "bits"), "bits", "left").withColumn("label", F.coalesce("label", "bits"))
+    lowest = grouped.groupBy("label").agg(F.min("first").alias("kept"))
+    named = written(grouped.join(lowest, "label").select("bits", F.col("kept.row").alias("kept")), "dedup-components")
+    judged = written(lookup_join(prints, named, ["bits"]).select("row", (F.col("row") == F.col("kept")).alias("stays")), "dedup-rows")
+    gone = judged.where(~F.col("stays")).select("row").distinct()
+    rows = docs.withColumn("__row", name).select("__row", F.struct(*docs.columns).alias("__doc"))
+    left = lookup_join(rows, written(gone.withColumnRenamed("row", "__row"), "dedup-gone"), ["__row"], "left_anti", salt_on=["__row"])
+    # Rows that stay and are repeated.
+    again = judged.where("stays").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row").alias("__row"))
+    again = written(again, "dedup-again")
+    if again.limit(1).count():
+        once = lookup_join(left, again, ["__row"], "left_semi", salt_on=["__row"]).dropDuplicates(["__row"])
+        left = lookup_join(left, again, ["__row"], "left_anti", salt_on=["__row"]).unionByName(once)
+    return left.select("__doc.*")

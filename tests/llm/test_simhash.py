@@ -101,3 +101,56 @@ def test_near_duplicates(spark):
         want[i, f"{p:016x}", c] = want.get((i, f"{p:016x}", c), 0) + 1
     assert got == want
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_deduplicated(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    base = [" ".join(word() for _ in range(rnd.randint(20, 120))) for _ in range(40)]
+    near = []
+    for t in base[:25]:
+        for _ in range(rnd.randint(1, 5)):
+            w = t.split()
+            w[rnd.randrange(len(w))] = word()
+            near.append(" ".join(w))
+    texts = [None, "", *near, *base, *near[:10]]
+    rows = [(500 - i, t, "k") for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, base[3], "k"), (None, "only this one has no id at all", "k"), (None, "only this one has no id at all", "k")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, bits string").repartition(4)
+    prints = [sum((x & (2**64 - 1)) << 64 * k for k, x in enumerate(simhash.wide_fingerprint((t or "").encode()))) for _, t, _ in rows]
+    radius = simhash.wide_radius(0.8)
+    n = len(rows)
+    group = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for g, r in zip(group, rows):
+        best[g] = min(best.get(g, r), r, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+    for block in (8, simhash.WIDE_BLOCK):
+        simhash.WIDE_BLOCK, old = block, simhash.WIDE_BLOCK
+        got = [tuple(r) for r in simhash.deduplicated(docs).collect()]
+        simhash.WIDE_BLOCK = old
+        assert sorted(map(str, got)) == sorted(map(str, best.values()))
+    assert simhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_wide_links_equal_brute_force(spark):
+    rnd, radius = random.Random(13), 12
+    prints = set()
+    for _ in range(30):
+        a = rnd.getrandbits(256)
+        for _ in range(rnd.randint(1, 6)):
+            prints.add(a)
+            for _ in range(rnd.randint(1, 12)):
+                a ^= 1 << rnd.randrange(256)
+    prints = sorted(prints)
+    signed = [np.array([p >> 64 * k & (2**64 - 1) for k in range(4)], np.uint64).view(np.int64).tolist() for p in prints]
+    df = spark.createDataFrame([(x,) for x in signed], "bits array<bigint>")
+    want = brute_components(list(range(len(prints))), prints, radius)
+    for block in (6, 8192):
+        got = {tuple(r.a): tuple(r.label) for r in simhash.components(simhash.wide_links(df, radius, 4, block)).collect()}
+        named = [got.get(tuple(x), tuple(x)) for x in signed]
+        assert len(set(zip(named, want))) == len(set(named)) == len(set(want))
