@@ -18,6 +18,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,18 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, schema_with, strings
+from .common import extended, schema_with, strings, written
 
 #: Documents of a class that the model is fitted on, and the largest text among them.
 SAMPLE = 4000
 SAMPLE_BYTES = 1 << 18
 #: A word of the model stands in so many documents of the sample.
 LEAST_DOCUMENTS = 5
-STEPS = 250
+STEPS = 300
 #: Share of clean documents that are taken to be labelled toxic.
 NOISE = 0.05
-RATE = 0.15
-DECAY = 2e-5
+RATE = 0.1
+SPARSITY = 3e-4
 #: Weights below this are left out of the model.
 LEAST_WEIGHT = 0.02
 
@@ -80,28 +83,34 @@ def softplus(z: float) -> float:
 
 def fit(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0), steps: int = STEPS) -> Model:
     """The model of labelled documents; ``weights`` are those of the two classes."""
-    bags = [[w for s in _SENTENCE.findall(t) if (w := words_of(s))] for t in texts]
-    share = sum(w * (y == k) for k, w in enumerate(weights) for y in toxic)
-    rate = weights[1] * sum(toxic) / share if share else 0.0
+    return fit_rows(lambda: zip(texts, toxic), weights, steps)
+
+
+def fit_rows(rows: Callable[[], Iterable[tuple[str, int]]], weights: tuple[float, float], steps: int = STEPS) -> Model:
+    """The same for documents that are read twice, one at a time: only word numbers are held."""
+    counts: Counter[str] = Counter()
+    sizes = [0, 0]
+    for text, y in rows():
+        sizes[y] += 1
+        counts.update(words_of(text))
+    share = weights[0] * sizes[0] + weights[1] * sizes[1]
+    rate = weights[1] * sizes[1] / share if share else 0.0
     if not 0 < rate < 1:
         return Model(math.inf if rate else -math.inf, {})
-    counts: dict[str, int] = {}
-    for bag in bags:
-        for w in set().union(*bag) if bag else ():
-            counts[w] = counts.get(w, 0) + 1
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= LEAST_DOCUMENTS))}
-    pairs = [(bag, y) for bag, y in zip(bags, toxic) if bag]
-    ids, sentence, document = [], [], []
-    s = 0
-    for d, (bag, _) in enumerate(pairs):
-        for words in bag:
-            known = [vocabulary[w] for w in words if w in vocabulary]
-            ids += known
-            sentence += [s] * len(known)
-            document.append(d)
-            s += 1
-    y = np.array([y for _, y in pairs])
-    return _descend(np.array(ids, np.int64), np.array(sentence, np.int64), np.array(document, np.int64), y, weights, vocabulary, steps)
+    del counts
+    ids, sizes_of, documents, labels = array("i"), array("i"), array("i"), array("b")
+    for text, y in rows():
+        bag = [w for s in _SENTENCE.findall(text) if (w := words_of(s))]
+        if bag:
+            for words in bag:
+                known = sorted(vocabulary[w] for w in words if w in vocabulary)
+                ids.extend(known)
+                sizes_of.append(len(known))
+                documents.append(len(labels))
+            labels.append(y)
+    sentence = np.repeat(np.arange(len(sizes_of), dtype=np.int32), np.asarray(sizes_of, np.int64))
+    return _descend(np.asarray(ids, np.int32), sentence, np.asarray(documents, np.int32), np.asarray(labels), weights, vocabulary, steps)
 
 
 def _descend(ids, sentence, document, y, weights, vocabulary, steps) -> Model:
@@ -121,10 +130,12 @@ def _descend(ids, sentence, document, y, weights, vocabulary, steps) -> Model:
         slope = class_weight * np.where(y == 1, -(1 - NOISE) * clean / (NOISE + (1 - NOISE) * (1 - clean)), 1.0)
         g_sentence = slope[document] * p
         grad = np.append(np.bincount(ids, g_sentence[sentence], len(vocabulary)), g_sentence.sum())
-        grad[:-1] += DECAY * w[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
-        w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        rate = RATE / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w -= rate * (first / (1 - 0.9**step))
+        # Weights that the sparsity term outweighs stay zero: rare words that met a wrong label by chance.
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - rate[:-1] * SPARSITY, 0)
     return Model(float(w[-1]), {v: float(w[i]) for v, i in vocabulary.items() if abs(w[i]) >= LEAST_WEIGHT})
 
 
@@ -146,10 +157,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         F.octet_length("text") <= SAMPLE_BYTES
     )
     # Repeated ids: one text each, so the sample stays bounded.
-    rows = texts.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).sort("doc_id").collect()
-    picked = [sum(r.y == k for r in rows) for k in (0, 1)]
-    weights = tuple(totals.get(k, 0) / max(1, picked[k]) for k in (0, 1))
-    return fit([r.text for r in rows], [r.y for r in rows], weights)
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = written(rows.sort("doc_id"), "toxicity-sample")
+    picked = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights = tuple(totals.get(k, 0) / max(1, picked.get(k, 0)) for k in (0, 1))
+    # The sample is bounded by its parameters, and passes one part at a time.
+    return fit_rows(lambda: ((r.text, r.y) for r in rows.toLocalIterator()), weights)
 
 
 OFFENDING = "array<struct<start:int,end:int,score:double>>"
