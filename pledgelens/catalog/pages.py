@@ -159,14 +159,9 @@ def number_or_null(spark, sf):
 # --------------------------------------------------------------------------
 # Pages with an embedded state, rendered from orders
 # --------------------------------------------------------------------------
-def spread(spark, orders):
-    """The narrow order rows over all cores, before they become wide pages."""
-    return orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
-
-
 def state_pages(spark, sf):
     """One page per order: campaign, description, rewards and counters as embedded JSON."""
-    o = spread(spark, table(spark, sf, "orders")).join(
+    o = table(spark, sf, "orders").join(
         table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
     campaign = F.struct(
@@ -300,7 +295,7 @@ def reward_table(spark, sf):
 # Pages of the second family, rendered from orders
 # --------------------------------------------------------------------------
 def shop_pages(spark, sf):
-    o = spread(spark, table(spark, sf, "orders"))
+    o = table(spark, sf, "orders")
     key = F.col("o_orderkey")
     price = F.col("o_totalprice").cast("bigint").cast("string")
     html = F.concat(
@@ -359,10 +354,9 @@ def read_snapshot(spark, sf):
     return A.snapshot_items(made, "envelope", "event_id bigint, part bigint, status string, value double")
 
 
-@query("read_table", """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity),6)+0.0 AS qty FROM lineitem
-WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1""")
+@query("read_table", """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity),6)+0.0 AS qty FROM lineitem GROUP BY 1""")
 def read_table(spark, sf):
-    lines = A.read_table(spark, f"{sf}/lineitem.parquet").where("l_shipdate >= timestamp_ntz'1996-01-01'")
+    lines = A.read_table(spark, f"{sf}/lineitem.parquet")
     return lines.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("l_quantity")).alias("qty"))
 
 
@@ -413,11 +407,11 @@ def state_totals(spark, sf):
 
 
 @query("attach_states", f"""WITH {_FOUND}, s AS (SELECT url, string_agg(DISTINCT state, ',' ORDER BY state) AS states
-  FROM f WHERE state<>'view' GROUP BY 1)
+  FROM f GROUP BY 1)
 SELECT o_orderkey AS id, coalesce(states,'') AS states FROM orders
 LEFT JOIN s ON s.url = 'https://shop.example/u/' || o_custkey""")
 def attach_states(spark, sf):
-    states = B.merge_link_states(_found(spark, sf).where("state <> 'view'"))
+    states = B.merge_link_states(_found(spark, sf))
     recs = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("https://shop.example/u/"), "o_custkey").alias("sourceUrl"))
     return B.attach_states(recs, states).select("id", F.array_join("discoveredStates", ",").alias("states"))

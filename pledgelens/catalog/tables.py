@@ -290,7 +290,7 @@ _OV = {"id": "bigint", "collected": "double", "start_at": "timestamp", "tag": "s
 @query("overview", "WITH " + DEALS + union_sql(
     """ SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique, count(*)-count({c}) AS n_missing,
     round((count(*)-count({c}))*100.0/count(*),2)::DOUBLE AS pct_missing,
-    CASE WHEN '{c}' IN ('id','tag','segment','y','nationkey') THEN substr(arg_min({c}::VARCHAR, id),1,60) END AS sample
+    CASE WHEN '{c}' IN ('id','tag','segment','y','nationkey') THEN arg_min({c}::VARCHAR, id) END AS sample
     FROM deals""", _OV))
 def overview(spark, sf):
     out = H.overview(deals(spark, sf), "id")
@@ -309,9 +309,9 @@ def numeric_describe(spark, sf):
         (F.col(c) + 0.0).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
-_TOP = """ranked AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, v ASC NULLS LAST) AS rank
+_TOP = """ranked AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, md5(v) ASC NULLS LAST) AS rank
 FROM (SELECT "column", v, count(*) AS count FROM cells GROUP BY 1,2))
-SELECT "column", coalesce(substr(v,1,80),'nan') AS value, count, rank::INT AS rank FROM ranked WHERE rank<=20"""
+SELECT "column", coalesce(v,'nan') AS value, count, rank::INT AS rank FROM ranked WHERE rank<=20"""
 
 
 @query("categorical_counts", f"""WITH cells AS ({union_sql(
@@ -321,7 +321,7 @@ def categorical_counts(spark, sf):
 
 
 @query("category_bars", f"""WITH cells AS ({union_sql(
-    'SELECT ' + "'{c}'" + ' AS "column", {c} AS v FROM documents', ['lang', 'source'])}), {_TOP}""")
+    'SELECT ' + "'{c}'" + ' AS "column", {c} AS v FROM documents', ['text', 'lang', 'source'])}), {_TOP}""")
 def category_bars(spark, sf):
     return H.category_bars(table(spark, sf, "documents"), ["text", "lang", "source"])
 

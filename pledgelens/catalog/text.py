@@ -81,13 +81,13 @@ def corpus_forms(documents):
 
 @query("lemmatize", f"""
 WITH {_FORMS_SQL}
-SELECT doc_id, count(*)::INT AS n_lemmas, string_agg(coalesce(lemma, lower(token)), ' ' ORDER BY pos) AS lemmas
-FROM toks LEFT JOIN forms ON lower(token) = form GROUP BY doc_id""")
+SELECT doc_id, count(token)::INT AS n_lemmas, coalesce(string_agg(coalesce(lemma, lower(token)), ' ' ORDER BY pos), '') AS lemmas
+FROM documents LEFT JOIN toks USING (doc_id) LEFT JOIN forms ON lower(token) = form GROUP BY doc_id""")
 def lemmatize(spark, sf):
     docs = table(spark, sf, "documents")
     tokenized = docs.select("doc_id", T.tokenize("text", P.token_pattern).alias("tokens"))
     out = E.lemmatize(tokenized, "doc_id", "tokens", corpus_forms(docs))
-    return out.where(F.size("lemmas") > 0).select(
+    return out.select(
         "doc_id", F.size("lemmas").alias("n_lemmas"), F.array_join("lemmas", " ").alias("lemmas"))
 
 
@@ -293,7 +293,7 @@ _POS, _NEG = P.certainty, P.uncertainty
 sents AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s,1)-1 AS pos FROM
   (SELECT doc_id, list_filter(string_split_regex(readable,'[.!?]+'),
           lambda x: regexp_matches(x,'[^{SP}]')) AS s FROM lists)),
-hit AS (SELECT doc_id, regexp_extract_all(lower(substr(x,1,512)),'{P.token_pattern}') AS t FROM sents WHERE pos<200),
+hit AS (SELECT doc_id, regexp_extract_all(lower(x),'{P.token_pattern}') AS t FROM sents),
 e AS (SELECT doc_id, exp(len(list_filter(t, lambda x: x IN ({sql_words(_POS)})))) AS p,
              exp(len(list_filter(t, lambda x: x IN ({sql_words(_NEG)})))) AS m FROM hit)
 SELECT base.doc_id, round(avg(p/(p+m+1.0)),6)+0.0 AS sentiment_positive,

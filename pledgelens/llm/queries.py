@@ -93,10 +93,10 @@ WITH parts AS (
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages),
 judged AS (
-  SELECT page_id, host, path, CASE {' '.join(fits)} END AS rule, CASE {globs} END AS glob
+  SELECT page_id, host, path, CASE {' '.join(fits)} END AS rule, CASE {globs} END AS "glob"
   FROM (SELECT *, '.' || host || path AS url0 FROM parts))
-SELECT page_id, host, path, rule, glob,
-       CASE {verdicts} WHEN glob IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+SELECT page_id, host, path, rule, "glob",
+       CASE {verdicts} WHEN "glob" IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """
 
@@ -133,7 +133,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("bigint").alias("n_offending"))
 
 
-@query("op4_trigram_index")
+def _secrets_sql() -> str:
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    quoted = lambda p: p.replace("'", "''")
+    found = " UNION ALL ".join(
+        f"""
+  SELECT r, {i} AS o, '{rule.kind}' AS kind, m[i] AS v,
+         list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT r, m, g, unnest(generate_series(1, len(m))) AS i FROM (
+    SELECT r, regexp_extract_all(t, '{quoted(rule.pattern)}') AS m, string_split_regex(t, '{quoted(rule.pattern)}') AS g
+    FROM docs WHERE regexp_matches(t, '{quoted(rule.pattern)}')))
+  {f"WHERE length(regexp_extract(v, '{quoted(rule.pattern)}', {rule.group})) >= {rule.least}" if rule.least else ""}"""
+        for i, rule in enumerate(rules)
+    )
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+listed AS (
+  SELECT r, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+         string_agg(kind || ':' || CAST(s AS INT) || ':' || CAST(s + length(v) AS INT), ',' ORDER BY s, o) AS spans,
+         string_agg(kind || ':' || CAST(s AS INT) || ':' || CAST(s + length(v) AS INT), ',' ORDER BY s, o) FILTER (o < 3) AS base
+  FROM found GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (r)
+"""
+
+
+@query("op4_trigram_index", _secrets_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 

@@ -279,16 +279,13 @@ def train_test_split(df: DataFrame, id_col: str, y: str, share: float = 0.2, see
     return numbered.withColumn("is_test", (F.col("__rn") <= limit).cast("int")).drop("__rn")
 
 
-#: Leave-one-out means one model per row; beyond this it is refused.
-LEAVE_ONE_OUT_ROWS = 200
-
-
-def fold_assign(df: DataFrame, id_col: str, y: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Add ``fold``: stratified shuffled folds, or one fold per row for tiny data."""
-    sizes = list(class_sizes(df, y).values())
-    if sum(sizes) < 30 or min(sizes) < 5:
-        if sum(sizes) > LEAVE_ONE_OUT_ROWS:
-            raise ValueError("a class has fewer than five rows and leave-one-out would be too long")
+def fold_assign(
+    df: DataFrame, id_col: str, y: str, k: int = 5, seed: int = 42, scheme: str = "stratified"
+) -> DataFrame:
+    """Add ``fold``: ``stratified`` shuffled folds, or ``leave_one_out`` with a fold per row."""
+    if scheme not in ("stratified", "leave_one_out"):
+        raise ValueError(f"unknown scheme {scheme}")
+    if scheme == "leave_one_out":
         numbered = R.shuffled_row_number(df.withColumn("__all", F.lit(1)), id_col, ["__all"], seed, "__rn")
         return numbered.withColumn("fold", (F.col("__rn") - 1).cast("int")).drop("__rn", "__all")
     numbered = R.shuffled_row_number(df, id_col, [y], seed, "__rn")

@@ -29,32 +29,21 @@ TEXT_FEATURES = [
 # --------------------------------------------------------------------------
 # Lemmas
 # --------------------------------------------------------------------------
-def explode_tokens(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """``(id, pos, token)``: one row per token, in document order."""
-    return df.select(id_col, F.posexplode(tokens_col).alias("pos", "token"))
-
-
-def lemma_tokens(tokens: DataFrame, forms: DataFrame | None) -> DataFrame:
-    """Add ``lemma`` to an exploded token table from a ``(form, lemma)`` table.
-
-    A form without an entry is its own lemma, in lower case.
-    """
-    lowered = tokens.withColumn("form", F.lower("token"))
-    if forms is None:
-        return lowered.withColumn("lemma", F.col("form")).drop("form")
-    joined = lookup_join(lowered, forms.select("form", "lemma"), ["form"], "left")
-    return joined.withColumn("lemma", F.coalesce("lemma", "form")).drop("form")
-
-
 def lemmatize(df: DataFrame, id_col: str, tokens_col: str, forms: DataFrame | None) -> DataFrame:
     """Add ``lemmas``, one per token in token order, to a table with unique ids."""
     if forms is None:
         return df.withColumn("lemmas", F.transform(tokens_col, F.lower))
-    pairs = lemma_tokens(explode_tokens(df, id_col, tokens_col), forms)
-    lists = pairs.groupBy(id_col).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "lemma"))), lambda s: s["lemma"]).alias("lemmas"))
-    return df.join(lists, id_col, "left").withColumn(
-        "lemmas", F.coalesce("lemmas", F.array().cast("array<string>")))
+    # Only the distinct forms that have an entry leave their document; the rest is mapped inside the row.
+    distinct = df.select(id_col, F.explode(F.array_distinct(F.transform(tokens_col, F.lower))).alias("form"))
+    known = lookup_join(distinct, forms.select("form", "lemma"), ["form"], "inner")
+    maps = known.groupBy(id_col).agg(F.map_from_entries(F.collect_set(F.struct("form", "lemma"))).alias("__forms"))
+
+    def lemma(token: Column) -> Column:
+        form = F.lower(token)
+        return F.coalesce(F.col("__forms")[form], form)
+
+    lemmas = F.coalesce(F.transform(tokens_col, lemma), F.array().cast("array<string>"))
+    return df.join(maps, id_col, "left").withColumn("lemmas", lemmas).drop("__forms")
 
 
 def forms_reaching(terms: Iterable[str], forms: DataFrame | None) -> list[str]:
@@ -216,20 +205,13 @@ def score_sentences(
     scorer: Callable[[DataFrame], DataFrame],
     prefix: str = "sentiment",
     labels: tuple[str, ...] = ("positive", "negative", "neutral"),
-    max_sentences: int = 200,
-    max_chars: int = 512,
 ) -> DataFrame:
-    """Mean class probability over a document's sentences.
+    """Mean class probability over all sentences of a document.
 
-    The scorer receives ``(id, pos, sentence)`` and adds one column per label.
-    Each document contributes its first ``max_sentences`` sentences of at most
-    ``max_chars`` characters, which is what the scoring model accepts.
+    The scorer receives ``(id, pos, sentence)`` with whole sentences and adds one
+    column per label; a model that reads short inputs only cuts them itself.
     """
-    sentences = (
-        df.select(id_col, F.posexplode(T.split_sentences(text_col)).alias("pos", "sentence"))
-        .where(F.col("pos") < max_sentences)
-        .withColumn("sentence", F.substring("sentence", 1, max_chars))
-    )
+    sentences = df.select(id_col, F.posexplode(T.split_sentences(text_col)).alias("pos", "sentence"))
     means = scorer(sentences).groupBy(id_col).agg(
         *[F.avg(label).alias(f"{prefix}_{label}") for label in labels])
     return df.join(means, id_col, "left")

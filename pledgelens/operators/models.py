@@ -101,10 +101,13 @@ def fold_prepare(features: list[str], category: str | None = None, scaled: tuple
 
 def oof_predict(
     df: DataFrame, id_col: str, y: str, features: list[str], spec: tuple[Builder, bool], k: int = 5,
-    seed: int = 42, prepare: Prepare | None = None,
+    seed: int = 42, prepare: Prepare | None = None, scheme: str = "stratified",
 ) -> DataFrame:
-    """``(id, y, fold, probability)``: every row scored by a model that has not seen it."""
-    data = fold_assign(df, id_col, y, k, seed).persist()
+    """``(id, y, fold, probability)``: every row scored by a model that has not seen it.
+
+    ``scheme`` is that of ``fold_assign``; tiny tables may ask for ``leave_one_out``.
+    """
+    data = fold_assign(df, id_col, y, k, seed, scheme).persist()
     prepare = prepare or fold_prepare(features)
     out = None
     for fold in sorted(r[0] for r in data.select("fold").distinct().collect()):

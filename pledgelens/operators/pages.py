@@ -57,7 +57,6 @@ TAB_LABELS = {
     "participants": r"(?iu)участник[^\d]{0,10}(\d+)",
 }
 TAB_LINKS = {"newsCount": "/posts", "commentsCount": "/comments", "backersCount": "/backers"}
-TAB_TEXT_LIMIT, TAB_NODE_LIMIT = 90, 1200
 
 #: Field, then the class names that lead to its element, outermost first.
 ELEMENT_FIELDS = {
@@ -196,15 +195,11 @@ def _inner_text(source: Column) -> Column:
 
 
 def tab_counts_by_label(html, labels: dict[str, str] = TAB_LABELS) -> Column:
-    """Number after a label in the short text nodes; the first node that fits wins."""
-    texts = F.transform(F.regexp_extract_all(as_column(html), F.lit(r">([^<>]+)<"), F.lit(1)), U.page_trim)
-    nodes = F.slice(F.filter(texts, lambda t: (F.length(t) > 0) & (F.length(t) < TAB_TEXT_LIMIT)), 1, TAB_NODE_LIMIT)
-
-    def count(nodes: Column, pattern: str) -> Column:
-        hits = F.filter(nodes, lambda t: t.rlike(pattern))
-        return F.regexp_extract(F.get(hits, F.lit(0)), pattern, 1).try_cast("double")
-
-    return bind(nodes, lambda n: _struct_of({name: count(n, pattern) for name, pattern in labels.items()}))
+    """Number after a label anywhere in the page's text; tags between the two do not part them. The first wins."""
+    text = F.regexp_replace(as_column(html), F.lit("<[^<>]*>"), F.lit(" "))
+    return bind(text, lambda t: _struct_of({
+        name: F.regexp_extract(t, pattern, 1).try_cast("double") for name, pattern in labels.items()
+    }))
 
 
 def tab_counts_by_link(html, links: dict[str, str] = TAB_LINKS) -> Column:

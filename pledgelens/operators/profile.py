@@ -16,7 +16,8 @@ def overview(df: DataFrame, order_by: str) -> DataFrame:
     """Per column: type, distinct values, missing values and a sample.
 
     The sample is the value of the row with the smallest ``order_by``. Distinct
-    counting runs on (column, value) pairs, so every column spreads over tasks.
+    counting runs on pairs of column and 128-bit hash, so every column spreads over
+    tasks and no long text is shuffled.
     """
     types = dict(df.dtypes)
     as_text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns],
@@ -26,7 +27,8 @@ def overview(df: DataFrame, order_by: str) -> DataFrame:
         *[F.struct(F.count(c).alias("n"), F.min_by(c, "__key").alias("s")).alias(c) for c in df.columns])
     basics = wide.unpivot(["n_rows"], df.columns, "column", "x")
     distinct = (
-        as_text.unpivot([], df.columns, "column", "value").where("value is not null")
+        as_text.select(*[F.md5(c).alias(c) for c in df.columns])
+        .unpivot([], df.columns, "column", "value").where("value is not null")
         .groupBy("column", "value").agg(F.lit(1).alias("one"))
         .groupBy("column").agg(F.count(F.lit(1)).alias("n_unique")))
     kinds = F.create_map(*[F.lit(v) for item in types.items() for v in item])
@@ -35,7 +37,7 @@ def overview(df: DataFrame, order_by: str) -> DataFrame:
         "column", F.element_at(kinds, F.col("column")).alias("dtype"),
         F.coalesce("n_unique", F.lit(0)).alias("n_unique"), missing.alias("n_missing"),
         F.round(F.try_divide(missing * 100.0, F.col("n_rows")), 2).alias("pct_missing"),
-        F.substring("x.s", 1, 60).alias("sample"))
+        F.col("x.s").alias("sample"))
 
 
 def numeric_describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -51,17 +53,24 @@ def numeric_describe(df: DataFrame, columns: list[str] | None = None) -> DataFra
         F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
-def value_counts(df: DataFrame, columns: list[str], top: int = 20, cut: int = 80) -> DataFrame:
-    """The most frequent values per column, missing included; ties by value.
+def value_counts(df: DataFrame, columns: list[str], top: int = 20) -> DataFrame:
+    """The most frequent values per column, missing included; ties by the value's MD5.
 
-    The top-k filter is pushed below the shuffle, so a column with countless
-    values never meets in one task.
+    Values are counted by their 128-bit hash, and the top-k filter is pushed below
+    the shuffle. A second scan fetches the values of the at most ``top`` winners per
+    column, so no text is a key and a column with countless values never meets in one task.
     """
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("value"))
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    hashes = text.select(*[F.md5(c).alias(c) for c in columns]).unpivot([], columns, "column", "hash")
+    counts = hashes.groupBy("column", "hash").agg(F.count(F.lit(1)).alias("count"))
+    order = Window.partitionBy("column").orderBy(F.desc("count"), F.asc_nulls_last("hash"))
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.select("column", F.coalesce(F.substring("value", 1, cut), F.lit("nan")).alias("value"), "count", "rank")
+    values = (
+        text.unpivot([], columns, "column", "value").withColumn("hash", F.md5("value"))
+        .join(F.broadcast(best.select("column", "hash")), ["column", "hash"])
+        .groupBy("column", "hash").agg(F.min("value").alias("value")))
+    return best.join(F.broadcast(values), ["column", "hash"], "left").select(
+        "column", F.coalesce("value", F.lit("nan")).alias("value"), "count", "rank")
 
 
 def categorical_counts(df: DataFrame, top: int = 20, skip: list[str] = ()) -> DataFrame:
@@ -280,17 +289,18 @@ def linear_trend(df: DataFrame, columns: list[str], y: str) -> DataFrame:
         "feature", "s.slope", "s.intercept", "s.n").where("n >= 3")
 
 
-def few_valued_columns(df: DataFrame, columns: list[str], max_distinct: int = 30) -> list[str]:
+def few_valued_columns(df: DataFrame, columns: list[str], max_distinct: int) -> list[str]:
     """Columns with at most ``max_distinct`` non-null values."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    long = df.select(*[F.md5(F.col(c).cast("string")).alias(c) for c in columns]).unpivot([], columns, "column", "value")
     counts = long.where("value is not null").groupBy("column", "value").count().groupBy("column").count()
     many = {r["column"] for r in counts.where(F.col("count") > max_distinct).select("column").collect()}
     return [c for c in columns if c not in many]
 
 
-def category_bars(df: DataFrame, columns: list[str] | None = None, top: int = 20, max_distinct: int = 30) -> DataFrame:
-    """Top values of the columns that have few of them."""
-    return value_counts(df, few_valued_columns(df, columns or string_columns(df), max_distinct), top)
+def category_bars(df: DataFrame, columns: list[str] | None = None, top: int = 20, max_distinct: int | None = None) -> DataFrame:
+    """Top values per column; ``max_distinct`` leaves out the columns that have more values."""
+    columns = columns or string_columns(df)
+    return value_counts(df, columns if max_distinct is None else few_valued_columns(df, columns, max_distinct), top)
 
 
 def success_rate(df: DataFrame, col: str, y: str, top: int = 20) -> DataFrame:

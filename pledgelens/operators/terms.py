@@ -1,7 +1,7 @@
 """Corpus vocabulary, bags of words, TF-IDF and topics.
 
-Documents are exploded to ``(doc, term)`` rows and counted there; nothing holds
-a corpus, and a term that occurs in every document is only a counter.
+A document's terms are counted inside its row; only a row per distinct term of a
+task is shuffled. Nothing holds a corpus, and a term of every document is only a counter.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicons import RUSSIAN, LanguagePack
-from .features import explode_tokens, lemma_tokens
+from .features import lemmatize
 from .lookup import lookup_join
 
 
@@ -28,33 +28,33 @@ def _keep_terms(lemmas: Column, stop: list[str], longer_than: int) -> Column:
     return F.filter(lemmas, lambda t: (F.length(t) > longer_than) & ~t.isin(stop))
 
 
-def topic_terms(df: DataFrame, text_col: str, pack: LanguagePack = RUSSIAN, name: str = "terms") -> DataFrame:
-    """Add the lower-case terms for topic models as an array: short and stop words dropped."""
-    tokens = T.tokenize(F.lower(T.clean_topics(text_col, pack.letters)), pack.token_pattern)
-    return df.withColumn(name, _keep_terms(tokens, pack.topic_stop, 2))
+def _with_lemmas(df: DataFrame, tokens: Column, id_col: str | None, forms: DataFrame | None) -> DataFrame:
+    """Add ``lemmas`` of the tokens; without a ``(form, lemma)`` table the tokens themselves."""
+    if forms is None:
+        return df.withColumn("lemmas", tokens)
+    if id_col is None:
+        raise ValueError("lemmas need the name of a column of unique ids")
+    return lemmatize(df.withColumn("__tokens", tokens), id_col, "__tokens", forms).drop("__tokens")
 
 
-def tfidf_terms(df: DataFrame, text_col: str, pack: LanguagePack = RUSSIAN, name: str = "terms") -> DataFrame:
-    """Add the lower-case terms for TF-IDF: short tokens out before, stop words after the lemma."""
-    tokens = T.tokenize(F.lower(F.coalesce(text_col, F.lit(""))), pack.tfidf_pattern)
-    long = F.filter(tokens, lambda t: F.length(t) >= 3)
-    return df.withColumn(name, F.filter(long, lambda t: ~t.isin(pack.tfidf_stop)))
+def topic_terms(
+    df: DataFrame, text_col: str, pack: LanguagePack = RUSSIAN, name: str = "terms", forms: DataFrame | None = None,
+    id_col: str | None = None,
+) -> DataFrame:
+    """Add the lower-case terms for topic models as an array: lemmas, then short and stop words dropped."""
+    tokens = T.tokenize(F.lower(T.clean_topics(text_col, pack.letters)), pack.token_pattern)
+    out = _with_lemmas(df, tokens, id_col, forms)
+    return out.withColumn(name, _keep_terms(F.col("lemmas"), pack.topic_stop, 2)).drop("lemmas")
 
 
-def lemmatized_terms(
-    df: DataFrame, id_col: str, text_col: str, forms: DataFrame, pack: LanguagePack = RUSSIAN, tfidf: bool = False
+def tfidf_terms(
+    df: DataFrame, text_col: str, pack: LanguagePack = RUSSIAN, name: str = "terms", forms: DataFrame | None = None,
+    id_col: str | None = None,
 ) -> DataFrame:
-    """Terms as ``(id, pos, term)`` rows when a ``(form, lemma)`` table is at hand."""
-    if tfidf:
-        tokens = T.tokenize(F.lower(F.coalesce(text_col, F.lit(""))), pack.tfidf_pattern)
-        tokens = F.filter(tokens, lambda t: F.length(t) >= 3)
-        stop, longer_than = pack.tfidf_stop, 0
-    else:
-        tokens = T.tokenize(F.lower(T.clean_topics(text_col, pack.letters)), pack.token_pattern)
-        stop, longer_than = pack.topic_stop, 2
-    rows = lemma_tokens(explode_tokens(df.select(id_col, tokens.alias("__t")), id_col, "__t"), forms)
-    keep = (F.length("lemma") > longer_than) & ~F.col("lemma").isin(stop)
-    return rows.where(keep).select(id_col, "pos", F.col("lemma").alias("term"))
+    """Add the lower-case terms for TF-IDF: short tokens out before, stop words after the lemma."""
+    tokens = T.tokenize(F.lower(F.coalesce(text_col, F.lit(""))), pack.tfidf_pattern)
+    out = _with_lemmas(df, F.filter(tokens, lambda t: F.length(t) >= 3), id_col, forms)
+    return out.withColumn(name, F.filter("lemmas", lambda t: ~t.isin(pack.tfidf_stop))).drop("lemmas")
 
 
 def empty_text_count(df: DataFrame, terms_col: str = "terms") -> DataFrame:
@@ -82,19 +82,24 @@ def ngrams(terms: Column | str, longest: int = 2, shortest_word: int = 2) -> Col
 # Counts over the corpus
 # --------------------------------------------------------------------------
 def term_rows(df: DataFrame, id_col: str, terms_col: str = "terms") -> DataFrame:
-    """``(id, term, tf)``; counting starts before the shuffle, in the document's own task."""
-    return (
-        df.select(id_col, F.explode(terms_col).alias("term"))
-        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    """``(id, term, tf)`` of a table with a row per document; counted inside the row, without a shuffle."""
+    # Equal terms stand together once sorted: a term's count is the distance to where the next one starts.
+    ordered = df.select(id_col, F.array_sort(terms_col).alias("__t"))
+    starts = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.size("__t"), F.lit(1))),
+        lambda i: (F.size("__t") > 0) & ((i == 1) | (F.get("__t", i - 1) != F.get("__t", i - 2))))
+    ordered = ordered.withColumn("__s", starts)
+    ends = F.concat(F.slice("__s", F.lit(2), F.greatest(F.size("__s"), F.lit(0))), F.array(F.size("__t") + 1))
+    counts = F.zip_with("__s", F.slice(ends, F.lit(1), F.size("__s")), lambda a, b: F.struct(
+        F.get("__t", a - 1).alias("term"), (b - a).cast("bigint").alias("tf")))
+    return ordered.select(id_col, F.inline(counts))
 
 
 def vocabulary(
-    bags: DataFrame, n_docs: int, no_below: int = 2, no_above: float = 0.9, min_docs: int = 30
+    bags: DataFrame, n_docs: int, no_below: int = 2, no_above: float = 0.9
 ) -> DataFrame:
-    """``(term, df, n)``: document and total frequency, trimmed for corpora of ``min_docs`` and more."""
+    """``(term, df, n)``: document and total frequency of the terms in ``no_below`` documents and up to the share ``no_above``."""
     counts = bags.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
-    if n_docs < min_docs:
-        return counts
     return counts.where((F.col("df") >= no_below) & (F.col("df") <= F.lit(no_above * n_docs)))
 
 
@@ -115,16 +120,12 @@ def tfidf(
     it is small by construction and its terms are filtered before the shuffle.
     """
     n_docs = df.count()
-    min_df = min(min_df, max(1, n_docs // 5))
-    grams = df.select(id_col, ngrams(terms_col, longest).alias("__g"))
-    rows = grams.select(id_col, F.explode("__g").alias("term"))
-    counts = rows.groupBy("term", id_col).count().groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("count").alias("n"))
+    rows = term_rows(df.select(id_col, ngrams(terms_col, longest).alias("__g")), id_col, "__g")
+    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
     vocab = counts.where(F.col("df") >= min_df).orderBy(F.desc("n"), "term").limit(max_features)
     idf = (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")
     kept = rows.join(F.broadcast(vocab.select("term", idf)), "term")
-    weighted = kept.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")).withColumn(
-        "w", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
+    weighted = kept.withColumn("w", (F.lit(1.0) + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "term", "tf", (F.col("w") / norm).alias("weight"))
 
@@ -152,19 +153,17 @@ class TopicTransformer:
     seed: int = 42
     no_below: int = 2
     no_above: float = 0.9
-    min_docs: int = 30
-    max_vocabulary: int = 1 << 18
+    #: Most frequent terms kept; None keeps all. The model's matrix has ``k`` numbers for each on the driver.
+    max_vocabulary: int | None = None
     prefix: str = "lda_topic_"
     model: object = None
 
     def fit(self, df: DataFrame, terms_col: str = "terms") -> "TopicTransformer":
         n_docs = df.count()
-        trimmed = n_docs >= self.min_docs
         # The counter reads a limit of 1 and more as a number of documents.
         counter = CountVectorizer(
-            inputCol=terms_col, outputCol="__bow", vocabSize=self.max_vocabulary,
-            minDF=float(self.no_below if trimmed else 1),
-            maxDF=float(max(int(self.no_above * n_docs), 1)) if trimmed else float(2**62))
+            inputCol=terms_col, outputCol="__bow", vocabSize=self.max_vocabulary or 2**31 - 1,
+            minDF=float(self.no_below), maxDF=float(max(int(self.no_above * n_docs), 1)))
         lda = LDA(featuresCol="__bow", k=self.k, maxIter=self.passes, seed=self.seed, optimizer="online",
                   topicDistributionCol="__shares")
         self.model = Pipeline(stages=[counter, lda]).fit(df)
@@ -228,12 +227,9 @@ def coherence(bags: DataFrame, id_col: str, tops: DataFrame) -> DataFrame:
 
 
 def select_k_by_coherence(
-    df: DataFrame, id_col: str, terms_col: str = "terms", ks: range = range(2, 11), n_top: int = 8,
-    min_docs: int = 20, default: int = 5, **kwargs
-) -> tuple[int, DataFrame | None]:
+    df: DataFrame, id_col: str, terms_col: str = "terms", ks: range = range(2, 11), n_top: int = 8, **kwargs
+) -> tuple[int, DataFrame]:
     """Topic count with the best mean coherence, and the table of tried counts."""
-    if df.count() <= min_docs:
-        return default, None
     bags = term_rows(df, id_col, terms_col)
     tried = []
     for k in ks:

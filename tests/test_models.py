@@ -209,7 +209,7 @@ DOCS = ["the cat sat", "cat dog dog bird", "bird bird cat", "", "dog cat"]
 def test_tfidf_by_hand(spark):
     df = spark.createDataFrame([(i, d.split()) for i, d in enumerate(DOCS)], "id int, terms array<string>")
     got = {(r.id, r.term): r.weight for r in W.tfidf(df, "id", max_features=3, min_df=2).collect()}
-    # min_df is capped at max(1, 5 // 5) = 1; by total count: cat 4, then bird 3 and dog 3
+    # In two documents and more: cat, dog, bird; by total count: cat 4, then bird 3 and dog 3
     n, dfreq = 5, {"cat": 4, "dog": 2, "bird": 2}
     idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in dfreq.items()}
     raw = {"cat": idf["cat"], "dog": (1 + math.log(2)) * idf["dog"], "bird": idf["bird"]}
@@ -226,7 +226,9 @@ def test_ngrams_and_vocabulary(spark):
     bags = spark.createDataFrame([(i, "all", 1) for i in range(40)] + [(1, "rare", 1), (1, "ok", 1), (2, "ok", 2)],
                                  "id int, term string, tf long")
     assert {r.term for r in W.vocabulary(bags, 40).collect()} == {"ok"}
-    assert W.vocabulary(bags, 20).count() == 3
+    assert W.vocabulary(bags, 40, no_below=1, no_above=1.0).count() == 3
+    counted = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, []), (3, ["a"]), (4, None)], "id int, terms array<string>")
+    assert sorted(tuple(r) for r in W.term_rows(counted, "id").collect()) == [(1, "a", 1), (1, "b", 3), (3, "a", 1)]
 
 
 def test_topics(spark):

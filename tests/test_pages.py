@@ -111,6 +111,12 @@ def test_tab_links(spark):
     assert (got.newsCount, got.commentsCount, got.backersCount) == (12, 0, None)
 
 
+def test_tab_labels_in_nested_tags(spark):
+    page = "<ul><li><span>Комментарии <b>5</b></span></li>" + "<i>x</i>" * 1500 + "<li>Новости&nbsp;<em>12</em></li></ul>"
+    got = one(spark, B.tab_counts_by_label("t"), t=page)
+    assert (got.comments, got.news, got.participants) == (5, 12, None)
+
+
 def test_snapshot_and_link_files(spark, tmp_path):
     items = [{"status": "ok", "sourceUrl": "a"}, {"status": "error", "sourceUrl": "b"}]
     (tmp_path / "snap.json").write_text(json.dumps({"stats": {"total": 2}, "items": items}))

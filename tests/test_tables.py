@@ -54,7 +54,7 @@ def test_split_and_folds(spark):
     assert {(r.is_test, r.y): r["count"] for r in parts} == {(0, 0): 45, (0, 1): 34, (1, 0): 12, (1, 1): 8}
     folds = C.fold_assign(df, "id", "y").groupBy("fold", "y").count().collect()
     assert {r.fold for r in folds} == set(range(5)) and all(8 <= r["count"] <= 12 for r in folds)
-    tiny = C.fold_assign(df.limit(20), "id", "y")
+    tiny = C.fold_assign(df.limit(20), "id", "y", scheme="leave_one_out")
     assert tiny.select("fold").distinct().count() == 20
     w = C.balanced_weights(df, "y").groupBy("y").agg(F.sum("weight").alias("w")).collect()
     assert all(r.w == pytest.approx(49.5) for r in w)

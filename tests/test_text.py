@@ -102,13 +102,14 @@ def test_long_digit_run_is_linear(spark):
     assert row.money_mentions == 1 and row.has_specific_sum == 1
 
 
-def test_sentence_scores_cap_sentences_and_characters(spark):
+def test_sentence_scores_read_every_sentence_whole(spark):
     long = "да " * 400 + "плохо"
     many = ". ".join(["хорошо"] * 200 + ["плохо"] * 50)
     df = spark.createDataFrame([(1, long), (2, many), (3, "")], "id int, t string")
     out = {r.id: r for r in E.score_sentences(df, "id", "t", E.lexicon_scorer(["хорошо"], ["плохо"])).collect()}
-    assert out[1].sentiment_negative == pytest.approx(1 / 3)
-    assert out[2].sentiment_positive == pytest.approx(2.718281828 / (2.718281828 + 2), rel=1e-6)
+    e = 2.718281828
+    assert out[1].sentiment_negative == pytest.approx(e / (e + 2), rel=1e-6)
+    assert out[2].sentiment_positive == pytest.approx((200 * e + 50) / (250 * (e + 2)), rel=1e-6)
     assert out[3].sentiment_positive is None
     assert sum(out[2][f"sentiment_{k}"] for k in ("positive", "negative", "neutral")) == pytest.approx(1)
 
