@@ -193,11 +193,25 @@ def _rank_products(cells: DataFrame, left: DataFrame, right: DataFrame, lkeys: l
     return joined.groupBy("a", "b").agg(F.try_divide(n * sxy - sx * sy, scale).alias("r"))
 
 
+def _column_ranks(wide: DataFrame, columns: list[str], n_rows: int) -> DataFrame:
+    """``(feature, value, rank, w, w_total)``: average rank and number of rows of each distinct value."""
+    ranks = R.average_ranks(R.cumulate(R.melt_numeric(wide, columns), ["feature"], max_rows=n_rows))
+    return ranks.select("feature", "value", "rank", F.col("n").alias("w"), F.col("n_total").alias("w_total"))
+
+
+def _rank_rows(wide: DataFrame, columns: list[str], ranks: DataFrame) -> DataFrame:
+    """The rows with each value replaced by its rank: two shuffles of rows x columns, whatever the pairs."""
+    heavy = ranks.where((F.col("w") >= 1000) & (F.col("w") >= F.col("w_total") * 0.002))
+    long = R.melt_numeric(wide.withColumn("__row", F.monotonically_increasing_id()), columns, ["__row"])
+    ranked = lookup_join(long, ranks.select("feature", "value", "rank"), ["feature", "value"], "inner", hot=heavy, salt_on=["__row"])
+    return ranked.groupBy("__row").agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in columns])
+
+
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``(a, b, r)``: rank correlation with average ranks of the complete rows.
 
-    Columns without missing values are ranked once for all their pairs; other
-    pairs rank their own complete rows. One number per pair comes back, so the
+    Columns without missing values are ranked once, the ranks go back into the rows, and one aggregate takes all
+    their pairs; other pairs rank their own complete rows. One number per pair comes back, so the
     result is computed at once and the shared counts are released.
     """
     columns = sorted({c for pair in pairs for c in pair})
@@ -211,26 +225,21 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         partial = [p for p in pairs if not set(p) <= full]
         if whole:
             used = sorted({c for p in whole for c in p})
-            ranks = R.average_ranks(R.cumulate(R.melt_numeric(wide, used), ["feature"], max_rows=n_rows)).select(
-                "feature", "value", "rank", F.col("n").alias("w"), F.col("n_total").alias("w_total")).persist()
-            cells = _pair_cells(wide, whole)
-
-            def side(name: str, value: str) -> DataFrame:
-                return ranks.select(F.col("feature").alias(name), F.col("value").alias(value),
-                                    F.col("rank").alias(f"r{value}"), "w", "w_total")
-
-            found += _rank_products(cells, side("a", "x"), side("b", "y"), ["a", "x"], ["b", "y"]).collect()
+            ranks = _column_ranks(wide, used, n_rows).persist()
+            ranked = _rank_rows(wide, used, ranks)
+            row = ranked.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(whole)]).first()
             ranks.unpersist()
+            found += [{"a": a, "b": b, "r": row[f"p{i}"]} for i, (a, b) in enumerate(whole)]
         if partial:
             cells = _pair_cells(wide, partial).persist()
 
-            def ranked(side: str) -> DataFrame:
+            def side_ranks(side: str) -> DataFrame:
                 cum = R.cumulate(cells, ["a", "b"], side, {"n": F.sum("n")}, max_rows=n_rows)
                 return R.average_ranks(cum).select(
                     "a", "b", side, F.col("rank").alias(f"r{side}"), F.col("n").alias("w"),
                     F.col("n_total").alias("w_total"))
 
-            found += _rank_products(cells, ranked("x"), ranked("y"), ["a", "b", "x"], ["a", "b", "y"]).collect()
+            found += _rank_products(cells, side_ranks("x"), side_ranks("y"), ["a", "b", "x"], ["a", "b", "y"]).collect()
             cells.unpersist()
     finally:
         wide.unpersist()

@@ -15,7 +15,7 @@ from ..functions import text as T
 
 #: Distinct-value groups up to this many rows are ordered in one task.
 SINGLE_RANGE_ROWS = 500_000
-#: Value ranges per group beyond that.
+#: Value ranges per group beyond that, at least; more rows get more ranges.
 RANGES = 200
 
 
@@ -30,16 +30,18 @@ def melt_numeric(df: DataFrame, columns: list[str], ids: list[str] = ()) -> Data
 CHUNK = 14
 
 
-def _range_bounds(long: DataFrame, keys: list[str], value: str) -> DataFrame | None:
+def _range_bounds(long: DataFrame, keys: list[str], value: str, max_rows: int | None) -> DataFrame | None:
     """Inner range limits per group, or None when every group is small.
 
     The limits only steer how the work is spread; any limits give the same
-    result. They are fixed on the driver (groups x RANGES numbers) so that a
+    result. They are fixed on the driver (groups x ranges numbers) so that a
     recomputed task cuts exactly as the first one did.
     """
-    fractions = [i / RANGES for i in range(1, RANGES)]
+    most = max_rows or long.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    ranges = max(RANGES, 2 * most // SINGLE_RANGE_ROWS)
+    fractions = [i / ranges for i in range(1, ranges)]
     stats = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, fractions, 1000).alias("limits"))
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, fractions, 5 * ranges).alias("limits"))
     rows = stats.collect()
     if not rows or max(r["n"] for r in rows) <= SINGLE_RANGE_ROWS:
         return None
@@ -73,7 +75,7 @@ def cumulate(
     """
     measures = measures or {"n": F.count(F.lit(1))}
     small = max_rows is not None and max_rows <= SINGLE_RANGE_ROWS
-    bounds = None if small else _range_bounds(long, keys, value)
+    bounds = None if small else _range_bounds(long, keys, value, max_rows)
     counts = long.groupBy(*keys, value).agg(*[expr.alias(m) for m, expr in measures.items()])
     if bounds is None:
         running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
