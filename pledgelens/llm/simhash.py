@@ -214,8 +214,8 @@ def wide_links(distinct: DataFrame, radius: int, words: int = 4, block: int = WI
     def compared(batches):
         for batch in batches:
             for mine, others in zip(batch.column("mine"), batch.column("other")):
-                a = mine.values.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
-                b = a if others.values is None else others.values.values.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+                a = _table(mine.values, words)
+                b = a if others.values is None else _table(others.values, words)
                 forest, links = Forest(), []
                 for i, j in _close_wide(a, b, radius):
                     links += [
@@ -224,12 +224,18 @@ def wide_links(distinct: DataFrame, radius: int, words: int = 4, block: int = WI
                     ]
                 if links:
                     kind = pa.list_(pa.int64())
-                    sides = (a.view(np.int64)[[p for p, _ in links]], b.view(np.int64)[[q for _, q in links]])
-                    yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), kind) for x in sides], names=["a", "b"])
+                    sides = (a[[p for p, _ in links]], b[[q for _, q in links]])
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64).tolist(), kind) for x in sides], names=["a", "b"])
 
     return pairs.mapInArrow(compared, "a array<bigint>, b array<bigint>")
 
 
+def _table(members: pa.ListArray, words: int) -> np.ndarray:
+    """A row of unsigned words per fingerprint, a column after the other in memory."""
+    flat = members.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.asfortranarray(flat.reshape(-1, words))
+
+
 def _close_wide(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for at in range(0, len(a), STRIP):
         part = a[at:at + STRIP]
