@@ -336,6 +336,8 @@ def lasso_logit_cv(
     data = fold_assign(assembled, id_col, "label", folds, seed).persist()
     try:
         n = sum(sizes.values())
+        held = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+        parts = {fold: n - held.get(fold, 0) for fold in range(folds)}
 
         def model(c: float, rows: int) -> LogisticRegression:
             return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * rows), standardization=False, maxIter=200)
@@ -345,7 +347,7 @@ def lasso_logit_cv(
             hits = []
             for fold in range(folds):
                 train = data.where(F.col("fold") != fold)
-                scored = model(c, n * (folds - 1) // folds).fit(train).transform(data.where(F.col("fold") == fold))
+                scored = model(c, parts[fold]).fit(train).transform(data.where(F.col("fold") == fold))
                 hits.append(scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
             scores.append(float(np.mean(hits)))
         best = float(grid[int(np.argmax(scores))])
