@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, schema_with, sha256, strings, written
+from .common import extended, schema_with, sha256, slices, strings, written
 
 # Unicode's White_Space characters, and the pre-token pattern of the vocabulary.
 SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -183,7 +183,7 @@ def encode(
 
     def in_place(batches):
         bpe = loaded(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [bpe.encode(t) for t in strings(batch.column(text))]
             yield extended(batch, drop, **_results(bpe, ids, outputs))
 
@@ -238,7 +238,7 @@ def decode(encoded: DataFrame, ids: str = "ids", into: str = "text", vocabulary:
 
     def texts(batches):
         bpe = loaded(path)
-        for batch in batches:
+        for batch in slices(batches):
             made = [decoded(bpe, x or ()) for x in batch.column(ids).to_pylist()]
             yield extended(batch, **{into: pa.array(made, pa.string())})
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, schema_with, unwrapped, utf8, wrapped, written
+from .common import extended, schema_with, slices, unwrapped, utf8, wrapped, written
 
 WINDOW = 10
 #: Words of one automaton: what a task holds in memory and a broadcast may carry.
@@ -206,25 +206,34 @@ _SPANS = "array<struct<first:int,end:int>>"
 
 def scan(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, block_words: int = BLOCK_WORDS,
+    window: int = WINDOW, block_words: int = BLOCK_WORDS, cleaned: str | None = None,
 ) -> DataFrame:
-    """The documents with ``n_words``, ``hit_spans`` (word places, end exclusive) and ``hit_items`` (ids as text)."""
+    """The documents with ``n_words``, ``hit_spans`` (word places, end exclusive) and ``hit_items`` (ids as text).
+
+    ``cleaned`` names a column for the text without its hits; it may be the text column itself.
+    """
     types = {"n_words": "bigint", "hit_spans": _SPANS, "hit_items": "array<string>"}
-    out, blocks = docs, 0
-    for automaton in automata(benchmark, item_id, item_text, window, block_words):
-        if blocks:  # one automaton at a time in the tasks' memory
+    out, first = docs, True
+    blocks = automata(benchmark, item_id, item_text, window, block_words)
+    automaton = next(blocks, None) or Automaton([], window)
+    while automaton is not None:
+        following = next(blocks, None)
+        out = _scanned(out, text, automaton, types, first, None if following else cleaned)
+        if following is not None:  # one automaton at a time in the tasks' memory
             out = written(out, "decontamination")
-        out = _scanned(out, text, automaton, types, first=not blocks)
-        blocks += 1
-    return out if blocks else _scanned(docs, text, Automaton([], window), types, first=True)
+        automaton, first = following, False
+    return out
 
 
-def _scanned(docs: DataFrame, text: str, automaton: Automaton, types: dict[str, str], first: bool) -> DataFrame:
+def _scanned(
+    docs: DataFrame, text: str, automaton: Automaton, types: dict[str, str], first: bool, last: str | None = None,
+) -> DataFrame:
+    """One block's pass; the last one may leave the text without its hits in the column ``last``."""
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
     kinds = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
 
     def scanned(batches):
-        for batch in batches:
+        for batch in slices(batches):
             counts, spans, items = [], [], []
             before = [([], ())] * batch.num_rows if first else zip(
                 [[(s["first"], s["end"]) for s in x] for x in batch.column("hit_spans").to_pylist()],
@@ -236,12 +245,17 @@ def _scanned(docs: DataFrame, text: str, automaton: Automaton, types: dict[str,
                 counts.append(len(words))
                 spans.append([{"first": a, "end": b} for a, b in (merged(old + hit) if old else hit)])
                 items.append(sorted({*names, *found}))
-            yield extended(
-                batch, n_words=pa.array(counts, pa.int64()), hit_spans=pa.array(spans, kinds),
-                hit_items=pa.array(items, pa.list_(pa.string())),
-            )
+            made = {
+                "n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array(spans, kinds),
+                "hit_items": pa.array(items, pa.list_(pa.string())),
+            }
+            if last is not None:
+                made[last] = pa.array(
+                    [without(t.encode(), [(s["first"], s["end"]) for s in x]).decode() if x else t
+                     for t, x in zip(batch.column(text).to_pylist(), spans)], pa.string())
+            yield extended(batch, **made)
 
-    return docs.mapInArrow(scanned, schema_with(docs, **types))
+    return docs.mapInArrow(scanned, schema_with(docs, **types | ({} if last is None else {last: "string"})))
 
 
 def n_hit(spans: str = "hit_spans"):
@@ -260,16 +274,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_coverage: float = 0.5) -> DataFrame:
     """The documents with hit spans cut out of ``text``; those hit beyond ``max_coverage`` of their words go."""
-    hit = scan(wrapped(docs, text), benchmark, text).where(n_hit() <= F.col("n_words") * max_coverage)
-
-    def cleaned(batches):
-        for batch in batches:
-            made = batch.column(text).to_pylist()
-            for i, spans in enumerate(batch.column("hit_spans").to_pylist()):
-                if spans:
-                    made[i] = without(made[i].encode(), [(s["first"], s["end"]) for s in spans]).decode()
-            yield extended(batch, drop, **{text: pa.array(made, pa.string())})
-
-    drop = ("hit_spans", "hit_items", "n_words")
-    out = hit.mapInArrow(cleaned, schema_with(hit, drop, **{text: "string"}))
-    return unwrapped(out, docs.columns, text)
+    found = scan(wrapped(docs, text), benchmark, text, cleaned=text)
+    return unwrapped(found.where(n_hit() <= F.col("n_words") * max_coverage), docs.columns, text)

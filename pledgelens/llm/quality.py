@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import extended, schema_with, strings, unwrapped, wrapped
+from .common import extended, schema_with, slices, strings, unwrapped, wrapped
 
 MIN_WORDS = 10
 MAX_REPEATED = 20
@@ -161,7 +161,7 @@ def quality_rules(
 
     def measured(batches):
         words, letters = bpe.loaded(path), piece_letters(model)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [
                 measure(words, letters, t, g, limits)
                 for t, g in zip(strings(batch.column(text)), batch.column(lang).to_pylist())

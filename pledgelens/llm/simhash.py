@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pledgelens.operators.lookup import lookup_join
 
-from .common import extended, schema_with, utf8, written
+from .common import extended, schema_with, slices, utf8, written
 
 SEED = 42
 #: Fingerprints of a block; two blocks are compared at a time.
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, keep_tex
     drop = () if keep_text else (text,)
 
     def hashed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = [fingerprint(x, shingle) for x in utf8(batch.column(text))]
             yield extended(batch, drop, bits=pa.array(np.array(made, np.uint64).view(np.int64)))
 
@@ -303,7 +303,7 @@ def deduplicated(
     keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), name.alias("row"))
 
     def hashed(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = [wide_fingerprint(x, shingle, words) for x in utf8(batch.column("text"))]
             yield extended(batch, ("text",), bits=pa.array(made, pa.list_(pa.int64())))
 

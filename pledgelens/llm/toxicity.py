@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, schema_with, strings, written
+from .common import extended, schema_with, slices, strings, written
 
 #: Documents of a class that the model is fitted on, and the largest text among them.
 SAMPLE = 4000
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
     kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def scored(batches):
-        for batch in batches:
+        for batch in slices(batches):
             made = [shared.value.score(t) for t in strings(batch.column(text))]
             found = [[{"start": a, "end": b, "score": p} for a, b, p in x] for _, x in made]
             yield extended(batch, drop, score=pa.array([s for s, _ in made], pa.float64()), offending=pa.array(found, kinds))
