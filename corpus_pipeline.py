@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, similarity 0.8."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies stays: five words, Jaccard similarity 0.8 or more."""
+    return simhash.similar_removed(docs)
 
 
 def _measured(docs: DataFrame) -> DataFrame:

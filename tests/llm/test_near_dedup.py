@@ -1,0 +1,22 @@
+import corpus_pipeline
+from pledgelens.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline_stage_is_exact(spark):
+    """The stage keeps the first document of each group by the Jaccard similarity of five-word shingles itself."""
+    docs = table(spark, SF, "documents")
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    sets = []
+    for _, t in rows:
+        w = t.encode().lower().split()
+        sets.append({b" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (len(a & b) / len(a | b) if a or b else 1.0) >= 0.8 and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert got == {rows[g][0] for g in group}

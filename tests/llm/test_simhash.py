@@ -154,3 +154,44 @@ def test_wide_links_equal_brute_force(spark):
         got = {tuple(r.a): tuple(r.label) for r in simhash.components(simhash.wide_links(df, radius, 4, block)).collect()}
         named = [got.get(tuple(x), tuple(x)) for x in signed]
         assert len(set(zip(named, want))) == len(set(named)) == len(set(want))
+
+
+def test_similar_removed_equals_brute_force_jaccard(spark):
+    """Pairs between 0.6 and 0.9, repeated shingles, sets of few shingles: the exact similarity decides."""
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    texts = [None, "", " ", "one", "ONE", "a b c d e f g h", "a b c d e f g h i", "x y z u v " * 40, "x y z u v " * 41]
+    for _ in range(60):
+        w = [word() for _ in range(rnd.choice([9, 30, 100, 300]))]
+        v = w[:]
+        # Words at the end are changed, so that n of them take n shingles off.
+        changed = round((len(w) - 4) * rnd.choice([0.05, 0.081, 0.1, 0.111, 0.12, 0.14, 0.2]))
+        v[len(v) - changed:] = [word() for _ in range(changed)]
+        texts += [" ".join(w), " ".join(v)]
+        if rnd.random() < 0.3:
+            texts.append(" ".join(w + w + w[:4]))
+    rows = [(1000 - i, t, "k") for i, t in enumerate(texts)] + [(None, texts[9], "k"), (None, "no id at all", "k"), (None, "no id at all", "k")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t, _ in rows]
+    group, between = list(range(len(rows))), 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            like = len(a & b) / len(a | b) if a or b else 1.0
+            between += 0.75 <= like < 0.85
+            if like >= 0.8 and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    assert between >= 20
+    best = {}
+    for g, r in zip(group, rows):
+        best[g] = min(best.get(g, r), r, key=lambda x: (x[0] is None, x[0] or 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, bits string").repartition(4)
+    limits = simhash.EXACT_ROWS, simhash.WIDE_BLOCK
+    for simhash.EXACT_ROWS, simhash.WIDE_BLOCK in ((2, 8), limits):
+        got = [tuple(r) for r in simhash.similar_removed(docs).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, best.values()))
+    assert simhash.similar_removed(docs.limit(0)).count() == 0
