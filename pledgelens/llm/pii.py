@@ -3,15 +3,17 @@
 High-recall generators propose overlapping spans: the four base patterns, and wider ones for spelled-out e-mail addresses,
 spaced or dotted numbers and national phone numbers. A base candidate that passes its check (parts of an address, Luhn
 sum, number of digits) is personal data. Boosted trees score the wide candidates from format features
-(length, digits, groups, separators, a plus sign) and context features (a cue word before, a bracket or quote or
-a letter beside it). They are trained on base candidates, confirmed against refused ones, of a bounded sample of documents. A threshold per
-kind is calibrated on another part of the sample: the lowest score at which ``PRECISION`` of the
-candidates above it are confirmed, with no threshold (nothing added) where there are too few. A wide candidate also needs a cue word before it.
+(length, digits, groups, separators, a plus sign, the Luhn sum) and context features (a cue word before, a bracket or quote or
+a letter beside it). They are trained on rows of the wide form: confirmed base values written the wide way are the positives, e-mail
+addresses included; wide candidates without a cue or with a failing check, and spoilt or refused base values written the wide way, are
+the negatives. The fit takes a bounded sample of these rows. A threshold per
+kind is calibrated on the rows of all documents: the lowest score at which ``PRECISION`` of the rows above it are
+positives, ``FALLBACK`` where there are too few positives, and no wide span of the kind where no score is precise enough.
 
 Everything is DataFrame functions; the trees become expressions, so scoring is row-local with no shuffle.
 
-Defined cases: a null or empty text has no spans; repeated rows and rows without an id give a row each; without confirmed and
-refused candidates there is no model and only base spans; extra columns are left behind but for the named ones.
+Defined cases: a null or empty text has no spans; repeated rows and rows without an id give a row each; without a positive and
+a negative row there is no model and only base spans; extra columns are left behind but for the named ones.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unwrapped, wrapped
+from .common import unwrapped, wrapped, written
 from .spans import listing, tagged, with_matches
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -44,13 +46,16 @@ WIDE_PATTERNS = {
 }
 #: Words before a candidate that announce personal data.
 CUES = "(?i)(?:mail|phone|tel|call|fax|mobile|contact|telefon|tel[eé]fono|t[eé]l[eé]phone|card|iban|ssn)[^A-Za-z0-9\\n]{0,4}$"
-#: Documents, by the smallest hash of id and text, that the trees are trained and calibrated on.
+#: Rows of a kind and class that the trees are trained on, about; thresholds come from all rows.
 SAMPLE = 20_000
 TREES, DEPTH = 12, 3
 PRECISION = 0.95
-#: Confirmed candidates above a threshold, at least.
+#: Positives above a calibrated threshold, at least; a kind with fewer takes the fallback, where the trees' sum is 0.
 ENOUGH = 20
-FEATURES = ("length", "digits", "groups", "separators", "plus", "at", "cue", "letter_before", "letter_after", "quoted")
+FALLBACK = 0.5
+#: Digits of a national number.
+NATIONAL = (9, 13)
+FEATURES = ("length", "digits", "groups", "separators", "plus", "at", "cue", "letter_before", "letter_after", "quoted", "luhn")
 BINS = 200
 
 
@@ -97,6 +102,7 @@ def features(text: Column, m: Column) -> Column:
         F.size(F.split(value, "[^0-9A-Za-z]+")).cast("double"), F.length(F.regexp_replace(value, "[0-9A-Za-z]", "")).cast("double"),
         flag(F.startswith(value, F.lit("+"))), flag(F.contains(value, F.lit("@"))), flag(before.rlike(CUES)),
         flag(last.rlike("[A-Za-z]")), flag(following.rlike("[A-Za-z]")), flag(F.concat(last, following).rlike("[\"'(\\[]")),
+        flag(passes("card", value)),
     )
 
 
@@ -127,6 +133,10 @@ class Model:
             total = total + F.lit(weight) * of(tree)
         return total
 
+    def level(self, x: Column) -> Column:
+        """The score between 0 and 1."""
+        return (F.tanh(self.score(x)) + 1) / 2
+
 
 def _tree(node) -> _Node:
     if node.getClass().getSimpleName() == "LeafNode":
@@ -135,16 +145,63 @@ def _tree(node) -> _Node:
     return _Node(split.featureIndex(), split.threshold(), node.prediction(), _tree(node.leftChild()), _tree(node.rightChild()))
 
 
-def _candidates(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """A row per candidate: kind, x (features), y (1 if the base check passes)."""
-    found = with_matches(docs, "text", {k: (p, _may(k)) for k, p in patterns.items()})
+def _wide_forms(kind: str, value: Column) -> list[tuple[str, Column, Column]]:
+    """(wide kind, the base value written that way, 1 or 0): true values as they are, and spoilt."""
+    d, ok = digits_of(value), passes(kind, value).cast("double")
+    part = lambda a, n=32: F.substr(d, F.lit(a), F.lit(n))
+    pick = lambda xs: F.get(F.array(*map(F.lit, xs)), F.pmod(F.xxhash64(value), F.lit(len(xs))).cast("int"))
+    if kind == "email":
+        whole = r"^(.+)@([A-Za-z0-9-]+)(?:\.[A-Za-z0-9-]+)*\.([A-Za-z0-9-]+)$"
+        return [("email_spelled", F.regexp_replace(value, F.lit(whole), pick(["$1 at $2 dot $3", "$1[at]$2[dot]$3", "$1 (at) $2 (dot) $3"])), ok)]
+    if kind == "card":
+        def dotted(d: Column) -> Column:
+            cut = F.when(F.length(d) == 14, F.lit("^(.{4})(.{4})(.{3})(.*)$")).otherwise(F.lit("^(.{4})(.{4})(.{4})(.*)$"))
+            return F.regexp_replace(d, cut, F.lit("$1.$2.$3.$4"))
+
+        long = F.length(d).between(14, 16)
+        spoilt = F.concat(F.substr(d, F.lit(1), F.length(d) - 1), F.pmod(F.substr(d, F.length(d), F.lit(1)).cast("int") + 1, F.lit(10)).cast("string"))
+        return [("number_dotted", F.when(long, dotted(d)), ok), ("number_dotted", F.when(long & (ok > 0), dotted(spoilt)), F.lit(0.0))]
+    if kind == "phone":
+        gap = pick([" ", "-", "/", "."])
+        tail = F.when(F.length(d) < 13, part(9)).otherwise(F.concat(part(9, 3), gap, part(12)))
+        number = F.concat(F.lit("0"), part(3, 3), gap, part(6, 3), gap, tail)
+        date = F.concat(F.lit("0"), part(3, 1), gap, part(4, 2), gap, part(6, 4))
+        return [("phone_national", number, ok), ("phone_national", F.when(ok > 0, date), F.lit(0.0))]
+    return []
+
+
+def _found_wide(kind: str, m: Column, x: Column) -> Column:
+    """0 for a wide candidate that has no cue or fails its check; null if it may be personal data or is a base span."""
+    cue, digits = F.get(x, F.lit(FEATURES.index("cue"))) > 0, F.length(digits_of(m["value"]))
+    fine = {"email_spelled": F.lit(True), "number_dotted": passes("card", m["value"]), "phone_national": digits.between(*NATIONAL)}[kind]
+    open_ = cue & fine | (passes("ip", m["value"]) if kind == "number_dotted" else F.lit(False))
+    return F.when(~open_, F.lit(0.0))
 
-    def of_kind(kind: str) -> Column:
-        return F.transform(kind, lambda m: F.struct(
-            F.lit(kind).alias("kind"), features(F.col("text"), m).alias("x"), passes(kind, m["value"]).cast("double").alias("y")
-        ))
 
-    return found.select(F.explode(F.concat(*map(of_kind, patterns))).alias("c"), "part").select("c.*", "part")
+def _rows(docs: DataFrame) -> DataFrame:
+    """A row per labelled candidate of the wide form: kind, x (features), y, hash (of the text), at (its start)."""
+    patterns = {k: (p, _may(k)) for k, p in (BASE_PATTERNS | WIDE_PATTERNS).items() if k != "ip"}
+    found = with_matches(docs, "text", patterns)
+    text, lists = F.col("text"), []
+
+    def row(kind: str, m: Column, value: Column, y: Column) -> Column:
+        at = F.struct(m["start"].alias("start"), m["end"].alias("end"), value.alias("value"))
+        return F.struct(F.lit(kind).alias("kind"), m["start"].alias("at"), features(text, at).alias("x"), y.alias("y"))
+
+    def rewritten(kind: str, i: int) -> Column:
+        def of(m: Column) -> Column:
+            wide, value, y = _wide_forms(kind, m["value"])[i]
+            return F.when(value.rlike(f"^(?:{WIDE_PATTERNS[wide]})$"), row(wide, m, value, y))
+
+        return F.transform(kind, of)
+
+    def natural(kind: str) -> Column:
+        return F.transform(kind, lambda m: row(kind, m, m["value"], _found_wide(kind, m, features(text, m))))
+
+    lists += [rewritten(k, i) for k in ("email", "card", "phone") for i in range(len(_wide_forms(k, text)))]
+    lists += [natural(k) for k in WIDE_PATTERNS]
+    labelled = F.filter(F.concat(*lists), lambda r: r.isNotNull() & r["y"].isNotNull())
+    return found.select(F.explode(labelled).alias("r"), F.xxhash64("text").alias("hash")).select("r.*", "hash")
 
 
 def _may(kind: str) -> Column:
@@ -154,38 +211,44 @@ def _may(kind: str) -> Column:
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
-    """Trees from three quarters of the sampled documents, thresholds from the rest."""
-    keyed = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    # The bound is taken by hash before texts are sorted: only hashes pass through the sort.
-    edge = keyed.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
-    if edge is None:
+    """Trees from a sample of the labelled rows, thresholds from all of them."""
+    rows = written(_rows(docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))), "pii-rows")
+    sizes = {(r.kind, r.y): r.n for r in rows.groupBy("kind", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = {y: sum(min(n, sample) for (_, c), n in sizes.items() if c == y) for y in (0.0, 1.0)}
+    if not min(classes.values()):
         return Model([], {})
-    chosen = keyed.where(F.col("hash") <= edge).dropDuplicates(["hash"]).withColumn("part", F.pmod("hash", F.lit(4)))
-    rows = _candidates(chosen, BASE_PATTERNS).where("kind in ('card', 'phone', 'ip')").withColumn("v", array_to_vector("x"))
-    rows = rows.persist()
-    try:
-        classes = {r.y: r.n for r in rows.where("part > 0").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if min(classes.get(0.0, 0), classes.get(1.0, 0)) < ENOUGH:
-            return Model([], {})
-        fitted = GBTClassifier(featuresCol="v", labelCol="y", maxIter=TREES, maxDepth=DEPTH, seed=1, cacheNodeIds=False).fit(rows.where("part > 0"))
-        trees = [(w, _tree(t._call_java("rootNode"))) for w, t in zip(fitted.treeWeights, fitted.trees)]
-        model = Model(trees, {})
-        # Scores in bins, summed from the top: at most ``BINS`` rows.
-        binned = rows.where("part = 0").select(F.floor((F.tanh(model.score(F.col("x"))) + 1) / 2 * (BINS - 1)).alias("bin"), "y")
-        sums = sorted(binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).collect(), reverse=True)
-    finally:
-        rows.unpersist()
-    n = hits = 0.0
-    lowest = None
-    for r in sums:
-        n, hits = n + r.n, hits + r.hits
-        if hits >= ENOUGH and hits >= PRECISION * n:
-            lowest = r.bin
-    if lowest is not None:
-        model.thresholds = {k: lowest / (BINS - 1) for k in WIDE_PATTERNS}
+    # One of so many hashes of text and place, by kind and class; copies of a text count once.
+    every = F.lit(1)
+    for (kind, y), n in sizes.items():
+        every = F.when((F.col("kind") == kind) & (F.col("y") == y), -(-n // sample)).otherwise(every)
+    part = rows.where(F.pmod(F.xxhash64("hash", "at"), every) == 0).dropDuplicates(["hash", "at", "kind", "y"])
+    weight = F.when(F.col("y") > 0, 1.0 / classes[1.0]).otherwise(1.0 / classes[0.0]) * sum(classes.values()) / 2
+    part = part.select(array_to_vector("x").alias("v"), "y", weight.alias("w"))
+    fitted = GBTClassifier(featuresCol="v", labelCol="y", weightCol="w", maxIter=TREES, maxDepth=DEPTH, seed=1, cacheNodeIds=False).fit(part)
+    model = Model([(w, _tree(t._call_java("rootNode"))) for w, t in zip(fitted.treeWeights, fitted.trees)], {})
+    # Scores in bins: at most ``BINS`` rows of a kind.
+    binned = rows.select("kind", F.floor(model.level(F.col("x")) * (BINS - 1)).alias("bin"), "y")
+    sums = binned.groupBy("kind", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits")).collect()
+    model.thresholds = thresholds([(r.kind, r.bin, r.n, r.hits) for r in sums])
     return model
 
 
+def thresholds(sums: list[tuple[str, int, int, float]]) -> dict[str, float]:
+    """Per wide kind the lowest precise score, from (kind, bin, rows, positives); the fallback where there are too few positives."""
+    out = {}
+    for kind in WIDE_PATTERNS:
+        own = sorted(((b, n, h) for k, b, n, h in sums if k == kind), reverse=True)
+        if sum(h for _, _, h in own) < ENOUGH:
+            out[kind] = FALLBACK
+            continue
+        n = hits = 0.0
+        for b, more, h in own:
+            n, hits = n + more, hits + h
+            if hits >= ENOUGH and hits >= PRECISION * n:
+                out[kind] = b / (BINS - 1)
+    return out
+
+
 def scan(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with ``found``: the spans (start, kind_order, end, kind), in order."""
     kept = F.struct(*[F.col(c) for c in keep]).alias("kept")
@@ -198,8 +261,7 @@ def scan(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...
 
     def selected(kind: str) -> Column:
         scored = F.transform(kind, lambda m: F.struct(m.alias("m"), features(F.col("text"), m).alias("x")))
-        above = F.filter(scored, lambda s: (F.get(s["x"], F.lit(FEATURES.index("cue"))) > 0)
-                         & ((F.tanh(model.score(s["x"])) + 1) / 2 >= model.thresholds[kind]))
+        above = F.filter(scored, lambda s: model.level(s["x"]) >= model.thresholds[kind])
         return F.transform(above, lambda s: s["m"])
 
     tags = [tagged(confirmed(k), i, k) for i, k in enumerate(BASE_PATTERNS)]

@@ -83,3 +83,32 @@ def test_report_and_redaction(spark):
     for r in pii.report(docs).collect():
         sums = [hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in brute(t)).encode()).hexdigest() for t in texts[r.doc_id]]
         assert r.base_sha256 in sums
+
+
+def wide_kinds(spark, model, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: {x["kind"] for x in r.found} for r in pii.scan(docs, model).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def card(rnd):
+    d = [rnd.randrange(10) for _ in range(15)]
+    return next("".join(map(str, d + [c])) for c in range(10) if luhn("".join(map(str, d + [c]))))
+
+
+def test_trained_model_selects_planted_wide_spans(spark):
+    """train() itself selects spelled addresses, dotted cards and national numbers, with and without a cue, from few documents."""
+    rnd = random.Random(21)
+    texts = []
+    for i in range(12):
+        texts.append(f"write to user{i}.name@host{i}.org or so, number {card(rnd)} and +49 {rnd.randrange(100, 999)} {rnd.randrange(1000000, 9999999)} today")
+    for i in range(30):
+        texts.append(f"on 0{i % 9 + 1}/0{i % 8 + 1}/2020 there were {rnd.randrange(10**14, 10**15)} things and {i} more")
+    model = pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert set(model.thresholds) == set(pii.WIDE_PATTERNS)
+    dotted, spoilt = "4111.1111.1111.1111", "4111.1111.1111.1112"
+    got = wide_kinds(spark, model, [
+        "mail: jane.doe at example dot org now", "jane.doe at example dot org now", f"card {dotted} is", f"the {dotted} is", f"the {spoilt} is",
+        "phone 030 123 4567 or", "the 030 123 4567 or", "since 04/05/2021 or",
+    ])
+    assert got == [{"email_spelled"}, {"email_spelled"}, {"number_dotted"}, {"number_dotted"}, set(), {"phone_national"}, {"phone_national"}, set()]
