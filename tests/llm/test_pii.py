@@ -112,3 +112,9 @@ def test_trained_model_selects_planted_wide_spans(spark):
         "phone 030 123 4567 or", "the 030 123 4567 or", "since 04/05/2021 or",
     ])
     assert got == [{"email_spelled"}, {"email_spelled"}, {"number_dotted"}, {"number_dotted"}, set(), {"phone_national"}, {"phone_national"}, set()]
+
+
+def test_thresholds_by_kind():
+    """Each kind has its own; too few positives take the fallback, and no precise score leaves the kind out."""
+    sums = [("email_spelled", 190, 30, 30.0), ("email_spelled", 90, 40, 10.0), ("number_dotted", 199, 5, 5.0), ("phone_national", 150, 100, 50.0)]
+    assert pii.thresholds(sums) == {"email_spelled": 190 / (pii.BINS - 1), "number_dotted": pii.FALLBACK}
