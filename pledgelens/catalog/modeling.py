@@ -128,7 +128,8 @@ def model_table(spark, sf):
         C.clip_lower(C.funding_ratio("goal", "collected")).alias("funding_pct"))
 
 
-_SPECS = {"M0": ["log_goal"], "M1": ["log_goal", "day"], "M_full": FEATURES}
+_SPECS = {"M0": ["log_goal"], "M1": ["log_goal", "day"], "M2": ["log_goal", "nationkey"], "M3": ["log_goal", "log_collected", "has_balance"],
+          "M_full": FEATURES}
 
 
 @query("staged_specs_ols")
@@ -145,7 +146,7 @@ def staged_specs_tobit(spark, sf):
 
 @query("lasso_logit_cv")
 def lasso_logit_cv(spark, sf):
-    return J.lasso_logit_cv(model_table(spark, sf), FEATURES, "y", "id", n_c=4)[1]
+    return J.lasso_logit_cv(model_table(spark, sf), FEATURES, "y", "id")[1]
 
 
 # --------------------------------------------------------------------------
@@ -213,8 +214,8 @@ def best_model(spark, sf):
 # --------------------------------------------------------------------------
 # Classifiers
 # --------------------------------------------------------------------------
-ZOO = Z.model_zoo(forest_trees=10, forest_depth=4, boost_rounds=3)
-FOREST = Z.shallow_forest(trees=8, depth=4)
+ZOO = Z.model_zoo()
+FOREST = Z.shallow_forest()
 
 
 def forest(spark, sf):
@@ -224,25 +225,26 @@ def forest(spark, sf):
 
 @query("oof_predict")
 def oof_predict(spark, sf):
-    return Z.oof_predict(model_table(spark, sf), "id", "y", FEATURES, ZOO["LogReg_L1"], k=3)
+    return Z.oof_predict(model_table(spark, sf), "id", "y", FEATURES, ZOO["LogReg_L1"])
 
 
 @query("compare_models")
 def compare_models(spark, sf):
-    sets = {"A (controls + cat)": ["log_goal", "day"], "C (controls + cat + text)": FEATURES}
-    return Z.compare_models(model_table(spark, sf), "id", "y", sets, ZOO, k=3, category="tag")
+    sets = {"A (controls + cat)": ["log_goal", "day"], "B (text only)": ["log_collected", "nationkey", "has_balance"],
+            "C (controls + cat + text)": FEATURES}
+    return Z.compare_models(model_table(spark, sf), "id", "y", sets, ZOO, category="tag")
 
 
 @query("ablation")
 def ablation(spark, sf):
     return Z.ablation(model_table(spark, sf), "id", "y", FEATURES, ZOO["LogReg_L1"],
-                      {"goal": ["log_goal", "has_balance"], "time": ["day"]}, k=3)
+                      {"goal": ["log_goal", "has_balance"], "time": ["day"], "collected": ["log_collected"], "nation": ["nationkey"]})
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     fitted, rows = forest(spark, sf)
-    return Z.permutation_importance(fitted, rows.where("is_test = 1"), "id", "y", repeats=3)
+    return Z.permutation_importance(fitted, rows.where("is_test = 1"), "id", "y")
 
 
 @query("partial_dependence")
@@ -265,7 +267,7 @@ def impurity_top(spark, sf):
 
 @query("learning_curve")
 def learning_curve(spark, sf):
-    return Z.learning_curve(model_table(spark, sf), "id", "y", FEATURES, FOREST, sizes=[0.2, 0.6, 1.0])
+    return Z.learning_curve(model_table(spark, sf), "id", "y", FEATURES, FOREST)
 
 
 # --------------------------------------------------------------------------
@@ -362,13 +364,13 @@ def local_surrogate(spark, sf):
 @query("additive_logit")
 def additive_logit(spark, sf):
     rows = C.train_test_split(model_table(spark, sf), "id", "y")
-    model = X.additive_logit(rows.where("is_test = 0"), ["log_goal", "day"], "y", n_splines=8, max_iter=20)
+    model = X.additive_logit(rows.where("is_test = 0"), FEATURES, "y")
     return X.additive_report(model, rows.where("is_test = 1"), "id", "y")
 
 
 @query("additive_effects")
 def additive_effects(spark, sf):
-    model = X.additive_logit(model_table(spark, sf), ["log_goal", "day"], "y", n_splines=8, max_iter=20)
+    model = X.additive_logit(model_table(spark, sf), FEATURES, "y")
     return model.partial_effects(spark)
 
 
