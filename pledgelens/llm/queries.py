@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, divergence, licences, pii, quality, secrets, simhash, toxicity, urls, warc
+from . import bpe, conversations, decontam, divergence, embeddings, licences, pii, quality, secrets, simhash, toxicity, urls, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,90 @@ FROM items QUALIFY part = 'pair' OR rank <= 50
 @query("op12_cube_divergence", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def _repair_sql() -> str:
+    """The DP from the last row to the first; a state's value is (cost, audit, repaired rows), of which the least counts."""
+    after = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}
+    forward = {1: (3, "user"), 2: (3, "user"), 3: (4, "assistant"), 4: (3, "user")}
+    value = "{{cost: {0}, audit: {1}, lines: {2}}}".format
+
+    def row(s: int) -> str:
+        arcs = [value(f"4 + v[{s}].cost", f"'D' || v[{s}].audit", f"v[{s}].lines")]
+        for initial, h in after[s].items():
+            kept = value(f"o + v[{h}].cost", f"'K' || v[{h}].audit", f"list_prepend(role || ':' || text, v[{h}].lines)")
+            arcs.append(f"CASE WHEN NOT forced AND first = '{initial}' THEN {kept} END")
+        f, name = forward[s]
+        given = value(f"3 + o + v[{f}].cost", f"'R' || v[{f}].audit", f"list_prepend('{name}:' || text, v[{f}].lines)")
+        return f"list_sort([{', '.join([*arcs, f'CASE WHEN NOT forced THEN {given} END'])}])[1]"
+
+    def inserted(s: int) -> str:
+        f, name = forward[s]
+        g, more = forward[f]
+        one = value(f"3 + w[{f}].cost", f"'I' || w[{f}].audit", f"list_prepend('{name}:', w[{f}].lines)")
+        two = value(f"6 + w[{g}].cost", f"'II' || w[{g}].audit", f"list_prepend('{name}:', list_prepend('{more}:', w[{g}].lines))")
+        return f"list_sort([w[{s}], {one}, {two}])[1]"
+
+    none = "CAST([] AS VARCHAR[])"
+    end = [value("0::BIGINT", "''", none), value("6::BIGINT", "'II'", "['user:', 'assistant:']"), value("3::BIGINT", "'I'", "['assistant:']"),
+           value("0::BIGINT", "''", none)]
+    return rf"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: unicode(x)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS roll
+  FROM conversations),
+damaged AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, CASE WHEN roll = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN roll = 1 THEN '' WHEN roll = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN roll = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM raw WHERE roll <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, left(role, 1) AS first FROM damaged),
+faults AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS open, lag(first) OVER (PARTITION BY g ORDER BY i) || first AS two
+  FROM numbered),
+rows_ AS (SELECT g, i, role, text, first, blank OR again AS forced, CASE WHEN open THEN 3 ELSE 0 END AS o FROM faults),
+counts AS (
+  SELECT g, any_value(conv_id) AS conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (open AND NOT again AND NOT blank) AS truncated,
+         count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY g),
+b AS (
+  SELECT g, n + 1 AS i, [{', '.join(end)}] AS v FROM counts
+  UNION ALL
+  SELECT g, i, [{', '.join(inserted(s) for s in (1, 2, 3, 4))}] AS v
+  FROM (SELECT b.g, b.i - 1 AS i, [{', '.join(row(s) for s in (1, 2, 3, 4))}] AS w FROM b JOIN rows_ ON rows_.g = b.g AND rows_.i = b.i - 1))
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(v[1].cost, 0) AS cost, coalesce(v[1].audit, '') AS audit,
+       sha256(coalesce(array_to_string(v[1].lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN b ON b.g = counts.g AND b.i = 1
+"""
+
+
+@query("op11_path_ranking", _repair_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (
+  SELECT r, vec_id, e FROM v
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r, b.r AS s, b.vec_id AS other FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT r, r AS s FROM v UNION SELECT reach.r, links.s FROM reach JOIN links ON links.r = reach.s),
+named AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.s GROUP BY reach.r),
+counted AS (SELECT r, count(*) AS n_links FROM links GROUP BY r)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN named USING (r) LEFT JOIN counted USING (r)
+"""
+
+
+@query("op13_cross_polytope", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
