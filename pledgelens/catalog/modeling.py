@@ -14,11 +14,12 @@ from ..operators import metrics as M
 from ..operators import models as Z
 from ..operators import regress as J
 from ..operators import terms as W
+from ..operators.features import TEXT_FEATURES
 from ..operators.scaling import Scaler
 from ..session import ensure_checkpoint_dir
 from ..streaming import score as S
 from .base import query, r6, table
-from .tables import DEALS, LINES, deals, lines
+from .tables import DEALS, LINES, deals, labeled_features, lines
 from .terms import _TFIDF, tfidf_docs
 
 # --------------------------------------------------------------------------
@@ -146,7 +147,8 @@ def staged_specs_tobit(spark, sf):
 
 @query("lasso_logit_cv")
 def lasso_logit_cv(spark, sf):
-    return J.lasso_logit_cv(model_table(spark, sf), FEATURES, "y", "id")[1]
+    """The text features that tell documents of good quality."""
+    return J.lasso_logit_cv(labeled_features(spark, sf), TEXT_FEATURES, "y", "doc_id")[1]
 
 
 # --------------------------------------------------------------------------

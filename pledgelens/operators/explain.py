@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from . import ranks as R
+from .boosting import BoostedModel
 from .columns import to_matrix
 from .gram import summed
 from .metrics import ranking_metrics
@@ -99,6 +100,8 @@ def tree_leaves(fitted: Fitted, spark: SparkSession) -> tuple[list[Leaf], float]
     A forest's output is the class-1 probability, a boosted model's the log-odds.
     """
     model = fitted.model
+    if isinstance(model, BoostedModel):
+        return _boosted_leaves(model)
     boosted = not hasattr(model, "numClasses") or type(model).__name__.startswith("GBT")
     weights = model.treeWeights
     leaves: list[Leaf] = []
@@ -132,6 +135,27 @@ def tree_leaves(fitted: Fitted, spark: SparkSession) -> tuple[list[Leaf], float]
     return leaves, expected
 
 
+def _boosted_leaves(model: BoostedModel) -> tuple[list[Leaf], float]:
+    """All leaf paths of grown trees, and the expected margin."""
+    leaves, expected = [], model.base
+    for feature, cut, left, right, value, cover in model.trees:
+        at: list[tuple[int, dict]] = [(0, {})]
+        while at:
+            node, bounds = at.pop()
+            if left[node] < 0:
+                f = np.array(sorted(bounds), dtype=np.int64)
+                b = [bounds[i] for i in f]
+                share = cover[node] / max(cover[0], 1e-300)
+                leaves.append(Leaf(float(value[node]), f, *[np.array([x[k] for x in b]) for k in range(3)], share))
+                expected += value[node] * share
+                continue
+            low, high, under = bounds.get(int(feature[node]), (-math.inf, math.inf, 1.0))
+            parent = max(cover[node], 1e-300)
+            for child, edges in ((left[node], (low, min(high, cut[node]))), (right[node], (max(low, cut[node]), high))):
+                at.append((int(child), bounds | {int(feature[node]): (*edges, under * cover[child] / parent)}))
+    return leaves, float(expected)
+
+
 def _cover(node) -> float:
     """Weighted training rows that reach a node."""
     stats = node["impurityStats"]

@@ -2,32 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import boosting as B
 from . import metrics as M
 from . import ranks as R
-from .columns import TEXT_GROUPS, balanced_weights, class_sizes, feature_sets, fold_assign, one_hot, to_matrix
+from .columns import TEXT_GROUPS, balanced_weights, categories, class_sizes, feature_sets, fold_assign, one_hot, to_matrix
 from .scaling import Scaler
+from .stored import stored
 
-Builder = Callable[[int], Estimator]
+#: How to build a model of n rows, or a rule for boosted trees.
+Builder = Callable[[int], Estimator] | B.Boost
 #: ``prepare(train, test) -> (train, test, features)``; sees training rows only when fitting.
 Prepare = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, list[str]]]
 
 
 def model_zoo(forest_trees: int = 300, forest_depth: int = 10, boost_rounds: int = 200, seed: int = 42,
               c: float = 1.0) -> dict[str, tuple[Builder, bool]]:
-    """Name to ``(builder of n rows, balanced?)``: L1 logit, forest and boosted trees.
+    """Name to ``(builder of n rows, balanced?)``: L1 logit, forest, and boosted trees of three kinds.
 
-    The logit standardises its features; its penalty is 1 / (C n).
+    The logit standardises its features; its penalty is 1 / (C n). Boosted trees grow by the error of the gradients, by
+    leaf (31 leaves, 20 rows each) or by level (4 levels, penalised leaves).
     """
     common = {"featuresCol": "__x", "labelCol": "__y", "weightCol": "__w"}
     return {
@@ -35,8 +43,9 @@ def model_zoo(forest_trees: int = 300, forest_depth: int = 10, boost_rounds: int
             **common, elasticNetParam=1.0, regParam=1.0 / (c * n), standardization=True, maxIter=200), True),
         "RandomForest": (lambda n: RandomForestClassifier(
             **common, numTrees=forest_trees, maxDepth=forest_depth, seed=seed), True),
-        "GradBoost": (lambda n: GBTClassifier(
-            **common, maxIter=boost_rounds, maxDepth=3, stepSize=0.1, seed=seed), False),
+        "GradBoost": (B.first_order(boost_rounds), False),
+        "LeafBoost": (B.leaf_wise(boost_rounds), True),
+        "LevelBoost": (B.level_wise(boost_rounds), False),
     }
 
 
@@ -46,11 +55,9 @@ def shallow_forest(trees: int = 300, depth: int = 6, seed: int = 42) -> tuple[Bu
         featuresCol="__x", labelCol="__y", weightCol="__w", numTrees=trees, maxDepth=depth, seed=seed), True
 
 
-def slow_boost(rounds: int = 300, depth: int = 4, rate: float = 0.05, seed: int = 42) -> tuple[Builder, bool]:
-    """The boosted trees of the explanation report, balanced."""
-    return lambda n: GBTClassifier(
-        featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=rounds, maxDepth=depth, stepSize=rate,
-        seed=seed), True
+def slow_boost(rounds: int = 300, depth: int = 4, rate: float = 0.05) -> tuple[Builder, bool]:
+    """The boosted trees of the explanation report, grown by leaf, balanced."""
+    return B.leaf_wise(rounds, rate, depth), True
 
 
 @dataclass
@@ -66,6 +73,8 @@ class Fitted:
         filled = df.withColumns({
             n: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(0.0))
             for n, c in zip(x, self.features)})
+        if isinstance(self.model, B.BoostedModel):
+            return B.scored(filled, [F.col(c) for c in x], self.model, "__p").drop(*x, name).withColumnRenamed("__p", name)
         scored = self.model.transform(VectorAssembler(inputCols=x, outputCol="__x").transform(filled))
         own = self.model.getProbabilityCol()
         value = vector_to_array(own)[1]
@@ -77,12 +86,33 @@ class Fitted:
 def fit(df: DataFrame, features: list[str], y: str, spec: tuple[Builder, bool]) -> Fitted:
     """Fit a zoo entry; balanced entries weigh both classes alike."""
     build, balanced = spec
+    if isinstance(build, B.Boost):
+        weight = _class_weight(class_sizes(df, y), y) if balanced else F.lit(1.0)
+        return Fitted(B.fit_many(df, y, {"all": weight}, [(build, features, "all")])[0], features)
     rows = to_matrix(df, features, [y]).withColumn("__y", F.col(y).cast("double"))
     rows = balanced_weights(rows, "__y", "__w") if balanced else rows.withColumn("__w", F.lit(1.0))
     data = VectorAssembler(inputCols=features, outputCol="__x").transform(rows).select("__x", "__y", "__w")
     return Fitted(build(max(df.count(), 1)).fit(data), features)
 
 
+def _class_weight(sizes: dict, y: str) -> Column:
+    """Weights that give every class the same total."""
+    weight = F.lit(None).cast("double")
+    for value, size in sizes.items():
+        weight = F.when(F.col(y) == F.lit(value), F.lit(sum(sizes.values()) / (len(sizes) * size))).otherwise(weight)
+    return weight
+
+
+#: Fits that are sent to the cluster at the same time.
+PARALLEL_FITS = 4
+
+
+def _side_by_side(spark: SparkSession, calls: list[Callable], threads: int = PARALLEL_FITS) -> list:
+    """The results of independent fits, several of which share the cluster at a time."""
+    with ThreadPoolExecutor(threads) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
+
+
 def fold_prepare(features: list[str], category: str | None = None, scaled: tuple[str, ...] = ("readability_avg",)) -> Prepare:
     """Categories and scaling parameters learnt from the training rows of the fold."""
 
@@ -99,6 +129,89 @@ def fold_prepare(features: list[str], category: str | None = None, scaled: tuple
     return prepare
 
 
+@dataclass
+class Entry:
+    """A model to score: its names, features and kind; ``category`` adds 0/1 columns of that column's values."""
+
+    names: dict[str, str]
+    features: list[str]
+    spec: tuple[Builder, bool]
+    category: str | None = None
+
+
+def _boosted_scores(data: DataFrame, id_col: str, y: str, entries: list[tuple[int, Entry]], folds: list[int]) -> DataFrame:
+    """``(id, y, fold, entry, probability)`` of boosted entries; the models of all folds grow together."""
+    sizes = class_sizes(data, ["fold", y])
+    values = sorted({v for f, v in sizes})
+    widths = {c: categories(data, c) for c in {e.category for _, e in entries if e.category}}
+    for c, found in widths.items():
+        data = one_hot(data, c, values=found)
+    weights, models, own = {}, [], {}
+    for at, e in entries:
+        build, balanced = e.spec
+        own[at] = e.features + ([f"cat_{v}" for v in widths[e.category][1:]] if e.category else [])
+        for fold in folds:
+            rest = {v: n for v in values if (n := sum(k for (f, w), k in sizes.items() if f != fold and w == v))}
+            outside = F.col("fold") != fold
+            weights.setdefault(f"{fold} {balanced}", F.when(outside, _class_weight(rest, y) if balanced else F.lit(1.0)))
+            models.append((build, own[at], f"{fold} {balanced}"))
+    fitted = iter(B.fit_many(data, y, weights, models))
+    by_fold = {fold: {} for fold in folds}
+    for at, _ in entries:
+        for fold in folds:
+            by_fold[fold][at] = next(fitted)
+    names = sorted({c for f in own.values() for c in f})
+    shared = data.sparkSession.sparkContext.broadcast((by_fold, {at: [names.index(c) for c in f] for at, f in own.items()}))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models_of, places = shared.value
+        for batch in batches:
+            for fold, rows in batch.groupby("fold", sort=False):
+                x = rows[names].to_numpy(np.float64)
+                for at, model in models_of[fold].items():
+                    out = rows[[id_col, y, "fold"]].copy()
+                    out["entry"], out["probability"] = np.int32(at), model.probability(x[:, places[at]])
+                    yield out
+
+    kinds = dict(data.dtypes)
+    return to_matrix(data, names, [id_col, y, "fold"]).mapInPandas(
+        score, f"`{id_col}` {kinds[id_col]}, `{y}` {kinds[y]}, fold int, entry int, probability double")
+
+
+def oof_many(
+    df: DataFrame, id_col: str, y: str, entries: list[Entry], k: int = 5, seed: int = 42, prepare: Prepare | None = None,
+    scheme: str = "stratified",
+) -> DataFrame:
+    """``(names.., id, y, fold, probability)``: every row scored by each entry's model that has not seen it.
+
+    Boosted entries of all folds grow in step over one table; other fits run side by side. The scores are stored, and nothing stays cached.
+    """
+    data = fold_assign(df, id_col, y, k, seed, scheme).persist()
+    try:
+        folds = sorted(r[0] for r in data.select("fold").distinct().collect())
+        boosted = [(i, e) for i, e in enumerate(entries) if isinstance(e.spec[0], B.Boost) and prepare is None]
+
+        def one(i: int, e: Entry, fold: int) -> DataFrame:
+            ready = prepare or fold_prepare(e.features, e.category)
+            train, test, names = ready(data.where(F.col("fold") != fold), data.where(F.col("fold") == fold))
+            return fit(train, names, y, e.spec).predict(test).select(id_col, y, "fold", F.lit(i).alias("entry"), "probability")
+
+        rest = [i for i in range(len(entries)) if i not in dict(boosted)]
+        parts = _side_by_side(df.sparkSession, [lambda i=i, f=f: one(i, entries[i], f) for i in rest for f in folds])
+        if boosted:
+            parts.append(_boosted_scores(data, id_col, y, boosted, folds))
+        scored = parts[0]
+        for part in parts[1:]:
+            scored = scored.unionByName(part)
+        scored = stored(scored, "oof")
+    finally:
+        data.unpersist()
+    labels = list(dict.fromkeys(n for e in entries for n in e.names))
+    named = scored.withColumns({
+        n: F.element_at(F.array(*[F.lit(e.names.get(n)) for e in entries]), F.col("entry") + 1) for n in labels})
+    return named.select(*labels, id_col, y, "fold", "probability")
+
+
 def oof_predict(
     df: DataFrame, id_col: str, y: str, features: list[str], spec: tuple[Builder, bool], k: int = 5,
     seed: int = 42, prepare: Prepare | None = None, scheme: str = "stratified",
@@ -107,14 +220,7 @@ def oof_predict(
 
     ``scheme`` is that of ``fold_assign``; tiny tables may ask for ``leave_one_out``.
     """
-    data = fold_assign(df, id_col, y, k, seed, scheme).persist()
-    prepare = prepare or fold_prepare(features)
-    out = None
-    for fold in sorted(r[0] for r in data.select("fold").distinct().collect()):
-        train, test, names = prepare(data.where(F.col("fold") != fold), data.where(F.col("fold") == fold))
-        part = fit(train, names, y, spec).predict(test).select(id_col, y, "fold", "probability")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return oof_many(df, id_col, y, [Entry({}, features, spec)], k, seed, prepare, scheme)
 
 
 def compare_models(
@@ -124,16 +230,11 @@ def compare_models(
 ) -> DataFrame:
     """``(set, model, ROC_AUC, PR_AUC, F1, Precision, Recall)`` by out-of-fold scores."""
     sets, models = sets or feature_sets(df), models or model_zoo()
-    n, out = df.count(), None
-    for set_name, features in sets.items():
-        for model_name, spec in models.items():
-            cat = category if set_name[:1] in ("A", "C") else None
-            scored = oof_predict(df, id_col, y, features, spec, k, seed, fold_prepare(features, cat))
-            row = M.binary_metrics(scored, y, max_rows=n).select(
-                F.lit(set_name).alias("set"), F.lit(model_name).alias("model"),
-                "ROC_AUC", "PR_AUC", "F1", "Precision", "Recall")
-            out = row if out is None else out.unionByName(row)
-    return out
+    entries = [
+        Entry({"set": set_name, "model": model_name}, features, spec, category if set_name[:1] in ("A", "C") else None)
+        for set_name, features in sets.items() for model_name, spec in models.items()]
+    scored = oof_many(df, id_col, y, entries, k, seed)
+    return M.binary_metrics(scored, y, by=["set", "model"], max_rows=df.count())
 
 
 def ablation(
@@ -141,25 +242,16 @@ def ablation(
     groups: dict[str, list[str]] = TEXT_GROUPS, k: int = 5, seed: int = 42,
 ) -> DataFrame:
     """Change of ROC-AUC when a group of features is left out."""
-
-    n = df.count()
-
-    def auc(names: list[str], label: str) -> DataFrame:
-        scored = oof_predict(df, id_col, y, names, spec, k, seed)
-        return M.ranking_metrics(scored, y, "probability", max_rows=n).select(F.lit(label).alias("removed"), F.col("ROC_AUC").alias("AUC"))
-
-    base = auc(features, "none").select(F.col("AUC").alias("__base"))
-    out = None
-    for name, members in groups.items():
-        left = [c for c in features if c not in members]
-        if len(left) == len(features) or not left:
-            continue
-        row = auc(left, name)
-        out = row if out is None else out.unionByName(row)
-    if out is None:
+    left = {name: [c for c in features if c not in members] for name, members in groups.items()}
+    left = {name: rest for name, rest in left.items() if rest and len(rest) < len(features)}
+    if not left:
         return df.sparkSession.createDataFrame([], "removed string, AUC double, delta_AUC double")
+    entries = [Entry({"removed": "none"}, features, spec), *[Entry({"removed": name}, rest, spec) for name, rest in left.items()]]
+    scored = oof_many(df, id_col, y, entries, k, seed)
+    aucs = M.ranking_metrics(scored, y, "probability", ["removed"], df.count()).select("removed", F.col("ROC_AUC").alias("AUC"))
+    base = aucs.where("removed = 'none'").select(F.col("AUC").alias("__base"))
     # One-row base table.
-    return out.join(F.broadcast(base)).select("removed", "AUC", (F.col("AUC") - F.col("__base")).alias("delta_AUC"))
+    return aucs.where("removed <> 'none'").join(F.broadcast(base)).select("removed", "AUC", (F.col("AUC") - F.col("__base")).alias("delta_AUC"))
 
 
 # --------------------------------------------------------------------------
@@ -170,26 +262,31 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and deviation of the ROC-AUC drop when one feature is shuffled across the rows.
 
-    Each repeat pairs every row with a donor by two exact row numberings; all
-    features and repeats are scored and ranked in one job.
+    Rows are numbered once, in hash order. A repeat pairs number i with number a i + b modulo the rows, a keyed permutation of those
+    numbers; all repeats reach their rows in one join, and all features and repeats are scored and ranked in one job.
     """
     features = fitted.features
     rows = to_matrix(df, features, [id_col, y])
-    n = rows.count()
-    base = M.ranking_metrics(fitted.predict(rows), y, "probability", max_rows=n).first()["ROC_AUC"]
-    one = rows.withColumn("__all", F.lit(1))
-    numbered = R.shuffled_row_number(one, id_col, ["__all"], seed, "__rn")
-    shuffled = None
-    for r in range(1, repeats + 1):
-        donors = R.shuffled_row_number(one, id_col, ["__all"], seed + r, "__rn").select(
-            "__rn", F.struct(*features).alias("__d"))
-        pairs = numbered.join(donors, "__rn")
-        changed = F.array(*[
-            F.struct(F.lit(f).alias("feature"), *[
-                (F.col(f"__d.{c}") if c == f else F.col(c)).alias(c) for c in features])
-            for f in features])
-        part = pairs.select(F.col(y), F.lit(r).alias("repeat"), F.inline(changed))
-        shuffled = part if shuffled is None else shuffled.unionByName(part)
+    numbered = R.shuffled_row_number(rows.withColumn("__all", F.lit(1)), id_col, ["__all"], seed, "__rn").drop("__all")
+    numbered = stored(numbered.withColumn("__rn", F.col("__rn") - 1), "permuted-rows")
+    n = numbered.count()
+    base = M.ranking_metrics(fitted.predict(numbered), y, "probability", max_rows=n).first()["ROC_AUC"]
+    rng, keys = np.random.default_rng(seed), []
+    while len(keys) < repeats:
+        a = int(rng.integers(1, max(n, 2)))
+        if math.gcd(a, max(n, 1)) == 1:
+            keys.append((len(keys) + 1, a, int(rng.integers(0, max(n, 1)))))
+    moves = F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(a).cast("decimal(19,0)").alias("a"), F.lit(b).cast("bigint").alias("b")) for r, a, b in keys])
+    given = numbered.select("__rn", F.struct(*features).alias("__d"), F.explode(moves).alias("m")).select(
+        # The product may pass 64 bits.
+        F.pmod(F.col("__rn").cast("decimal(18,0)") * F.col("m.a") + F.col("m.b"), F.lit(max(n, 1)).cast("decimal(18,0)")).cast("bigint").alias("__rn"),
+        F.col("m.repeat").alias("repeat"), "__d")
+    pairs = given.join(numbered.drop(id_col), "__rn")
+    changed = F.array(*[
+        F.struct(F.lit(f).alias("feature"), *[
+            (F.col(f"__d.{c}") if c == f else F.col(c)).alias(c) for c in features])
+        for f in features])
+    shuffled = pairs.select(F.col(y), "repeat", F.inline(changed))
     scored = fitted.predict(shuffled).select(y, "feature", "repeat", "probability")
     drops = M.ranking_metrics(scored, y, "probability", ["feature", "repeat"], n).withColumn(
         "drop", F.lit(base) - F.col("ROC_AUC"))
@@ -233,7 +330,8 @@ def ice_curves(
 
 def impurity_top(fitted: Fitted, spark, n: int = 6) -> DataFrame:
     """The features a tree model splits on most profitably."""
-    weights = fitted.model.featureImportances.toArray()
+    own = isinstance(fitted.model, B.BoostedModel)
+    weights = fitted.model.importances if own else fitted.model.featureImportances.toArray()
     rows = sorted(((f, float(w)) for f, w in zip(fitted.features, weights)), key=lambda r: (-r[1], r[0]))[:n]
     return spark.createDataFrame(rows, "feature string, importance double")
 
@@ -249,23 +347,32 @@ def learning_curve(
     counts = class_sizes(df, y)
     n, k = sum(counts.values()), max(2, min(k, min(counts.values())))
     sizes = sizes or [float(s) for s in np.linspace(0.2, 1.0, min(8, max(3, n - k)))]
-    data = fold_assign(df, id_col, y, k, seed).persist()
-    scored = None
+    data = fold_assign(df, id_col, y, k, seed)
     for fold in range(k):
-        train = data.where(F.col("fold") != fold).withColumn("__all", F.lit(1))
-        train = R.shuffled_row_number(train, id_col, ["__all"], seed + 1, "__rn").persist()
-        held, total = data.where(F.col("fold") == fold), train.count()
-        for size in sizes:
-            rows = int(total * size)
-            part = train.where(F.col("__rn") <= rows)
-            if len(class_sizes(part, y)) < 2:
-                continue
-            model = fit(part, features, y, spec)
-            for side, rows_of in (("train", part), ("validation", held)):
-                s = model.predict(rows_of).select(
-                    F.lit(side).alias("side"), F.lit(size).alias("share"), F.lit(fold).alias("fold"),
-                    F.lit(rows).alias("n_train"), F.col(y).alias("y"), "probability")
-                scored = s if scored is None else scored.unionByName(s)
+        # Numbers among the training rows of the fold; those of its held rows are not used.
+        data = R.shuffled_row_number(data.withColumn("__t", F.col("fold") != fold), id_col, ["__t"], seed + 1, f"__rn{fold}").drop("__t")
+    data = stored(to_matrix(data, features, [id_col, y, "fold", *[f"__rn{f}" for f in range(k)]]), "learning-rows")
+    held = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    cells = [(fold, size, int((n - held.get(fold, 0)) * size)) for fold in range(k) for size in sizes]
+    seen = data.groupBy(y).agg(*[F.count_if((F.col("fold") != f) & (F.col(f"__rn{f}") <= rows)).alias(f"n{i}") for i, (f, _, rows) in enumerate(cells)]).collect()
+    inside = [{r[y]: r[f"n{i}"] for r in seen if r[f"n{i}"]} for i in range(len(cells))]
+    used = [i for i, found in enumerate(inside) if len(found) > 1]
+    part = {i: (F.col("fold") != cells[i][0]) & (F.col(f"__rn{cells[i][0]}") <= cells[i][2]) for i in used}
+    if isinstance(spec[0], B.Boost):
+        weights = {str(i): F.when(part[i], _class_weight(inside[i], y) if spec[1] else F.lit(1.0)) for i in used}
+        grown = B.fit_many(data, y, weights, [(spec[0], features, str(i)) for i in used])
+        models = [Fitted(m, features) for m in grown]
+    else:
+        models = _side_by_side(df.sparkSession, [lambda i=i: fit(data.where(part[i]), features, y, spec) for i in used])
+    scored = None
+    for i, model in zip(used, models):
+        fold, size, rows = cells[i]
+        judged = data.where(part[i] | (F.col("fold") == fold))
+        s = model.predict(judged).select(
+            F.when(F.col("fold") == fold, "validation").otherwise("train").alias("side"), F.lit(size).alias("share"), F.lit(fold).alias("fold"),
+            F.lit(rows).alias("n_train"), F.col(y).alias("y"), "probability")
+        scored = s if scored is None else scored.unionByName(s)
+    scored = stored(scored, "learning-scores")
     aucs = M.ranking_metrics(scored, "y", "probability", ["side", "share", "fold", "n_train"], n)
 
     def at(side: str, fn) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks as R
-from .columns import class_sizes, numeric_columns, string_columns, varying_columns
+from .columns import MAX_CLASSES, class_sizes, numeric_columns, string_columns, varying_columns
 from .lookup import lookup_join
 
 
@@ -344,7 +344,7 @@ def profile_report(
     if y is not None:
         report["summary/target_balance"] = target_balance(df, y)
         report["target_analysis/group_stats"] = group_stats(df, [c for c in nums if c != y], y)
-        for c in few_valued_columns(df, cats) if cats else []:
+        for c in few_valued_columns(df, cats, MAX_CLASSES) if cats else []:
             report[f"categorical/success_{c}"] = success_rate(df, c, y)
     if target is not None and target in df.columns:
         report["bivariate/trends"] = linear_trend(df, [c for c in nums if c != target], target)

@@ -10,8 +10,6 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -315,12 +313,101 @@ def tobit(
 # --------------------------------------------------------------------------
 # L1 selection and the staged specifications
 # --------------------------------------------------------------------------
+@dataclass
+class _Path:
+    """One model on its way to the minimum of logistic loss plus penalty: accepted weights, a direction and a step."""
+
+    penalty: float
+    weights: np.ndarray
+    value: float = math.inf
+    move: np.ndarray | None = None
+    slope: float = 0.0
+    step: float = 1.0
+    settled: bool = False
+
+    def trial(self) -> np.ndarray:
+        return self.weights if self.move is None else self.weights + self.step * self.move
+
+    def take(self, loss: float, gradient: np.ndarray, hessian: np.ndarray, tol: float) -> None:
+        """What the rows say of the trial: halve the step, or accept it and find the next direction."""
+        trial = self.trial()
+        value = loss + self.penalty * float(np.abs(trial[1:]).sum())
+        if self.move is not None and value > self.value + 1e-4 * self.step * self.slope + 1e-12 * abs(self.value):
+            self.step /= 2
+            self.settled = self.step < 1e-6
+            return
+        self.weights, self.value = trial, value
+        self.move = _l1_direction(trial, gradient, hessian, self.penalty)
+        moved = trial + self.move
+        self.slope = float(gradient @ self.move) + self.penalty * float(np.abs(moved[1:]).sum() - np.abs(trial[1:]).sum())
+        self.step, self.settled = 1.0, float(np.abs(self.move).max()) < tol
+
+
+def _l1_direction(w: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, penalty: float) -> np.ndarray:
+    """The step to the minimum of the quadratic model plus penalty, a coordinate at a time; the first weight is free."""
+    hessian = hessian + 1e-9 * max(float(np.trace(hessian)), 1e-9) / len(w) * np.eye(len(w))
+    move, slope = np.zeros(len(w)), gradient.copy()
+    for _ in range(1000):
+        most = 0.0
+        for j in range(len(w)):
+            at, curve = w[j] + move[j], hessian[j, j]
+            goal = at - slope[j] / curve
+            goal = goal if j == 0 else math.copysign(max(abs(goal) - penalty / curve, 0.0), goal)
+            change = goal - at
+            if change:
+                move[j] += change
+                slope = slope + change * hessian[:, j]
+                most = max(most, abs(change))
+        if most < 1e-12:
+            break
+    return move
+
+
+def lasso_logit_paths(
+    data: DataFrame, names: list[str], y: str, cells: list[tuple[float, int | None]], tol: float = 1e-7, max_passes: int = 60,
+) -> np.ndarray:
+    """Weights (constant first) of each cell ``(penalty, fold left out or None)``, all found together.
+
+    ``data`` has the standardised ``names``, ``y`` and ``fold``. Every pass over the rows gives all cells the loss, gradient and curvature
+    at their trial points; a cell then takes a proximal Newton step of its own.
+    """
+    k = len(names) + 1
+    paths = [_Path(c, np.zeros(k)) for c, _ in cells]
+    columns = [*names, y, "fold"]
+    for _ in range(max_passes):
+        active = [i for i, p in enumerate(paths) if not p.settled]
+        if not active:
+            break
+        trials = np.stack([paths[i].trial() for i in active])
+        held = np.array([-1 if cells[i][1] is None else cells[i][1] for i in active])
+
+        def block(rows: np.ndarray, trials=trials, held=held) -> np.ndarray:
+            x = np.column_stack([np.ones(len(rows)), rows[:, :-2]])
+            t, fold = rows[:, -2:-1], rows[:, -1:]
+            eta = x @ trials.T
+            inside = fold != held
+            p = 1.0 / (1.0 + np.exp(-np.clip(eta, -500, 500)))
+            loss = ((np.logaddexp(0.0, eta) - t * eta) * inside).sum(axis=0)
+            gradient = ((p - t) * inside).T @ x
+            curve = p * (1 - p) * inside
+            hessian = np.stack([(x * curve[:, [i]]).T @ x for i in range(len(held))])
+            return np.concatenate([loss, gradient.ravel(), hessian.ravel()])
+
+        out, m = summed(data, columns, block), len(active)
+        gradients = out[m: m + m * k].reshape(m, k)
+        hessians = out[m + m * k:].reshape(m, k, k)
+        for at, i in enumerate(active):
+            paths[i].take(float(out[at]), gradients[at], hessians[at], tol)
+    return np.stack([p.weights for p in paths])
+
+
 def lasso_logit_cv(
     df: DataFrame, features: list[str], y: str, id_col: str, n_c: int = 10, folds: int = 3, seed: int = 42
 ) -> tuple[float | None, DataFrame]:
     """Best inverse penalty by cross-validated accuracy and the coefficients it keeps.
 
-    Features are standardised; coefficients are sorted by absolute size, zeros left out.
+    Features are standardised; coefficients are sorted by absolute size, zeros left out. The models of all penalties and folds, and those
+    of all rows, are one batch: a pass over the rows serves them all.
     """
     spark = df.sparkSession
     empty = spark.createDataFrame([], "feature string, coef double")
@@ -329,33 +416,29 @@ def lasso_logit_cv(
     sizes = class_sizes(matrix, y)
     if not names or len(sizes) < 2:
         return None, empty
-    scaled = zscore(matrix.select(id_col, y, *names), names)
     folds = min(folds, min(sizes.values()))
-    assembled = VectorAssembler(inputCols=names, outputCol="features").transform(scaled).select(
-        id_col, F.col(y).cast("double").alias("label"), "features")
-    data = fold_assign(assembled, id_col, "label", folds, seed).persist()
+    scaled = zscore(matrix.select(id_col, F.col(y).cast("double").alias("__y"), *names), names)
+    data = fold_assign(scaled, id_col, "__y", folds, seed).select(*names, "__y", "fold").persist()
     try:
-        n = sum(sizes.values())
-        held = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
-        parts = {fold: n - held.get(fold, 0) for fold in range(folds)}
-
-        def model(c: float, rows: int) -> LogisticRegression:
-            return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * rows), standardization=False, maxIter=200)
+        grid = np.logspace(-4, 4, n_c)
+        cells = [(1.0 / c, fold) for c in grid for fold in [*range(folds), None]]
+        weights = lasso_logit_paths(data, names, "__y", cells).reshape(n_c, folds + 1, -1)
 
-        grid, scores = np.logspace(-4, 4, n_c), []
-        for c in grid:
-            hits = []
+        def hits(rows: np.ndarray) -> np.ndarray:
+            x = np.column_stack([np.ones(len(rows)), rows[:, :-2]])
+            t, out = rows[:, -2] > 0.5, np.zeros((folds, n_c + 1))
             for fold in range(folds):
-                train = data.where(F.col("fold") != fold)
-                scored = model(c, parts[fold]).fit(train).transform(data.where(F.col("fold") == fold))
-                hits.append(scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
-            scores.append(float(np.mean(hits)))
-        best = float(grid[int(np.argmax(scores))])
-        weights = model(best, n).fit(data).coefficients.toArray()
+                own = rows[:, -1] == fold
+                out[fold, :n_c] = ((x[own] @ weights[:, fold].T > 0) == t[own, None]).sum(axis=0)
+                out[fold, n_c] = own.sum()
+            return out.ravel()
+
+        counted = summed(data, [*names, "__y", "fold"], hits).reshape(folds, n_c + 1)
     finally:
         data.unpersist()
-    rows = sorted(((c, float(w)) for c, w in zip(names, weights) if w != 0), key=lambda r: (-abs(r[1]), r[0]))
-    return best, spark.createDataFrame(rows, "feature string, coef double") if rows else empty
+    best = int((counted[:, :n_c] / counted[:, n_c:]).mean(axis=0).argmax())
+    rows = sorted(((c, float(w)) for c, w in zip(names, weights[best, folds, 1:]) if w != 0), key=lambda r: (-abs(r[1]), r[0]))
+    return float(grid[best]), spark.createDataFrame(rows, "feature string, coef double") if rows else empty
 
 
 def staged_specs(

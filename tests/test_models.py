@@ -266,3 +266,28 @@ def test_stream_equals_batch(spark, tmp_path):
     want = S.score_documents(docs, "text", scaler, WESTERN)
     got = spark.read.parquet(str(tmp_path / "out")).select(want.columns)
     assert got.exceptAll(want).count() == 0 and got.count() == 30
+
+
+def test_lasso_paths_meet_the_conditions_of_the_minimum(spark, data):
+    """Every weight's gradient balances the penalty, or stays below it where the weight is 0."""
+    df, x, y, _ = data
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    fold = np.arange(400) % 3
+    rows = spark.createDataFrame([(*map(float, r), float(t), int(f)) for r, t, f in zip(z, y, fold)], "a double, b double, c double, y double, fold int")
+    cells = [(p, f) for p in (1e4, 60.0, 5.0, 1e-3) for f in (0, 2, None)]
+    weights = J.lasso_logit_paths(rows, ["a", "b", "c"], "y", cells)
+    design = np.column_stack([np.ones(400), z])
+    for (penalty, left), w in zip(cells, weights):
+        inside = fold != (-1 if left is None else left)
+        gradient = design[inside].T @ (1 / (1 + np.exp(-design[inside] @ w)) - y[inside])
+        assert gradient[0] == pytest.approx(0, abs=1e-4)
+        for g, v in zip(gradient[1:], w[1:]):
+            assert g == pytest.approx(-math.copysign(penalty, v), abs=1e-3) if v else abs(g) <= penalty + 1e-3
+    assert not weights[0, 1:].any() and weights[-1, 1:].all()
+
+
+def test_lasso_keeps_the_features_that_matter(spark, data):
+    df, *_ = data
+    best, kept = J.lasso_logit_cv(df, ["a", "b", "c"], "y", "id")
+    assert best > 1e-3 and [r.feature for r in kept.collect()][:2] == ["a", "b"]
+    assert J.lasso_logit_cv(df.where("y = 1"), ["a"], "y", "id")[0] is None
