@@ -1,4 +1,4 @@
-"""Boosted trees by gradient histograms: many models grown together over one binned table.
+"""Boosted trees and forests by histograms: many models grown together over one binned table.
 
 Features are cut into bins once. A model is a set of features, a row weight (its training part: fold, nested subset, class
 weights) and a ``Boost`` rule. All models ask in step: in a round each has a tree with open nodes, and one pass over the rows
@@ -6,6 +6,8 @@ answers every model's question, the gradient, hessian and weight of each bin of
 second order, or of first order for the classic kind; trees grow by level or by leaf, the node of largest gain first.
 Growth by leaf asks ahead for the nodes that will be split if no unknown node gains more, and takes the order of gains
 again when the answers are in, so a tree needs about as many passes as it is deep and equals the one grown leaf by leaf.
+The trees of a forest are models of one round: each has Poisson row counts drawn by a hash of row and tree, and a random choice of
+features at every node.
 
 Rows are asked in one of two ways, with the same questions and answers. A table of few bytes (checked) is broadcast and the
 models are dealt to tasks. A larger one stays where it is: every pass is a job in which tasks add up histograms by model and
@@ -52,6 +54,25 @@ class Boost:
     min_gain: float = 0.0
     order: int = 2
     bins: int = 255
+    #: Features that a node may choose from (all if None), and the seed of a tree that draws rows and features and takes means of classes.
+    tried: int | None = None
+    seed: int | None = None
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Trees over drawn rows, the square root of the features at each node; a score is the mean share of class 1."""
+
+    trees: int = 300
+    depth: int = 10
+    seed: int = 42
+    bins: int = 64
+
+    def rules(self, features: int) -> list[Boost]:
+        tried = max(1, math.isqrt(features))
+        return [
+            Boost(1, 1.0, None, self.depth, min_hessian=0.0, min_rows=1, order=1, bins=self.bins, tried=tried, seed=self.seed * 100_003 + t)
+            for t in range(self.trees)]
 
 
 def leaf_wise(rounds: int = 200, rate: float = 0.1, depth: int | None = None) -> Boost:
@@ -72,13 +93,15 @@ def first_order(rounds: int = 200, depth: int = 3, rate: float = 0.1) -> Boost:
 # --------------------------------------------------------------------------
 # Gains
 # --------------------------------------------------------------------------
-def best_split(hist: np.ndarray, rule: Boost) -> tuple[float, int, int, tuple, tuple]:
-    """(gain, feature, bin, left sums, right sums) of a histogram ``(features, bins, [gradient, hessian, rows])``.
+def best_by_feature(hist: np.ndarray, rule: Boost) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gain, bin, left sums, right sums) of each node and feature of histograms ``(nodes, features, bins, [gradient, hessian, rows])``.
 
     ``rows`` are counts, or weights for rules of first order, where they stand in for the hessian. Gain 0 means no split.
     """
-    left = np.cumsum(hist, axis=1)[:, :-1]
-    whole = hist[0].sum(axis=0)
+    left = np.cumsum(hist, axis=2)
+    whole, left = left[:, :, -1:], left[:, :, :-1]
+    if not left.shape[2]:
+        return np.zeros(hist.shape[:2]), np.zeros(hist.shape[:2], np.int64), whole[:, :, 0], whole[:, :, 0]
     right = whole - left
     by = 1 if rule.order == 2 else 2
 
@@ -86,17 +109,47 @@ def best_split(hist: np.ndarray, rule: Boost) -> tuple[float, int, int, tuple, t
         below = s[..., by] + rule.l2
         return np.divide(s[..., 0] ** 2, below, out=np.zeros(s.shape[:-1]), where=below > 1e-12)
 
-    allowed = np.ones(left.shape[:2], bool)
+    allowed = np.ones(left.shape[:3], bool)
     for side in (left, right):
-        allowed &= side[..., 1] >= rule.min_hessian
+        if rule.min_hessian > 0:
+            allowed &= side[..., 1] >= rule.min_hessian
         allowed &= side[..., 2] >= rule.min_rows if rule.order == 2 else side[..., 2] > 1e-9
-    gain = np.where(allowed, score(left) + score(right) - score(whole), 0.0)
-    f, b = np.unravel_index(int(gain.argmax()), gain.shape) if gain.size else (0, 0)
-    best = float(gain[f, b]) if gain.size else 0.0
+    before = score(whole)
+    gain = np.where(allowed, score(left) + score(right) - before, 0.0)
+    at = gain.argmax(axis=2)[:, :, None]
+    best = np.take_along_axis(gain, at, 2)[:, :, 0]
     # Differences of rounding are no gains.
-    if best <= max(rule.min_gain, 1e-9 * float(score(whole)), 1e-12):
-        return 0.0, 0, 0, tuple(whole), tuple(whole)
-    return best, int(f), int(b), tuple(left[f, b]), tuple(right[f, b])
+    best = np.where(best > np.maximum(np.maximum(rule.min_gain, 1e-9 * before[:, :, 0]), 1e-12), best, 0.0)
+    return best, at[:, :, 0], np.take_along_axis(left, at[..., None], 2)[:, :, 0], np.take_along_axis(right, at[..., None], 2)[:, :, 0]
+
+
+def chosen(
+    gain: np.ndarray, cut: np.ndarray, left: np.ndarray, right: np.ndarray, rule: Boost, nodes: list[int], ways: dict[int, int],
+) -> dict[int, tuple[float, int, int, tuple, tuple]]:
+    """Per node (gain, feature, bin, left sums, right sums) of the feature that it is split by.
+
+    A rule with few tries takes the best of them, or the next feature that gains where none does.
+    """
+    if rule.tried is not None and rule.tried < gain.shape[1]:
+        drawn_at = _mixed(np.array([ways[n] for n in nodes], np.uint64)[:, None] * np.uint64(gain.shape[1]) + np.arange(gain.shape[1], dtype=np.uint64), 2 * rule.seed + 1)
+        rank = drawn_at.argsort(axis=1).argsort(axis=1)
+        first = np.where(rank < rule.tried, gain, 0.0)
+        later = np.where(gain > 0, rank, gain.shape[1]).argmin(axis=1)
+        f = np.where(first.max(axis=1) > 0, first.argmax(axis=1), later)
+    else:
+        f = gain.argmax(axis=1)
+    every = np.arange(len(nodes))
+    columns = (gain[every, f].tolist(), f.tolist(), cut[every, f].tolist(), left[every, f].tolist(), right[every, f].tolist())
+    return {n: (g, f, b, tuple(x), tuple(y)) for n, g, f, b, x, y in zip(nodes, *columns)}
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Evenly spread 64 bits: a published mixing step."""
+    with np.errstate(over="ignore"):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt * 0xD1B54A32D192ED03 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 # --------------------------------------------------------------------------
@@ -140,6 +193,8 @@ class Growth:
 
     def _plant(self) -> None:
         self.tree, self.known, self.level = Tree(), {}, {0: 0}
+        #: A node's way from the root, by which it draws features.
+        self.way = {0: 1}
         self.sums: dict[int, tuple] = {}
         self.asked = [0]
 
@@ -165,12 +220,16 @@ class Growth:
             t.left[node], t.right[node] = t.add(), t.add()
             for child, sums in ((t.left[node], left), (t.right[node], right)):
                 self.sums[child], self.level[child] = sums, self.level[node] + 1
+                self.way[child] = (2 * self.way[node] + (child == t.right[node])) % 2**64
         return t.left[node], t.right[node]
 
     def _may_split(self, node: int) -> bool:
         """Whether a question about the node makes sense."""
         enough = 2 * self.rule.min_rows if self.rule.order == 2 else 0
-        return (self.rule.depth is None or self.level[node] < self.rule.depth) and self.sums[node][2] >= enough
+        g, h, rows = self.sums[node]
+        # All of one class: nothing to gain.
+        pure = self.rule.seed is not None and not 1e-9 * h < -g < (1 - 1e-9) * h
+        return not pure and (self.rule.depth is None or self.level[node] < self.rule.depth) and rows >= enough
 
     def _open(self) -> list[int]:
         """Nodes to ask about next; none when the tree is whole."""
@@ -226,19 +285,37 @@ class Job:
     rule: Boost
     features: tuple[int, ...]
     weight: int
+    #: Bits by which the bins of each feature are made coarser.
+    shifts: tuple[int, ...] = ()
+
+
+#: Chances of at most 0, 1, 2, ... draws of a row.
+_DRAWS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def drawn(keys: np.ndarray, seed: int) -> np.ndarray:
+    """How often a tree draws each row: a Poisson number by a hash of row and tree."""
+    return np.searchsorted(_DRAWS, _mixed(keys.astype(np.uint64), 2 * seed) / 2.0**64, "right").astype(np.float64)
 
 
 class Block:
     """Rows of the binned table as one model sees them: bins, gradients, hessians and the node of each row."""
 
-    def __init__(self, job: Job, bins: np.ndarray, y: np.ndarray, weight: np.ndarray, margin: np.ndarray):
-        some = weight > 0
-        self.rule, self.bins = job.rule, np.ascontiguousarray(bins[some][:, list(job.features)])
+    def __init__(self, job: Job, bins: np.ndarray, y: np.ndarray, weight: np.ndarray, margin: np.ndarray, keys: np.ndarray | None = None):
+        if job.rule.seed is not None:
+            weight = weight * drawn(keys, job.rule.seed)
+        some = np.flatnonzero(weight > 0)
+        self.rule, self.bins = job.rule, bins[some][:, list(job.features)]
+        if any(job.shifts):
+            self.bins >>= np.array(job.shifts, np.uint8)
         self.y, self.weight, self.margin = y[some].astype(np.float64), weight[some].astype(np.float64), margin[some].astype(np.float64)
         self.grow()
 
     def grow(self) -> None:
         """Gradients for a new tree at the present margins."""
+        if self.rule.seed is not None:
+            self.g, self.h, self.rows = -self.weight * self.y, self.weight, self.weight
+            return
         p = 1.0 / (1.0 + np.exp(-np.clip(self.margin, -500, 500)))
         self.g, self.h = self.weight * (p - self.y), self.weight * p * (1 - p)
         self.rows = np.ones(len(p)) if self.rule.order == 2 else self.weight
@@ -266,7 +343,9 @@ def _grow_here(job: Job, growth: Growth, block: Block, width: int) -> list[Tree]
         tree, rounds = growth.tree, len(growth.done)
         asked = growth.asked
         hist = block.histograms(node, asked, width)
-        growth.answer({n: best_split(h, job.rule) for n, h in zip(asked, hist)})
+        growth.answer(chosen(*best_by_feature(hist, job.rule), job.rule, asked, growth.way))
+        if growth.finished():
+            break
         if len(growth.done) > rounds:
             final = growth.done[-1]
             block.margin += np.array(final.value)[final.reached(block.bins)]
@@ -314,7 +393,7 @@ def cut_points(df: DataFrame, features: list[str], bins: int = 255) -> list[np.n
 
 
 def binned(df: DataFrame, y: str, features: list[str], cuts: list[np.ndarray], weights: list[Column]) -> DataFrame:
-    """``(y, weights, bins)``: a byte per feature."""
+    """``(y, weights, bins, key)``: a byte per feature, and a number of the row."""
     wide = max((len(c) for c in cuts), default=0)
     if wide > 255:
         raise ValueError("more than 256 bins")
@@ -323,15 +402,22 @@ def binned(df: DataFrame, y: str, features: list[str], cuts: list[np.ndarray], w
         for batch in batches:
             x = np.stack([np.searchsorted(c, batch.column(f).to_numpy(zero_copy_only=False), "left") for f, c in zip(features, cuts)], 1)
             rows = [r.tobytes() for r in x.astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column("__y"), batch.column("__w"), pa.array(rows, pa.binary())], names=["y", "weights", "bins"])
+            made = [batch.column("__y"), batch.column("__w"), pa.array(rows, pa.binary()), batch.column("__k")]
+            yield pa.RecordBatch.from_arrays(made, names=["y", "weights", "bins", "key"])
+
+    wanted = df.select(
+        F.col(y).cast("int").alias("__y"), F.array(*[w.cast("double") for w in weights]).alias("__w"), F.monotonically_increasing_id().alias("__k"), *features)
+    return wanted.mapInArrow(code, "y int, weights array<double>, bins binary, key bigint")
+
 
-    wanted = df.select(F.col(y).cast("int").alias("__y"), F.array(*[w.cast("double") for w in weights]).alias("__w"), *features)
-    return wanted.mapInArrow(code, "y int, weights array<double>, bins binary")
+ROW = ["y", "weights", "bins", "key"]
+ROW_KIND = "y int, weights array<double>, bins binary, key bigint"
 
 
-def _arrays(columns: dict[str, list], features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _arrays(table: pa.Table | pa.RecordBatch, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    columns = {c: table.column(c).to_pylist() for c in ROW}
     bins = np.frombuffer(b"".join(columns["bins"]), np.uint8).reshape(-1, features)
-    return bins, np.array(columns["y"]), np.array(columns["weights"], np.float64).reshape(len(bins), -1)
+    return bins, np.array(columns["y"]), np.array(columns["weights"], np.float64).reshape(len(bins), -1), np.array(columns["key"], np.int64)
 
 
 def _bases(table: DataFrame, n: int) -> list[float]:
@@ -350,7 +436,7 @@ def grow(table: DataFrame, jobs: list[Job], features: int, width: int, local_byt
     weights = max(j.weight for j in jobs) + 1
     bases = _bases(table, weights)
     rows = table.count()
-    if rows * (features + 8 * weights + 4) <= local_bytes:
+    if rows * (features + 8 * weights + 12) <= local_bytes:
         return _grow_by_model(table, jobs, features, width, bases)
     return _grow_by_rows(table, jobs, features, width, bases)
 
@@ -359,20 +445,22 @@ def _grow_by_model(table: DataFrame, jobs: list[Job], features: int, width: int,
     """Models dealt to tasks, over a broadcast table of few bytes."""
     spark = table.sparkSession
     # Ordered, so that sums do not depend on the order in which tasks end.
-    got = table.toArrow().sort_by([("bins", "ascending"), ("y", "ascending")])
-    shared = spark.sparkContext.broadcast(_arrays({c: got.column(c).to_pylist() for c in got.column_names}, features))
+    shared = spark.sparkContext.broadcast(_arrays(table.select(*ROW).toArrow().sort_by("key"), features))
+    # Dealt at random: models of one kind stand together and take alike long.
+    order = np.random.default_rng(len(jobs)).permutation(len(jobs)).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, y, w = shared.value
+        bins, y, w, keys = shared.value
         for batch in batches:
-            for i in batch.column("id").to_pylist():
+            for at in batch.column("id").to_pylist():
+                i = order[at]
                 job = jobs[i]
-                block = Block(job, bins, y, w[:, job.weight], np.full(len(y), bases[job.weight]))
-                trees = _grow_here(job, Growth(job.rule, bases[job.weight]), block, width)
+                block = Block(job, bins, y, w[:, job.weight], np.full(len(y), bases[job.weight]), keys)
+                trees = _grow_here(job, Growth(job.rule, bases[job.weight]), block, min(width, job.rule.bins))
                 yield pa.RecordBatch.from_pydict({"job": pa.array([i], pa.int32()), "trees": pa.array([pickle.dumps([vars(t) for t in trees])], pa.binary())})
 
     try:
-        made = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "job int, trees binary").collect()
+        made = spark.range(0, len(jobs), 1, min(len(jobs), 8 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "job int, trees binary").collect()
     finally:
         shared.unpersist()
     trees = {r["job"]: [Tree(**t) for t in pickle.loads(r["trees"])] for r in made}
@@ -384,7 +472,7 @@ def _questions(growths: list[Growth], seen: list[int], jobs: list[Job], width: i
     out, left = {}, ASK_BYTES
     for i, (g, s) in enumerate(zip(growths, seen)):
         if not g.finished():
-            size = len(jobs[i].features) * width * 24
+            size = len(jobs[i].features) * min(width, jobs[i].rule.bins) * 24
             nodes = g.asked[:max(left // size, 0 if out else 1)]
             if nodes:
                 out[i] = (g.done[s:], g.tree, nodes)
@@ -396,30 +484,33 @@ def _grow_by_rows(table: DataFrame, jobs: list[Job], features: int, width: int,
     """Every pass is a job over the rows where they lie."""
     spark = table.sparkSession
     growths = [Growth(j.rule, bases[j.weight]) for j in jobs]
-    start = F.array(*[F.lit(float(bases[j.weight])) for j in jobs])
+    # Trees of forests have no margins.
+    place = {i: at for at, i in enumerate(i for i, j in enumerate(jobs) if j.rule.seed is None)}
+    start = F.array(*[F.lit(float(bases[jobs[i].weight])) for i in place]).cast("array<double>")
     held, seen = stored(table.withColumn("margins", start), "boost-rows"), [0] * len(jobs)
 
     def margins(bins: np.ndarray, base: np.ndarray, i: int, trees: list[Tree]) -> np.ndarray:
+        if i not in place:
+            return np.zeros(len(bins))
         own = bins[:, list(jobs[i].features)]
-        out = base[:, i].copy()
+        out = base[:, place[i]].copy()
         for t in trees:
             out += np.array(t.value)[t.reached(own)]
         return out
 
     while any(not g.finished() for g in growths):
-        if max(len(g.done) - s for g, s in zip(growths, seen)) >= STORE_EVERY:
-            news = spark.sparkContext.broadcast([g.done[s:] for g, s in zip(growths, seen)])
+        if max((len(growths[i].done) - seen[i] for i in place), default=0) >= STORE_EVERY:
+            news = spark.sparkContext.broadcast({i: growths[i].done[seen[i]:] for i in place})
 
             def moved(batches, news=news):
                 for batch in batches:
-                    columns = {c: batch.column(c).to_pylist() for c in ("y", "weights", "bins")}
-                    bins, *_ = _arrays(columns, features)
+                    bins, *_ = _arrays(batch, features)
                     base = np.array(batch.column("margins").to_pylist()).reshape(len(bins), -1)
-                    now = np.stack([margins(bins, base, i, trees) for i, trees in enumerate(news.value)], 1)
+                    now = np.stack([margins(bins, base, i, trees) for i, trees in news.value.items()], 1)
                     yield pa.RecordBatch.from_arrays(
-                        [*[batch.column(c) for c in ("y", "weights", "bins")], pa.array(now.tolist(), pa.list_(pa.float64()))], names=["y", "weights", "bins", "margins"])
+                        [*[batch.column(c) for c in ROW], pa.array(now.tolist(), pa.list_(pa.float64()))], names=[*ROW, "margins"])
 
-            held = stored(held.mapInArrow(moved, "y int, weights array<double>, bins binary, margins array<double>"), "boost-rows")
+            held = stored(held.mapInArrow(moved, f"{ROW_KIND}, margins array<double>"), "boost-rows")
             seen = [len(g.done) for g in growths]
         open_jobs = _questions(growths, seen, jobs, width)
         shared = spark.sparkContext.broadcast(open_jobs)
@@ -427,12 +518,12 @@ def _grow_by_rows(table: DataFrame, jobs: list[Job], features: int, width: int,
         def asked(batches, shared=shared):
             total: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
-                bins, y, w = _arrays({c: batch.column(c).to_pylist() for c in ("y", "weights", "bins")}, features)
+                bins, y, w, keys = _arrays(batch, features)
                 base = np.array(batch.column("margins").to_pylist()).reshape(len(bins), -1)
                 for i, (news, tree, nodes) in shared.value.items():
-                    block = Block(jobs[i], bins, y, w[:, jobs[i].weight], margins(bins, base, i, news))
+                    block = Block(jobs[i], bins, y, w[:, jobs[i].weight], margins(bins, base, i, news), keys)
                     if len(block.y):
-                        hist = block.histograms(tree.reached(block.bins), nodes, width)
+                        hist = block.histograms(tree.reached(block.bins), nodes, min(width, jobs[i].rule.bins))
                         for n, h in zip(nodes, hist):
                             total[i, n] = total[i, n] + h if (i, n) in total else h
             for (i, n), h in total.items():
@@ -443,21 +534,26 @@ def _grow_by_rows(table: DataFrame, jobs: list[Job], features: int, width: int,
 
         def split(group: pa.Table) -> pa.Table:
             # Added in a fixed order, so that a repeated task gives the same sums.
-            hist = sum(np.frombuffer(h, np.float64).reshape(1, width, 3) for h in sorted(group.column("hist").to_pylist()))
-            gain, _, b, left, right = best_split(hist, jobs[group.column("job")[0].as_py()].rule)
-            sides = [pa.array([list(map(float, x))], pa.list_(pa.float64())) for x in (left, right)]
-            return pa.table([*[group.column(c).slice(0, 1) for c in ("job", "node", "f")], pa.array([gain]), pa.array([b], pa.int32()), *sides],
+            rule = jobs[group.column("job")[0].as_py()].rule
+            hist = sum(np.frombuffer(h, np.float64).reshape(1, 1, -1, 3) for h in sorted(group.column("hist").to_pylist()))
+            gain, b, left, right = (x[0] for x in best_by_feature(hist, rule))
+            sides = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (left, right)]
+            return pa.table([*[group.column(c).slice(0, 1) for c in ("job", "node", "f")], pa.array(gain), pa.array(b.astype(np.int32)), *sides],
                             names=["job", "node", "f", "gain", "b", "l", "r"])
 
         parts = held.mapInArrow(asked, "job int, node int, f int, hist binary")
         lines = parts.groupBy("job", "node", "f").applyInArrow(split, "job int, node int, f int, gain double, b int, l array<double>, r array<double>").collect()
         shared.unpersist()
-        found: dict[int, dict[int, tuple]] = {i: {} for i in open_jobs}
-        for r in sorted(lines, key=lambda r: (-r["gain"], r["f"])):
-            found[r["job"]].setdefault(r["node"], (r["gain"], r["f"], r["b"], tuple(r["l"]), tuple(r["r"])))
+        by_job: dict[int, list] = {}
+        for r in lines:
+            by_job.setdefault(r["job"], []).append(r)
         for i, (_, _, nodes) in open_jobs.items():
-            none = (0.0, 0, 0, (0.0, 0.0, 0.0), (0.0, 0.0, 0.0))
-            growths[i].answer({n: found[i].get(n, none) for n in nodes})
+            own, at = len(jobs[i].features), {n: k for k, n in enumerate(nodes)}
+            gain, cut, left, right = np.zeros((len(nodes), own)), np.zeros((len(nodes), own), np.int64), *np.zeros((2, len(nodes), own, 3))
+            for r in by_job.get(i, ()):
+                place_of = at[r["node"]], r["f"]
+                gain[place_of], cut[place_of], left[place_of], right[place_of] = r["gain"], r["b"], r["l"], r["r"]
+            growths[i].answer(chosen(gain, cut, left, right, jobs[i].rule, nodes, growths[i].way))
     return [(g.base, g.done) for g in growths]
 
 
@@ -479,6 +575,7 @@ class BoostedModel:
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
+        x = np.ascontiguousarray(x)
         for feature, cut, left, right, value, _ in self.trees:
             at = np.zeros(len(x), np.int64)
             rows = np.arange(len(x)) if left[0] >= 0 else np.arange(0)
@@ -493,6 +590,13 @@ class BoostedModel:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(x), -500, 500)))
 
 
+class ForestModel(BoostedModel):
+    """Trees whose values add up to the mean share of class 1."""
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(self.margin(x), 0.0, 1.0)
+
+
 def scored(df: DataFrame, x: list[Column], model: BoostedModel, name: str) -> DataFrame:
     """The rows with the class-1 probability ``name``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -505,7 +609,7 @@ def scored(df: DataFrame, x: list[Column], model: BoostedModel, name: str) -> Da
 
 
 def fit_many(
-    df: DataFrame, y: str, weights: dict[str, Column], models: list[tuple[Boost, list[str], str]], local_bytes: int = LOCAL_BYTES,
+    df: DataFrame, y: str, weights: dict[str, Column], models: list[tuple[Boost | Forest, list[str], str]], local_bytes: int = LOCAL_BYTES,
 ) -> list[BoostedModel]:
     """A model for each ``(rule, features, name of its row weight)``, all over one table of bins.
 
@@ -519,6 +623,23 @@ def fit_many(
     width = max((len(c) for c in cuts), default=0) + 1
     table = stored(binned(matrix, y, features, cuts, [F.col(c) for c in names.values()]), "boost-bins")
     places = {w: i for i, w in enumerate(weights)}
-    jobs = [Job(rule, tuple(features.index(c) for c in own), places[w]) for rule, own, w in models]
-    grown = grow(table, jobs, len(features), width, local_bytes)
-    return [BoostedModel(base, trees, [cuts[f] for f in job.features], len(job.features)) for job, (base, trees) in zip(jobs, grown)]
+    jobs: list[Job] = []
+    for rule, own, w in models:
+        at = tuple(features.index(c) for c in own)
+        shifts = tuple(next(s for s in range(9) if len(cuts[f]) >> s < rule.bins) for f in at)
+        jobs += [Job(r, at, places[w], shifts) for r in (rule.rules(len(own)) if isinstance(rule, Forest) else [rule])]
+    grown = iter(zip(jobs, grow(table, jobs, len(features), width, local_bytes)))
+
+    def finished(rule: Boost | Forest) -> BoostedModel:
+        parts = [next(grown) for _ in range(rule.trees if isinstance(rule, Forest) else 1)]
+        job = parts[0][0]
+        trees = [t for _, (_, own) in parts for t in own]
+        for t in trees:
+            # Back from coarser bins to the table's.
+            t.bin = [((b + 1) << job.shifts[f]) - 1 for f, b in zip(t.feature, t.bin)]
+            if isinstance(rule, Forest):
+                t.value = [v / rule.trees for v in t.value]
+        kind, base = (ForestModel, 0.0) if isinstance(rule, Forest) else (BoostedModel, parts[0][1][0])
+        return kind(base, trees, [cuts[f] for f in job.features], len(job.features))
+
+    return [finished(rule) for rule, _, _ in models]

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +25,7 @@ from .scaling import Scaler
 from .stored import stored
 
 #: How to build a model of n rows, or a rule for boosted trees.
-Builder = Callable[[int], Estimator] | B.Boost
+Builder = Callable[[int], Estimator] | B.Boost | B.Forest
 #: ``prepare(train, test) -> (train, test, features)``; sees training rows only when fitting.
 Prepare = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, list[str]]]
 
@@ -41,8 +41,7 @@ def model_zoo(forest_trees: int = 300, forest_depth: int = 10, boost_rounds: int
     return {
         "LogReg_L1": (lambda n: LogisticRegression(
             **common, elasticNetParam=1.0, regParam=1.0 / (c * n), standardization=True, maxIter=200), True),
-        "RandomForest": (lambda n: RandomForestClassifier(
-            **common, numTrees=forest_trees, maxDepth=forest_depth, seed=seed), True),
+        "RandomForest": (B.Forest(forest_trees, forest_depth, seed), True),
         "GradBoost": (B.first_order(boost_rounds), False),
         "LeafBoost": (B.leaf_wise(boost_rounds), True),
         "LevelBoost": (B.level_wise(boost_rounds), False),
@@ -51,8 +50,7 @@ def model_zoo(forest_trees: int = 300, forest_depth: int = 10, boost_rounds: int
 
 def shallow_forest(trees: int = 300, depth: int = 6, seed: int = 42) -> tuple[Builder, bool]:
     """The forest of the explanation report."""
-    return lambda n: RandomForestClassifier(
-        featuresCol="__x", labelCol="__y", weightCol="__w", numTrees=trees, maxDepth=depth, seed=seed), True
+    return B.Forest(trees, depth, seed), True
 
 
 def slow_boost(rounds: int = 300, depth: int = 4, rate: float = 0.05) -> tuple[Builder, bool]:
@@ -86,7 +84,7 @@ class Fitted:
 def fit(df: DataFrame, features: list[str], y: str, spec: tuple[Builder, bool]) -> Fitted:
     """Fit a zoo entry; balanced entries weigh both classes alike."""
     build, balanced = spec
-    if isinstance(build, B.Boost):
+    if isinstance(build, (B.Boost, B.Forest)):
         weight = _class_weight(class_sizes(df, y), y) if balanced else F.lit(1.0)
         return Fitted(B.fit_many(df, y, {"all": weight}, [(build, features, "all")])[0], features)
     rows = to_matrix(df, features, [y]).withColumn("__y", F.col(y).cast("double"))
@@ -189,7 +187,7 @@ def oof_many(
     data = fold_assign(df, id_col, y, k, seed, scheme).persist()
     try:
         folds = sorted(r[0] for r in data.select("fold").distinct().collect())
-        boosted = [(i, e) for i, e in enumerate(entries) if isinstance(e.spec[0], B.Boost) and prepare is None]
+        boosted = [(i, e) for i, e in enumerate(entries) if isinstance(e.spec[0], (B.Boost, B.Forest)) and prepare is None]
 
         def one(i: int, e: Entry, fold: int) -> DataFrame:
             ready = prepare or fold_prepare(e.features, e.category)
@@ -358,7 +356,7 @@ def learning_curve(
     inside = [{r[y]: r[f"n{i}"] for r in seen if r[f"n{i}"]} for i in range(len(cells))]
     used = [i for i, found in enumerate(inside) if len(found) > 1]
     part = {i: (F.col("fold") != cells[i][0]) & (F.col(f"__rn{cells[i][0]}") <= cells[i][2]) for i in used}
-    if isinstance(spec[0], B.Boost):
+    if isinstance(spec[0], (B.Boost, B.Forest)):
         weights = {str(i): F.when(part[i], _class_weight(inside[i], y) if spec[1] else F.lit(1.0)) for i in used}
         grown = B.fit_many(data, y, weights, [(spec[0], features, str(i)) for i in used])
         models = [Fitted(m, features) for m in grown]

@@ -93,16 +93,17 @@ def test_both_ways_of_asking_give_the_same_trees(spark, rows, monkeypatch):
     names = ["a", "b", "c"]
     weights = {"all": F.lit(1.0), "most": F.when(F.col("id") % 3 != 0, F.lit(2.0)), "none": F.lit(0.0)}
     models = [(B.Boost(5, 0.1, 5, bins=40), names, "all"), (B.Boost(4, 0.3, None, 2, l2=1.0, min_rows=1, bins=40), ["b", "d"], "most"),
-              (B.Boost(2, 0.1, None, 1, order=1, bins=40), names, "none")]
+              (B.Boost(2, 0.1, None, 1, order=1, bins=40), names, "none"), (B.Forest(4, 4, bins=16), ["a", "b", "c", "d"], "most")]
     near, far = (B.fit_many(df, "y", weights, models, local_bytes=n) for n in (B.LOCAL_BYTES, 0))
     for a, b in zip(near, far):
         assert a.base == pytest.approx(b.base)
         for s, t in zip(a.trees, b.trees):
             assert all(np.allclose(u, v) for u, v in zip(s, t))
+    assert len(near[3].trees) == 4 and len({tuple(t[0]) for t in near[3].trees}) == 4
     assert len(near[0].trees) == 5 and len(near[2].trees) == 2 and near[2].margin(np.zeros((1, 3)))[0] == 0.0
 
 
-@pytest.mark.parametrize("spec", [Z.slow_boost(rounds=3, depth=3, rate=0.3), (B.level_wise(3, 3), False)])
+@pytest.mark.parametrize("spec", [Z.slow_boost(rounds=3, depth=3, rate=0.3), (B.level_wise(3, 3), False), Z.shallow_forest(20, 4)])
 def test_scores_importances_and_contributions(spark, rows, spec):
     df, x, _ = rows
     fitted = Z.fit(df, ["a", "b", "c"], "y", spec)
@@ -127,7 +128,27 @@ def test_scores_importances_and_contributions(spark, rows, spec):
             want = sum(
                 math.factorial(n) * math.factorial(2 - n) / 6 * (value({*s, j}) - value(set(s))) for n in range(3) for s in itertools.combinations(rest, n))
             assert got[i, name] == pytest.approx(want, abs=1e-9)
-        assert base + sum(got[i, c] for c in "abc") == pytest.approx(math.log(scored[i] / (1 - scored[i])))
+        forest = isinstance(fitted.model, B.ForestModel)
+        assert base + sum(got[i, c] for c in "abc") == pytest.approx(scored[i] if forest else math.log(scored[i] / (1 - scored[i])))
+
+
+def test_a_forest_tree_is_the_best_of_its_draw():
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 10, (300, 4)).astype(np.uint8), rng.integers(0, 2, 300)
+    keys = np.arange(300)
+    for rule in B.Forest(6, 1).rules(4):
+        draws = B.drawn(keys, rule.seed)
+        job = B.Job(rule, (0, 1, 2, 3), 0)
+        tree = B._grow_here(job, B.Growth(rule, 0.0), B.Block(job, x, y, np.ones(300), np.zeros(300), keys), 10)[0]
+        left = x[:, tree.feature[0]] <= tree.bin[0]
+        impurity = lambda s: draws[s].sum() * (p := (draws * y)[s].sum() / draws[s].sum()) * (1 - p)
+        mine = impurity(left) + impurity(~left)
+        others = {f: min(impurity(x[:, f] <= b) + impurity(x[:, f] > b) for b in range(9)) for f in range(4)}
+        assert mine == pytest.approx(others[tree.feature[0]])
+        assert sum(v < mine - 1e-9 for v in others.values()) <= 2
+        assert tree.value[tree.left[0]] == pytest.approx((draws * y)[left].sum() / draws[left].sum())
+    many = B.drawn(np.arange(100_000), 5)
+    assert many.mean() == pytest.approx(1, abs=0.02) and many.var() == pytest.approx(1, abs=0.03)
 
 
 def test_zoo_scores_each_row_by_models_of_other_folds(spark, rows):
