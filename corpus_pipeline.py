@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, Jaccard similarity 0.8 or more."""
-    return simhash.similar_removed(docs)
+    """One document of each group of near copies stays: shingles of three words, fingerprints within three bits."""
+    return simhash.deduplicated(docs)
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -39,8 +39,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the whole texts."""
-    return bpe.encode(docs.drop("n_chars"), outputs=("n_tokens", "ids"))
+    """Token ids of the whole texts, and the text that they decode to."""
+    return bpe.decode(bpe.encode(docs.drop("n_chars"), outputs=("n_tokens", "ids")), into="text")
 
 
 STAGES = [

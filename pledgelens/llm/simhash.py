@@ -6,8 +6,7 @@ tiles whose counts differ beyond the radius is skipped and no link is lost. The
 whole with numpy exclusive-or and bit counts. Large tiles are cut into blocks, so a task holds two blocks at a time, and a
 pair of blocks reports a spanning forest of its links, not every pair.
 
-Links join classes of equal fingerprints, so copies are never expanded into pairs. Components come from min-label
-propagation with pointer jumping over those links alone; every round is a table in the shared folder.
+Links join classes of equal fingerprints, so copies are never expanded into pairs. Components are found over those links alone.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; texts of fewer words than a
 shingle are one shingle; repeated rows give a row each; rows without an id get a component from the ids they are
@@ -16,9 +15,7 @@ linked with, or null if there is none. Columns of the input that bear an output'
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +26,12 @@ from pyspark.sql import functions as F
 from pledgelens.operators.lookup import lookup_join
 
 from .common import extended, schema_with, slices, utf8, written
+from .components import components
 
 SEED = 42
+#: Words of a shingle, and the most bits in which linked fingerprints differ.
+SHINGLE = 3
+RADIUS = 3
 #: Fingerprints of a block; two blocks are compared at a time.
 BLOCK = 4096
 #: Rows of a block that are compared with the other block at once.
@@ -57,50 +58,6 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return majority(shingle_hashes(data, shingle))
 
 
-def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Other 64 bits of the same shingles: a published mixing step with the k-th increment."""
-    with np.errstate(over="ignore"):
-        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_fingerprint(data: bytes, shingle: int = 5, words: int = 4) -> list[int]:
-    """A SimHash of ``words`` times 64 bits, as signed numbers."""
-    hashes = shingle_hashes(data, shingle)
-    found = [majority(hashes if k == 0 else remixed(hashes, k)) for k in range(words)]
-    return np.array(found, np.uint64).view(np.int64).tolist()
-
-
-def wide_radius(similarity: float, words: int = 4) -> int:
-    """The bits in which texts of such a Jaccard similarity of shingles are expected to differ.
-
-    A bit differs with the angle between the two sets, seen as vectors, over pi.
-    """
-    return int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def _flips(shared: int, x: int, y: int) -> float:
-    """The chance that a bit differs between sets with so many shared shingles and so many of their own."""
-    def up(k: int, own: int) -> float:
-        return sum(math.comb(own, i) for i in range(own + 1) if 2 * (k + i) > shared + own) / 2**own
-
-    return sum(math.comb(shared, k) / 2**shared * (up(k, x) * (1 - up(k, y)) + up(k, y) * (1 - up(k, x))) for k in range(shared + 1))
-
-
-@cache
-def candidate_radius(similarity: float, words: int = 4, deviations: float = 4.5) -> int:
-    """The bits within which practically all texts of such a similarity lie: so many deviations above the expected ones.
-
-    Ties of small sets make bits differ more often than the angle tells, so sets of up to 24 shingles are gone through.
-    """
-    small = [(c, x, y) for c in range(1, 25) for x in range(25 - c) for y in range(x + 1) if c >= similarity * (c + x + y)]
-    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, *(_flips(*s) for s in small))
-    bits = 64 * words
-    return min(bits, math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
-
-
 def majority(hashes: np.ndarray) -> int:
     """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
@@ -203,312 +160,43 @@ def tile_links(distinct: DataFrame, radius: int = 3, block: int = BLOCK) -> Data
     return pairs.mapInArrow(compared, "a bigint, b bigint")
 
 
-#: Fingerprints of a block of wide fingerprints, and population counts of a tile.
-WIDE_BLOCK = 8192
-WIDE_TILE = 8
-
-
-def wide_links(distinct: DataFrame, radius: int, words: int = 4, block: int = WIDE_BLOCK) -> DataFrame:
-    """Links ``a``, ``b`` between distinct wide ``bits``; tiles are ranges of the whole population count.
+def _grouped(classes: DataFrame, radius: int) -> DataFrame:
+    """The classes of equal ``bits`` with the ``label`` of their component."""
+    labels = components(tile_links(classes.select("bits"), radius)).withColumnRenamed("a", "bits")
+    return classes.join(labels, "bits", "left").withColumn("label", F.coalesce("label", "bits"))
 
-    Pairs within the radius in the first two words are compared in the others too.
-    """
-    total = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x).cast("int"))
-    tiled = distinct.select("bits", F.floor(total / WIDE_TILE).cast("int").alias("tile"))
-    sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(block / 2)).cast("int").alias("blocks"))
-    blocks = (
-        lookup_join(tiled, sizes, ["tile"])
-        .withColumn("block", F.pmod(F.xxhash64("bits"), F.col("blocks")).cast("int"))
-        .groupBy("tile", "block").agg(F.collect_list("bits").alias("members"))
-    )
-    blocks = written(blocks, "simhash-blocks")
-    steps = F.sequence(F.lit(0), F.lit(-(-radius // WIDE_TILE)))
-    left = blocks.select(
-        F.col("tile").alias("from_tile"), F.col("block").alias("from_block"), F.col("members").alias("mine"), F.explode(steps).alias("step")
-    ).withColumn("tile", F.col("from_tile") + F.col("step"))
-    other = (F.col("step") > 0) | (F.col("from_block") < F.col("block"))
-    pairs = left.join(blocks, "tile").where(other | (F.col("from_block") == F.col("block")))
-    # As many tasks as there are pairs of blocks for, dealt evenly.
-    pairs = pairs.select("mine", F.when(other, F.col("members")).alias("other"), "from_tile", "from_block", "tile", "block")
-    pairs = pairs.repartition("from_tile", "from_block", "tile", "block").select("mine", "other")
 
-    def compared(batches):
-        for batch in batches:
-            for mine, others in zip(batch.column("mine"), batch.column("other")):
-                a = _table(mine.values, words)
-                b = a if others.values is None else _table(others.values, words)
-                forest, links = Forest(), []
-                for i, j in _close_wide(a, b, radius):
-                    links += [
-                        (p, q) for p, q in zip(i.tolist(), j.tolist())
-                        if (a is not b or p != q) and forest.join(p, q if a is b else len(a) + q)
-                    ]
-                if links:
-                    kind = pa.list_(pa.int64())
-                    sides = (a[[p for p, _ in links]], b[[q for _, q in links]])
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64).tolist(), kind) for x in sides], names=["a", "b"])
-
-    return pairs.mapInArrow(compared, "a array<bigint>, b array<bigint>")
-
-
-def _table(members: pa.ListArray, words: int) -> np.ndarray:
-    """A row of unsigned words per fingerprint, a column after the other in memory."""
-    flat = members.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    return np.asfortranarray(flat.reshape(-1, words))
-
-
-def _close_wide(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    # So many words first that few of the random pairs are left: their expected bits less four deviations exceed the radius.
-    ahead = next((k for k in range(2, a.shape[1]) if 32 * k - 16 * math.sqrt(k) > radius), a.shape[1])
-    for at in range(0, len(a), STRIP):
-        part = a[at:at + STRIP]
-        first = sum(np.bitwise_count(part[:, None, k] ^ b[None, :, k]) for k in range(ahead))
-        i, j = np.nonzero(first <= radius)
-        if len(i):
-            whole = np.bitwise_count(part[i] ^ b[j]).sum(axis=1, dtype=np.int64) <= radius
-            if whole.any():
-                yield i[whole] + at, j[whole]
-
-
-def components(links: DataFrame, rounds: int = 200) -> DataFrame:
-    """Per linked node its component: the smallest node reachable over the links ``a``, ``b``."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = written(both.distinct(), "components-links")
-    labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")), "components-0")
-    for turn in range(1, rounds):
-        # The smallest label among the neighbours, then the label of that label.
-        near = (
-            edges.join(labels.select(F.col("a").alias("b"), "label"), "b")
-            .groupBy("a").agg(F.min("label").alias("near"))
-        )
-        lower = labels.join(near, "a").select("a", "label", F.least("label", "near").alias("lower"))
-        jump = lower.select(F.col("a").alias("lower"), F.col("lower").alias("further"))
-        after = lower.join(jump, "lower", "left").select(
-            "a", F.coalesce(F.least("lower", "further"), F.col("lower")).alias("new"), "label"
-        )
-        after = written(after, f"components-{turn}")
-        changed = after.where("new < label").limit(1).count()
-        labels = after.select("a", F.col("new").alias("label"))
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per document: its id, ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``class_size`` (equal fingerprints)."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = written(fingerprints(keyed, "text", shingle), "simhash-prints")
     classes = prints.groupBy("bits").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size"))
-    classes = written(classes, "simhash-classes")
-    labels = components(tile_links(classes.select("bits"), radius))
-    grouped = classes.join(labels.withColumnRenamed("a", "bits"), "bits", "left").withColumn(
-        "label", F.coalesce("label", "bits")
-    )
+    grouped = _grouped(written(classes, "simhash-classes"), radius)
     lowest = grouped.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = written(grouped.join(lowest, "label").select("bits", "component_id", "class_size"), "simhash-components")
+    named = written(lookup_join(grouped, lowest, ["label"]).select("bits", "component_id", "class_size"), "simhash-components")
     out = lookup_join(prints, named, ["bits"])
     return out.select(
         F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "class_size"
     )
 
 
-def _row(doc_id: str, text: str):
-    """A row is known by its id and a hash of its text."""
-    return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.xxhash64(text))
-
-
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), _row(doc_id, text).alias("row"))
-
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id, with all its columns.
 
-def _order(*more: str):
-    return F.struct(F.col("id").isNull().alias("none"), "id", "row", *more)
-
-
-def _first_of_each(docs: DataFrame, row, prints: DataFrame, classes: DataFrame, labels: DataFrame, node: str) -> DataFrame:
-    """The documents whose row is the first of its group: classes of prints by ``node``, joined by their labels."""
-    grouped = classes.join(labels.withColumnRenamed("a", node), node, "left").withColumn("label", F.coalesce("label", node))
-    lowest = grouped.groupBy("label").agg(F.min("first").alias("kept"))
-    named = written(grouped.join(lowest, "label").select(node, F.col("kept.row").alias("kept")), "dedup-components")
-    judged = written(lookup_join(prints, named, [node]).select("row", (F.col("row") == F.col("kept")).alias("stays")), "dedup-rows")
-    gone = judged.where(~F.col("stays")).select("row").distinct()
+    Groups are those of ``near_duplicates``. Rows without an id go before none with one; of rows equal in id and text one stays.
+    """
+    row = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), row.alias("row"))
+    prints = written(fingerprints(keyed, "text", shingle), "dedup-prints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    classes = prints.groupBy("bits").agg(F.min(order).alias("first"))
+    grouped = _grouped(written(classes, "dedup-classes"), radius)
+    stay = written(grouped.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "dedup-stay")
+    # A document that stays is known by its row key; copies of that row in the table are one again.
     rows = docs.withColumn("__row", row).select("__row", F.struct(*docs.columns).alias("__doc"))
-    left = lookup_join(rows, written(gone.withColumnRenamed("row", "__row"), "dedup-gone"), ["__row"], "left_anti", salt_on=["__row"])
-    # Rows that stay and are repeated.
-    again = judged.where("stays").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("row").alias("__row"))
-    again = written(again, "dedup-again")
+    kept = written(lookup_join(rows, stay, ["__row"], "left_semi"), "dedup-kept")
+    again = written(kept.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__row"), "dedup-again")
     if again.limit(1).count():
-        once = lookup_join(left, again, ["__row"], "left_semi", salt_on=["__row"]).dropDuplicates(["__row"])
-        left = lookup_join(left, again, ["__row"], "left_anti", salt_on=["__row"]).unionByName(once)
-    return left.select("__doc.*")
-
-
-def deduplicated(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4,
-) -> DataFrame:
-    """One document of each group of near copies by the estimate of the fingerprints: that with the smallest id, all columns kept.
-
-    ``similar_removed`` checks the similarity itself. Texts link if their fingerprints of ``words`` times 64 bits over shingles of ``shingle`` words differ in no more
-    bits than a Jaccard similarity of ``similarity`` lets expect. Rows without an id go before none with one; of
-    rows equal in id and text one stays.
-    """
-    keyed = _keyed(docs, doc_id, text)
-
-    def hashed(batches):
-        for batch in slices(batches):
-            made = [wide_fingerprint(x, shingle, words) for x in utf8(batch.column("text"))]
-            yield extended(batch, ("text",), bits=pa.array(made, pa.list_(pa.int64())))
-
-    prints = keyed.mapInArrow(hashed, schema_with(keyed, ("text",), bits="array<bigint>"))
-    prints = written(prints, "dedup-prints")
-    classes = written(prints.groupBy("bits").agg(F.min(_order()).alias("first")), "dedup-classes")
-    labels = components(wide_links(classes.select("bits"), wide_radius(similarity, words), words))
-    return _first_of_each(docs, _row(doc_id, text), prints, classes, labels, "bits")
-
-
-#: Bytes of text and rows of a block of texts that are compared shingle by shingle.
-EXACT_BYTES = 4 << 20
-EXACT_ROWS = 512
-
-
-def _set_name(hashes: np.ndarray) -> str:
-    return xxhash.xxh3_128_hexdigest(hashes.tobytes())
-
-
-def _candidates(classes: DataFrame, similarity: float, radius: int, words: int, block: int) -> DataFrame:
-    """Links ``a``, ``b`` between names of shingle sets that may be as similar: every component of candidates is connected.
-
-    Such sets differ in size by the similarity's inverse at most, so a tile of sizes meets itself and the next one.
-    """
-    width = -math.log(similarity) + 1e-9
-    tiled = classes.select("key", "bits", "n", F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(width)).cast("int").alias("tile"))
-    sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(block / 2)).cast("int").alias("blocks"))
-    blocks = (
-        lookup_join(tiled, sizes, ["tile"])
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        .groupBy("tile", "block").agg(F.collect_list(F.struct("key", "bits", "n")).alias("m"))
-        .select("tile", "block", F.struct(F.col("m.key").alias("key"), F.col("m.bits").alias("bits"), F.col("m.n").alias("n")).alias("members"))
-    )
-    blocks = written(blocks, "dedup-blocks")
-    left = blocks.select(
-        F.col("tile").alias("from_tile"), F.col("block").alias("from_block"), F.col("members").alias("mine"),
-        F.explode(F.array(F.lit(0), F.lit(1))).alias("step"),
-    ).withColumn("tile", F.col("from_tile") + F.col("step"))
-    other = (F.col("step") > 0) | (F.col("from_block") < F.col("block"))
-    pairs = left.join(blocks, "tile").where(other | (F.col("from_block") == F.col("block")))
-    pairs = pairs.select("mine", F.when(other, F.col("members")).alias("other"), "from_tile", "from_block", "tile", "block")
-    pairs = pairs.repartition("from_tile", "from_block", "tile", "block").select("mine", "other")
-
-    def side(members):
-        return members["key"].values, _table(members["bits"].values, words), members["n"].values.to_numpy(zero_copy_only=False)
-
-    def compared(batches):
-        for batch in slices(batches, 1):
-            mine, others = batch.column("mine")[0], batch.column("other")[0]
-            keys, a, n = side(mine)
-            same = not others.is_valid
-            far, b, m = (keys, a, n) if same else side(others)
-            forest, links = Forest(), []
-            for i, j in _close_wide(a, b, radius):
-                near = np.minimum(n[i], m[j]) >= similarity * np.maximum(n[i], m[j]) - 1e-6
-                for p, q in zip(i[near].tolist(), j[near].tolist()):
-                    if (not same or p < q) and forest.join(p, q if same else len(a) + q):
-                        links.append((p, q))
-            if links:
-                yield pa.RecordBatch.from_pydict({
-                    "a": keys.take(pa.array([p for p, _ in links])).cast(pa.string()), "b": far.take(pa.array([q for _, q in links])).cast(pa.string()),
-                })
-
-    return pairs.mapInArrow(compared, "a string, b string")
-
-
-def _links_within(mine: list, others: list | None, similarity: float, radius: int) -> list[tuple[str, str]]:
-    """A spanning forest of the links of texts as similar; a text is (name, bits, shingle set)."""
-    same, b = others is None, mine if others is None else others
-    if not mine or not b:
-        return []
-    forest, links = Forest(), []
-    bits, far = (np.asfortranarray(np.array([x[1] for x in side], np.int64).view(np.uint64)) for side in (mine, b))
-    for i, j in _close_wide(bits, far, radius):
-        for p, q in zip(i.tolist(), j.tolist()):
-            q_at = q if same else len(mine) + q
-            if (same and p >= q) or forest.root(p) == forest.root(q_at):
-                continue
-            x, y = mine[p][2], b[q][2]
-            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-6:
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            # Equal sets, of no shingles too, are alike; the quotient is rounded as the similarity was.
-            if mine[p][0] == b[q][0] or both / max(len(x) + len(y) - both, 1) >= similarity:
-                forest.join(p, q_at)
-                links.append((mine[p][0], b[q][0]))
-    return links
-
-
-def _exact_links(texts: DataFrame, similarity: float, radius: int, shingle: int) -> DataFrame:
-    """Links ``a``, ``b`` between the names of sets as similar, by all pairs of blocks of each group ``label``."""
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(
-        F.least(F.col("block"), c).alias("i"), F.greatest(F.col("block"), c).alias("j")))
-    dealt = texts.withColumn("pair", F.explode(pair)).select("label", "pair.i", "pair.j", "block", "key", "bits", "text")
-    dealt = dealt.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-
-    def linked(group, held):
-        i, j = group[1:]
-        found = _links_within(held.get(i, []), None if i == j else held.get(j, []), similarity, radius)
-        if found:
-            yield pa.RecordBatch.from_pydict({"a": [p for p, _ in found], "b": [q for _, q in found]})
-
-    def checked(batches):
-        group, held = None, {}
-        for batch in slices(batches, 64):
-            columns = [batch.column(c).to_pylist() for c in ("label", "i", "j", "block", "key", "bits")]
-            for label, i, j, block, key, bits, data in zip(*columns, utf8(batch.column("text"))):
-                if group != (label, i, j):
-                    if group is not None:
-                        yield from linked(group, held)
-                    group, held = (label, i, j), {}
-                held.setdefault(block, []).append((key, bits, np.unique(shingle_hashes(data, shingle))))
-        if group is not None:
-            yield from linked(group, held)
-
-    return dealt.mapInArrow(checked, "a string, b string")
-
-
-def similar_removed(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 4,
-) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id, all columns kept.
-
-    Texts link if the Jaccard similarity of their sets of shingles is ``similarity`` or more. SimHash fingerprints of
-    the sets propose the pairs, within ``candidate_radius`` bits; the sets themselves decide. Texts of equal sets are
-    one class before. Rows without an id go before none with one; of rows equal in id and text one stays.
-    """
-    keyed, radius = _keyed(docs, doc_id, text), candidate_radius(similarity, words)
-
-    def hashed(batches):
-        for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(x, shingle)) for x in utf8(batch.column("text"))]
-            bits = [[majority(s if k == 0 else remixed(s, k)) for k in range(words)] for s in sets]
-            signed = np.array(bits, np.uint64).view(np.int64).tolist()
-            yield extended(
-                batch, ("text",), bits=pa.array(signed, pa.list_(pa.int64())), key=pa.array([_set_name(s) for s in sets], pa.string()),
-                n=pa.array([len(s) for s in sets], pa.int64()), size=pa.array([len(x) for x in utf8(batch.column("text"))], pa.int64()),
-            )
-
-    added = {"bits": "array<bigint>", "key": "string", "n": "bigint", "size": "bigint"}
-    prints = written(keyed.mapInArrow(hashed, schema_with(keyed, ("text",), **added)), "dedup-prints")
-    classes = prints.groupBy("key").agg(
-        F.min(_order("size")).alias("first"), F.min("bits").alias("bits"), F.min("n").alias("n"))
-    classes = written(classes, "dedup-classes")
-    groups = components(_candidates(classes, similarity, radius, words, WIDE_BLOCK)).withColumnRenamed("a", "key")
-    members = written(classes.join(groups, "key").select("key", "label", "bits", "first.row", "first.size"), "dedup-members")
-    cut = members.groupBy("label").agg(F.greatest(
-        F.ceil(F.sum("size") / EXACT_BYTES), F.ceil(F.count(F.lit(1)) / EXACT_ROWS)).cast("int").alias("blocks"))
-    cut = cut.withColumn("blocks", F.greatest("blocks", F.lit(1)))
-    members = lookup_join(members, cut, ["label"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    members = written(members.drop("size"), "dedup-asked")
-    texts = lookup_join(keyed.select("row", "text"), members, ["row"], "inner", salt_on=["row"])
-    if prints.groupBy("row").count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["row"])
-    labels = components(_exact_links(texts, similarity, radius, shingle))
-    return _first_of_each(docs, _row(doc_id, text), prints, classes, labels, "key")
+        once = lookup_join(kept, again, ["__row"], "left_semi").groupBy("__row").agg(F.first("__doc").alias("__doc"))
+        kept = lookup_join(kept, again, ["__row"], "left_anti").unionByName(once)
+    return kept.select("__doc.*")

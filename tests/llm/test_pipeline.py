@@ -1,7 +1,9 @@
 import corpus_pipeline
-from pledgelens.llm import bpe, decontam, pii, quality, simhash
+from pledgelens.llm import bpe, decontam, pii, quality
 from pledgelens.llm.common import table
 
+from .test_simhash import brute_components, brute_print
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -17,22 +19,16 @@ def test_stages(spark):
     assert first.columns == docs.columns and {r.doc_id for r in first.collect()} == want
 
     ids = sorted(want)
-    prints = [sum((x & (2**64 - 1)) << 64 * k for k, x in enumerate(simhash.wide_fingerprint(texts[i].encode()))) for i in ids]
-    group = {i: i for i in ids}
-    for a, p in zip(ids, prints):
-        for b, q in zip(ids, prints):
-            if b < a and (p ^ q).bit_count() <= simhash.wide_radius(0.8) and group[a] != group[b]:
-                old, new = sorted((group[a], group[b]))[1], min(group[a], group[b])
-                group = {k: new if g == old else g for k, g in group.items()}
+    kept = {i for i, c in zip(ids, brute_components(ids, [brute_print(texts[i]) for i in ids])) if i == c}
     second = corpus_pipeline.near_dedup(spark, first, SF)
-    assert second.columns == docs.columns and {r.doc_id for r in second.collect()} == set(group.values())
+    assert second.columns == docs.columns and {r.doc_id for r in second.collect()} == kept
 
     third = corpus_pipeline.decontaminate(spark, second, SF)
     bench = [(str(r.item_id), decontam.words_of(r.text.encode())) for r in table(spark, SF, "benchmark").collect()]
     automaton = decontam.Automaton(bench, decontam.WINDOW)
     after = {r.doc_id: r for r in third.collect()}
-    assert third.columns == docs.columns and set(after) <= set(group.values())
-    for i in set(group.values()):
+    assert third.columns == docs.columns and set(after) <= kept
+    for i in kept:
         words = decontam.words_of(texts[i].encode())
         spans, _ = automaton.hits(words)
         if 2 * sum(b - a for a, b in spans) > len(words):
@@ -46,4 +42,4 @@ def test_stages(spark):
     assert set(base) == {0}
     last = {r.doc_id: r for r in corpus_pipeline.tokens(spark, fourth, SF).collect()}
     for r in fourth.collect():
-        assert bpe.decoded(vocabulary, last[r.doc_id].ids) == r.text and last[r.doc_id].n_tokens == len(last[r.doc_id].ids)
+        assert last[r.doc_id].text == bpe.decoded(vocabulary, last[r.doc_id].ids) == r.text and last[r.doc_id].n_tokens == len(last[r.doc_id].ids)

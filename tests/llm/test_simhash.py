@@ -1,10 +1,12 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
 import xxhash
 
-from pledgelens.llm import simhash
+from pledgelens.llm import components, simhash
+from pledgelens.operators import lookup
 
 SPACE = " \t\n\r\x0b\x0c"
 
@@ -105,93 +107,24 @@ def test_near_duplicates(spark):
 
 def test_deduplicated(spark):
     rnd = random.Random(11)
-    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
-    base = [" ".join(word() for _ in range(rnd.randint(20, 120))) for _ in range(40)]
-    near = []
-    for t in base[:25]:
-        for _ in range(rnd.randint(1, 5)):
-            w = t.split()
-            w[rnd.randrange(len(w))] = word()
-            near.append(" ".join(w))
-    texts = [None, "", *near, *base, *near[:10]]
-    rows = [(500 - i, t, "k") for i, t in enumerate(texts)]
-    rows += [rows[5], rows[5], (None, base[3], "k"), (None, "only this one has no id at all", "k"), (None, "only this one has no id at all", "k")]
+    rows = [(500 - i, t, "k") for i, (_, t, _) in enumerate(corpus())]
+    rows += [rows[5], rows[5], (None, rows[9][1], "k"), (None, "only this one has no id at all", "k"), (None, "only this one has no id at all", "k")]
+    rnd.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, bits string").repartition(4)
-    prints = [sum((x & (2**64 - 1)) << 64 * k for k, x in enumerate(simhash.wide_fingerprint((t or "").encode()))) for _, t, _ in rows]
-    radius = simhash.wide_radius(0.8)
-    n = len(rows)
-    group = list(range(n))
-    for i in range(n):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius and group[i] != group[j]:
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
+    prints = [brute_print(t) for _, t, _ in rows]
     best = {}
-    for g, r in zip(group, rows):
-        best[g] = min(best.get(g, r), r, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
-    for block in (8, simhash.WIDE_BLOCK):
-        simhash.WIDE_BLOCK, old = block, simhash.WIDE_BLOCK
-        got = [tuple(r) for r in simhash.deduplicated(docs).collect()]
-        simhash.WIDE_BLOCK = old
-        assert sorted(map(str, got)) == sorted(map(str, best.values()))
+    for g, r in zip(brute_components(list(range(len(rows))), prints), rows):
+        best[g] = min(best.get(g, r), r, key=lambda x: (x[0] is None, x[0] or 0, hashlib.sha256((x[1] or "").encode()).hexdigest()))
+    got = [tuple(r) for r in simhash.deduplicated(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, best.values()))
     assert simhash.deduplicated(docs.limit(0)).count() == 0
 
 
-def test_wide_links_equal_brute_force(spark):
-    rnd, radius = random.Random(13), 12
-    prints = set()
-    for _ in range(30):
-        a = rnd.getrandbits(256)
-        for _ in range(rnd.randint(1, 6)):
-            prints.add(a)
-            for _ in range(rnd.randint(1, 12)):
-                a ^= 1 << rnd.randrange(256)
-    prints = sorted(prints)
-    signed = [np.array([p >> 64 * k & (2**64 - 1) for k in range(4)], np.uint64).view(np.int64).tolist() for p in prints]
-    df = spark.createDataFrame([(x,) for x in signed], "bits array<bigint>")
-    want = brute_components(list(range(len(prints))), prints, radius)
-    for block in (6, 8192):
-        got = {tuple(r.a): tuple(r.label) for r in simhash.components(simhash.wide_links(df, radius, 4, block)).collect()}
-        named = [got.get(tuple(x), tuple(x)) for x in signed]
-        assert len(set(zip(named, want))) == len(set(named)) == len(set(want))
-
-
-def test_similar_removed_equals_brute_force_jaccard(spark):
-    """Pairs between 0.6 and 0.9, repeated shingles, sets of few shingles: the exact similarity decides."""
-    rnd = random.Random(17)
-    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
-    texts = [None, "", " ", "one", "ONE", "a b c d e f g h", "a b c d e f g h i", "x y z u v " * 40, "x y z u v " * 41]
-    for _ in range(60):
-        w = [word() for _ in range(rnd.choice([9, 30, 100, 300]))]
-        v = w[:]
-        # Words at the end are changed, so that n of them take n shingles off.
-        changed = round((len(w) - 4) * rnd.choice([0.05, 0.081, 0.1, 0.111, 0.12, 0.14, 0.2]))
-        v[len(v) - changed:] = [word() for _ in range(changed)]
-        texts += [" ".join(w), " ".join(v)]
-        if rnd.random() < 0.3:
-            texts.append(" ".join(w + w + w[:4]))
-    rows = [(1000 - i, t, "k") for i, t in enumerate(texts)] + [(None, texts[9], "k"), (None, "no id at all", "k"), (None, "no id at all", "k")]
-
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = [shingles(t) for _, t, _ in rows]
-    group, between = list(range(len(rows))), 0
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            like = len(a & b) / len(a | b) if a or b else 1.0
-            between += 0.75 <= like < 0.85
-            if like >= 0.8 and group[i] != group[j]:
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
-    assert between >= 20
-    best = {}
-    for g, r in zip(group, rows):
-        best[g] = min(best.get(g, r), r, key=lambda x: (x[0] is None, x[0] or 0))
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, bits string").repartition(4)
-    limits = simhash.EXACT_ROWS, simhash.WIDE_BLOCK
-    for simhash.EXACT_ROWS, simhash.WIDE_BLOCK in ((2, 8), limits):
-        got = [tuple(r) for r in simhash.similar_removed(docs).collect()]
-        assert sorted(map(str, got)) == sorted(map(str, best.values()))
-    assert simhash.similar_removed(docs.limit(0)).count() == 0
+def test_components_of_a_chain_a_star_and_a_ring(spark, monkeypatch):
+    """Also where labels and nodes with many links are joined without a broadcast."""
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 2400)] + [(3000 + i, 3000 + (i + 1) % 9) for i in range(9)]
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(5)
+    want = {**{i: 100 for i in range(100, 141)}, **{i: 7 for i in range(200, 2400)}, 7: 7, **{3000 + i: 3000 for i in range(9)}}
+    for rows in (lookup.BROADCAST_ROWS, 50):
+        monkeypatch.setattr(components.lookup_join, "__defaults__", ("left", rows, None, None))
+        assert {r.a: r.label for r in components.components(df).collect()} == want
