@@ -1,7 +1,10 @@
 import math
 import random
+import re
 import zlib
 
+import numpy as np
+
 from pledgelens.llm import toxicity
 
 CLEAN = "the of and to in is it was for that with as on by at from stone river house wind rain".split()
@@ -22,18 +25,45 @@ def corpus(n=900, seed=1):
     return docs, labels
 
 
-def test_gradient_is_the_slope_of_the_loss():
+def slow(model, text):
+    """The noisy-or straight from its definition: no heads remembered, no logarithms."""
+    clean = 1.0
+    for sentence in re.split("[.!?\n]", text or ""):
+        words = {w for w in re.findall(r"[^\W_]+", sentence.lower())}
+        if words:
+            z = model.bias + sum(model.weights.get(w, 0) + sum(model.weights.get(w[:k] + "*", 0) for k in (4, 5, 6, 7) if len(w) > k) for w in words)
+            clean *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - clean
+
+
+def test_descent_lowers_the_loss():
     docs, labels = corpus(200)
-    model = toxicity.fit([d[1] for d in docs], [y for _, y in labels], steps=120)
+    names = ["vile", "rotten", "stone"]
+    rows = [(y, *(np.array(x, np.int64) for x in toxicity.bag_of(t, {n: i for i, n in enumerate(names)}))) for (_, t, _), (_, y) in zip(docs, labels)]
+    loss = {steps: toxicity._loss(toxicity._descend(rows, 3, (1.0, 1.0), 0.05, 3e-4, steps), rows, (1.0, 1.0)) for steps in (1, 200)}
+    assert loss[200] < 0.1 * loss[1]
+
+
+def test_whole_query_equals_the_slow_form(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 5)
+    docs, labels = corpus(300, seed=4)
+    df = spark.createDataFrame(docs + [(900, "viler VILE! rottenest, vile\n\n...", "x")], "doc_id bigint, text string, score string")
+    lab = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.train(df, lab)
+    known = [(t, y) for (i, t, _), (_, y) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5]
+    near = toxicity.fit([t for t, _ in known], [y for _, y in known])
+    assert set(model.weights) == set(near.weights) and all(abs(model.weights[f] - near.weights[f]) < 1e-9 for f in near.weights)
+    text = {d: t for d, t, _ in [*docs, (900, "viler VILE! rottenest, vile\n\n...", "x")]}
+    for r in toxicity.toxicity(df, lab).collect():
+        assert abs(r.score - slow(model, text[r.doc_id])) < 1e-9
 
-    def loss(m):
-        out = 0
-        for (_, t, _), (_, y) in zip(docs, labels):
-            p = toxicity.NOISE + (1 - toxicity.NOISE) * m.score(t)[0] if y else 1 - m.score(t)[0]
-            out -= math.log(max(p, 1e-12))
-        return out
 
-    assert loss(model) < 0.2 * loss(toxicity.fit([d[1] for d in docs], [y for _, y in labels], steps=1))
+def test_forms_share_their_head():
+    """Every form of a stem stands in too few documents to be learned by itself."""
+    rnd = random.Random(2)
+    docs = [" ".join(rnd.choice(CLEAN) for _ in range(8)) + ("." if i % 3 else f". zorgel{rnd.choice('abcdefghijklmnopqrstuvwxyz')}{i}.") for i in range(300)]
+    model = toxicity.fit(docs, [int(i % 3 == 0) for i in range(300)])
+    assert model.score("The zorgelxyz house.")[0] > 0.5 > model.score("The zebra house.")[0]
 
 
 def test_noisy_or_by_hand():
