@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 from ..functions.lexicons import WESTERN
 from ..operators import columns as C
 from ..operators import explain as X
+from ..operators import features as E
 from ..operators import gram as G
 from ..operators import metrics as M
 from ..operators import models as Z
 from ..operators import regress as J
 from ..operators import terms as W
-from ..operators.features import TEXT_FEATURES
 from ..operators.scaling import Scaler
 from ..session import ensure_checkpoint_dir
 from ..streaming import score as S
 from .base import query, r6, table
-from .tables import DEALS, LINES, deals, labeled_features, lines
+from .tables import DEALS, LINES, deals, lines
 from .terms import _TFIDF, tfidf_docs
 
 # --------------------------------------------------------------------------
@@ -147,8 +147,9 @@ def staged_specs_tobit(spark, sf):
 
 @query("lasso_logit_cv")
 def lasso_logit_cv(spark, sf):
-    """The text features that tell documents of good quality."""
-    return J.lasso_logit_cv(labeled_features(spark, sf), TEXT_FEATURES, "y", "doc_id")[1]
+    """The text features that tell English documents from others."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", (F.col("lang") == "en").cast("int").alias("y"))
+    return J.lasso_logit_cv(E.extract_text_features(docs, "text", WESTERN), E.TEXT_FEATURES, "y", "doc_id")[1]
 
 
 # --------------------------------------------------------------------------

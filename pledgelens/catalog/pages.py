@@ -161,7 +161,7 @@ def number_or_null(spark, sf):
 # --------------------------------------------------------------------------
 def state_pages(spark, sf):
     """One page per order: campaign, description, rewards and counters as embedded JSON."""
-    o = table(spark, sf, "orders").join(
+    o = A.spread(table(spark, sf, "orders"), "o_orderkey").join(
         table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     key = F.col("o_orderkey")
     campaign = F.struct(
@@ -295,7 +295,7 @@ def reward_table(spark, sf):
 # Pages of the second family, rendered from orders
 # --------------------------------------------------------------------------
 def shop_pages(spark, sf):
-    o = table(spark, sf, "orders")
+    o = A.spread(table(spark, sf, "orders"), "o_orderkey")
     key = F.col("o_orderkey")
     price = F.col("o_totalprice").cast("bigint").cast("string")
     html = F.concat(

@@ -177,13 +177,43 @@ def page_meta(df: DataFrame, html_col: str, url_col: str, wide: bool = False) ->
 
 
 def element_html(html, classes: list[str], tag: str = r"[a-z0-9]+") -> Column:
-    """Inner source of the first element that carries the last class after the others opened."""
+    """Inner source of the first element with the last class, inside the first elements with the classes before it.
+
+    Elements are read by structure: one ends where as many tags of its name have closed as have opened in it. In a source
+    that never gets there it ends at the next closing tag of its name.
+    """
     text = as_column(html)
-    for cls in classes[:-1]:
-        text = F.regexp_extract(text, rf'(?is)<{tag}\b[^>]*\sclass\s*=\s*["\'](?:[^"\']*\s)?{cls}(?:\s[^"\']*)?["\'].*$', 0)
-    last = classes[-1]
-    return F.regexp_extract(
-        text, rf'(?is)<({tag})\b[^>]*\sclass\s*=\s*["\'](?:[^"\']*\s)?{last}(?:\s[^"\']*)?["\'][^>]*>(.*?)</\1\s*>', 2)
+    for i, cls in enumerate(classes):
+        text = _element(text, cls, tag if i == len(classes) - 1 else r"[a-z0-9]+")
+    return text
+
+
+def _element(text: Column, cls: str, tag: str) -> Column:
+    opened = F.regexp_extract(text, rf'(?is)<{tag}\b[^>]*\sclass\s*=\s*["\'](?:[^"\']*\s)?{cls}(?:\s[^"\']*)?["\'][^>]*>.*$', 0)
+
+    def inside(source: Column) -> Column:
+        name = F.regexp_extract(source, "(?i)^<([a-z0-9]+)", 1)
+        # The source from tag to tag of this name; every part begins with one.
+        parts = F.split(source, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"\b)")))
+        return F.when(source != "", bind(parts, _balanced)).otherwise(source)
+
+    return bind(opened, inside)
+
+
+def _balanced(parts: Column) -> Column:
+    closes = lambda part: part.startswith("</")
+    number = lambda n: F.lit(n).cast("int")
+
+    def step(state: Column, part: Column) -> Column:
+        depth = state["depth"] + F.when(closes(part), number(-1)).otherwise(number(1))
+        return F.struct(depth.alias("depth"), (state["at"] + number(1)).alias("at"),
+                        F.when((state["end"] < 0) & (depth <= 0), state["at"]).otherwise(state["end"]).alias("end"))
+
+    start = F.struct(number(0).alias("depth"), number(0).alias("at"), number(-1).alias("end"))
+    first = F.array_position(F.transform(parts, closes), F.lit(True)).cast("int") - 1
+    found = bind(F.aggregate(parts, start, step, lambda s: s["end"]), lambda end: F.when(end >= 0, end).otherwise(first))
+    return bind(found, lambda end: F.when(
+        end > 0, F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), end), ""), F.lit("^<[^>]*>"), F.lit(""))).otherwise(F.lit("")))
 
 
 def element_text(html, classes: list[str], tag: str = r"[a-z0-9]+") -> Column:

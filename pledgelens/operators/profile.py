@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks as R
 from .columns import MAX_CLASSES, class_sizes, numeric_columns, string_columns, varying_columns
+from .gram import summed
 from .lookup import lookup_join
+from .stored import stored
 
 
 def overview(df: DataFrame, order_by: str) -> DataFrame:
@@ -200,18 +203,39 @@ def _column_ranks(wide: DataFrame, columns: list[str], n_rows: int) -> DataFrame
 
 
 def _rank_rows(wide: DataFrame, columns: list[str], ranks: DataFrame) -> DataFrame:
-    """The rows with each value replaced by its rank: two shuffles of rows x columns, whatever the pairs."""
+    """The rows with each value replaced by its rank: two shuffles of rows x columns, whatever the pairs.
+
+    The rows are stored with a number first, so that a task that is repeated gives a row the same number.
+    """
     heavy = ranks.where((F.col("w") >= 1000) & (F.col("w") >= F.col("w_total") * 0.002))
-    long = R.melt_numeric(wide.withColumn("__row", F.monotonically_increasing_id()), columns, ["__row"])
+    long = R.melt_numeric(stored(wide.withColumn("__row", F.monotonically_increasing_id()), "ranked-rows"), columns, ["__row"])
     ranked = lookup_join(long, ranks.select("feature", "value", "rank"), ["feature", "value"], "inner", hot=heavy, salt_on=["__row"])
     return ranked.groupBy("__row").agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in columns])
 
 
+#: Distinct values of all columns whose ranks are sent to every executor: 16 bytes each.
+RANK_ROWS = 2_000_000
+
+
+def _rank_gram(wide: DataFrame, columns: list[str], ranks: DataFrame, n_rows: int) -> np.ndarray:
+    """Sums of products of centred ranks; the ranks of bounded numbers of distinct values are looked up in place, without a shuffle."""
+    found = ranks.select("feature", "value", "rank").toArrow().sort_by([("feature", "ascending"), ("value", "ascending")])
+    names, values, rank = found.column("feature").to_numpy(), found.column("value").to_numpy(), found.column("rank").to_numpy()
+    tables = [(values[names == c], rank[names == c]) for c in columns]
+    shared = wide.sparkSession.sparkContext.broadcast(tables)
+
+    def block(rows: np.ndarray) -> np.ndarray:
+        x = np.column_stack([r[np.searchsorted(v, rows[:, i])] for i, (v, r) in enumerate(shared.value)]) - (n_rows + 1) / 2
+        return (x.T @ x).ravel()
+
+    return summed(wide, columns, block).reshape(len(columns), len(columns))
+
+
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``(a, b, r)``: rank correlation with average ranks of the complete rows.
 
-    Columns without missing values are ranked once, the ranks go back into the rows, and one aggregate takes all
-    their pairs; other pairs rank their own complete rows. One number per pair comes back, so the
+    Columns without missing values are ranked once, the ranks go back into the rows (looked up in place where the distinct values are few
+    enough to be sent, by a join otherwise), and one aggregate takes all their pairs; other pairs rank their own complete rows. One number per pair comes back, so the
     result is computed at once and the shared counts are released.
     """
     columns = sorted({c for pair in pairs for c in pair})
@@ -226,10 +250,16 @@ def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
         if whole:
             used = sorted({c for p in whole for c in p})
             ranks = _column_ranks(wide, used, n_rows).persist()
-            ranked = _rank_rows(wide, used, ranks)
-            row = ranked.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(whole)]).first()
+            if n_rows and ranks.count() <= RANK_ROWS:
+                gram = _rank_gram(wide, used, ranks, n_rows)
+                scale = np.sqrt(np.diag(gram))
+                at = {c: i for i, c in enumerate(used)}
+                found += [{"a": a, "b": b, "r": float(gram[at[a], at[b]] / s) if (s := scale[at[a]] * scale[at[b]]) else None} for a, b in whole]
+            else:
+                ranked = _rank_rows(wide, used, ranks)
+                row = ranked.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(whole)]).first()
+                found += [{"a": a, "b": b, "r": row[f"p{i}"]} for i, (a, b) in enumerate(whole)]
             ranks.unpersist()
-            found += [{"a": a, "b": b, "r": row[f"p{i}"]} for i, (a, b) in enumerate(whole)]
         if partial:
             cells = _pair_cells(wide, partial).persist()
 

@@ -21,6 +21,16 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     return nan_to_null(reader.load(path))
 
 
+def spread(df: DataFrame, *keys: str, bytes_per_task: int = 64 << 20) -> DataFrame:
+    """A small table dealt by its keys to all cores; a table with work for every core stays as it was read.
+
+    A file of few row groups is read by as few tasks, however much is done with each row after.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *keys) if size < cores * bytes_per_task else df
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] = (), **options) -> None:
     """Write a table; CSV gets a header row."""

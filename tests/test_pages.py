@@ -146,3 +146,27 @@ def test_table_round_trip(spark, tmp_path, fmt):
     back = A.read_table(spark, str(tmp_path / fmt), fmt, "a int, b double")
     assert sorted((r.a, r.b) for r in back.where("b is not null").collect()) == [(1, 2.5)]
     assert back.count() == 3
+
+
+@pytest.mark.parametrize("html, classes, want", [
+    ('<div class="a">x<div>y<div class="z"></div></div>w</div>tail</div>', ["a"], 'x<div>y<div class="z"></div></div>w'),
+    ('<p><DIV id=1 class="b a c">x<Div>y</DIV >z</div>t', ["a"], "x<Div>y</DIV >z"),
+    ('<div class="o"><div class="n">in</div></div><div class="n">out</div>', ["o", "n"], "in"),
+    ('<div class="o"><i>q</i></div><div class="n">out</div>', ["o", "n"], ""),
+    ('<span class="a">one</span><span class="a">two</span>', ["a"], "one"),
+    ('<div class="a">never <div>closed</div>', ["a"], "never <div>closed"),
+    ('<div class="a">open', ["a"], ""),
+    ('<divx class="aa">no</divx><div class=\'a\'></div>', ["a"], ""),
+    ('<b class="a"><base href="/">k<br></b>', ["a"], '<base href="/">k<br>'),
+    ("", ["a"], ""), (None, ["a"], None),
+])
+def test_elements_are_read_by_structure(spark, html, classes, want):
+    assert spark.createDataFrame([(html,)], "h string").select(B.element_html("h", classes)).first()[0] == want
+
+
+def test_spread_deals_small_tables_to_all_cores(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    dealt = A.spread(df, "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) == spark.sparkContext.defaultParallelism and sum(r["count"] for r in dealt) == 1000
+    assert A.spread(df, "id", bytes_per_task=1) is df
