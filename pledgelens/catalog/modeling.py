@@ -352,8 +352,7 @@ def tree_shap(spark, sf):
 @query("tree_shap_background")
 def tree_shap_background(spark, sf):
     fitted, rows = forest(spark, sf)
-    reference = X.background_rows(rows.where("is_test = 0"), "id", 20)
-    shap, _ = X.tree_shap(fitted, rows.where("is_test = 1"), "id", reference)
+    shap, _ = X.tree_shap(fitted, rows.where("is_test = 1"), "id", rows.where("is_test = 0"))
     return X.shap_ranking(shap, signed=True)
 
 

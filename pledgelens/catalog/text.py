@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicons import WESTERN
 from ..operators import features as E
+from ..operators import lemmas as LM
 from .base import query, r6, sql_words, table
 
 P = WESTERN
@@ -91,6 +92,52 @@ def lemmatize(spark, sf):
         "doc_id", F.size("lemmas").alias("n_lemmas"), F.array_join("lemmas", " ").alias("lemmas"))
 
 
+# Entries for suffix rules: the table above, and forms of four letters and more in "s" without a base as their own lemma.
+_ENTRIES_SQL = f"""{_FORMS_SQL}, entries AS (
+  SELECT form, lemma FROM forms UNION ALL
+  SELECT form, form FROM seen WHERE form LIKE '%s' AND length(form) >= 4 AND form NOT IN (SELECT form FROM forms)),
+ended AS (
+  SELECT form, CASE WHEN form = lemma THEN 0 ELSE 1 END AS strip, '' AS add, unnest(generate_series(
+    CASE WHEN form = lemma THEN 0 ELSE 1 END, least(length(form), {{longest}}))) AS s FROM entries),
+counted AS (SELECT right(form, s::INT) AS ending, strip, add, count(*) AS n FROM ended GROUP BY ALL),
+rules AS (
+  SELECT ending, strip, add, n, n / sum(n) OVER (PARTITION BY ending) AS share, row_number() OVER (PARTITION BY ending ORDER BY n DESC, strip, add) AS best
+  FROM counted QUALIFY best = 1 AND n >= {{least}})"""
+_ENTRIES_SQL = _ENTRIES_SQL.replace("{longest}", str(LM.LONGEST)).replace("{least}", str(LM.LEAST))
+
+
+def corpus_entries(documents):
+    forms = corpus_forms(documents)
+    seen = documents.select(F.explode(T.tokenize(F.lower("text"), P.token_pattern)).alias("form")).distinct()
+    own = seen.where(F.col("form").endswith("s") & (F.length("form") >= 4)).join(forms, "form", "left_anti")
+    return forms.unionByName(own.select("form", F.col("form").alias("lemma")))
+
+
+@query("lemma_rules", f"""WITH {_ENTRIES_SQL} SELECT ending, strip::INT AS strip, add, n, round(share, 6) + 0.0 AS share FROM rules""")
+def lemma_rules(spark, sf):
+    rules = LM.learn_rules(corpus_entries(table(spark, sf, "documents")))
+    return rules.select("ending", "strip", "add", "n", r6("share").alias("share"))
+
+
+@query("predict_lemmas", f"""WITH {_ENTRIES_SQL},
+asked AS (SELECT form, right(form, s::INT) AS ending, s FROM (
+  SELECT form, unnest(generate_series(0, least(length(form), {LM.LONGEST}))) AS s FROM seen WHERE form NOT IN (SELECT form FROM entries))),
+taken AS (SELECT form, strip, add FROM asked JOIN rules USING (ending) WHERE strip < length(form) QUALIFY row_number() OVER (PARTITION BY form ORDER BY s DESC) = 1)
+SELECT form, lemma FROM entries UNION ALL
+SELECT form, CASE WHEN strip IS NULL THEN form ELSE left(form, (length(form) - strip)::INT) || add END
+FROM (SELECT form FROM seen WHERE form NOT IN (SELECT form FROM entries)) LEFT JOIN taken USING (form)""")
+def predict_lemmas(spark, sf):
+    """Every form of the corpus with its lemma: from the table, else by rule."""
+    docs = table(spark, sf, "documents")
+    words = docs.select(F.explode(T.tokenize(F.lower("text"), P.token_pattern)).alias("form"))
+    return LM.complete_forms(words, corpus_entries(docs))
+
+
+@query("lemma_rule_accuracy")
+def lemma_rule_accuracy(spark, sf):
+    return LM.rule_accuracy(corpus_entries(table(spark, sf, "documents")))
+
+
 @query("split_sentences", f"""
 SELECT doc_id, len(s)::INT AS n_sentences, array_to_string(s,'|') AS sentences
 FROM (SELECT doc_id, list_filter(string_split_regex(text,'[.!?]+'),

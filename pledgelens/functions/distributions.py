@@ -49,6 +49,30 @@ def student_two_sided(t: float, df: float) -> float:
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
+def rank_sum_counts(m: int, n: int) -> list[int]:
+    """Orders of m and n untied values by their U, from 0 to m n: the coefficients of a Gaussian binomial.
+
+    A factor (1 - q^(n+i)) / (1 - q^i) for every i up to m, on whole numbers.
+    """
+    m, n = min(m, n), max(m, n)
+    counts = [1] + [0] * (m * n)
+    for i in range(1, m + 1):
+        for u in range(m * n, n + i - 1, -1):
+            counts[u] -= counts[u - n - i]
+        for u in range(i, m * n + 1):
+            counts[u] += counts[u - i]
+    return counts
+
+
+def rank_sum_two_sided(u: float, m: float, n: float) -> float:
+    """Exact two-sided p-value of U for samples of m and n untied values."""
+    m, n = int(m), int(n)
+    counts = rank_sum_counts(m, n)
+    # U counts whole pairs; the two tails are alike.
+    low = min(int(u), m * n - int(u))
+    return min(1.0, 2 * sum(counts[:low + 1]) / math.comb(m + n, m))
+
+
 def _vector(fn):
     def run(*series: pd.Series) -> pd.Series:
         out = []
@@ -68,6 +92,14 @@ def normal_p(z):
     return F.pandas_udf(run, "double")(z)
 
 
+def rank_sum_p(u, m, n):
+    """Exact two-sided p-value column of a small result table; null where an argument is."""
+    def run(u: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        return _vector(rank_sum_two_sided)(u, m, n)
+
+    return F.pandas_udf(run, "double")(u, m, n)
+
+
 def student_p(t, df):
     """Two-sided Student p-value column of a small result table."""
     def run(t: pd.Series, df: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distributions import normal_p, student_p
+from ..functions.distributions import normal_p, rank_sum_p, student_p
 from . import ranks as R
 
 
@@ -81,15 +81,23 @@ def _with_point_biserial(s: DataFrame) -> DataFrame:
 def mann_whitney(df: DataFrame, features: list[str], y: str, p_value: bool = True) -> DataFrame:
     """U of the success sample with its tie-corrected normal test.
 
-    Small untied samples use the same normal form; the exact table is not built.
+    The p-value is exact where the samples are untied and one has at most ``EXACT_SIZE`` values.
     """
     out = _with_mann_whitney(_summaries(class_counts(df, features, y))).select(
-        "feature", "n_success", "n_fail", "mw_U", "mw_z", "rank_biserial_r")
-    return out.withColumn("mw_p", _mw_p()) if p_value else out
+        "feature", "n_success", "n_fail", "mw_U", "mw_z", "rank_biserial_r", "ties")
+    return out.withColumn("mw_p", _mw_p()).drop("ties") if p_value else out.drop("ties")
+
+
+#: The rank test is exact up to so many values of the lesser sample, without ties, and so many different U.
+EXACT_SIZE = 8
+EXACT_CELLS = 100_000
 
 
 def _mw_p() -> Column:
-    return F.least(normal_p(F.greatest(F.col("mw_z"), F.lit(0.0))), F.lit(1.0))
+    n1, n0 = F.col("n_success").cast("double"), F.col("n_fail").cast("double")
+    small = (F.least(n1, n0) <= EXACT_SIZE) & (n1 * n0 <= EXACT_CELLS) & (F.col("ties") == 0)
+    exact = rank_sum_p(*[F.when(small, c) for c in (F.col("mw_U"), n1, n0)])
+    return F.coalesce(exact, F.least(normal_p(F.greatest(F.col("mw_z"), F.lit(0.0))), F.lit(1.0)))
 
 
 def _student_p_of_r() -> Column:

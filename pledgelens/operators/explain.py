@@ -184,18 +184,50 @@ def _path_dependent(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _interventional(leaves: list[Leaf], x: np.ndarray, background: np.ndarray) -> np.ndarray:
+def _bits(leaf: Leaf, x: np.ndarray) -> np.ndarray:
+    """Per row the conditions of the leaf's path that it meets, as a number of bits."""
+    cols = x[:, leaf.features]
+    return ((cols > leaf.low) & (cols <= leaf.high)) @ (1 << np.arange(len(leaf.features), dtype=np.int64))
+
+
+def leaf_patterns(leaves: list[Leaf], background: DataFrame, features: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Per leaf the patterns of met conditions among the background rows with their shares, and the number of rows.
+
+    A leaf asks for d conditions, so it has at most 2^d patterns, however many rows there are.
+    """
+    shared = background.sparkSession.sparkContext.broadcast(leaves)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = batch.to_numpy(np.float64)
+                found = [np.unique(_bits(leaf, x), return_counts=True) for leaf in shared.value]
+                yield pd.DataFrame({
+                    "leaf": np.repeat(np.arange(len(found), dtype=np.int32), [len(b) for b, _ in found]),
+                    "bits": np.concatenate([b for b, _ in found]), "n": np.concatenate([n for _, n in found])})
+
+    parts = to_matrix(background, features).mapInPandas(counted, "leaf int, bits bigint, n bigint")
+    table = parts.groupBy("leaf", "bits").agg(F.sum("n").alias("n")).orderBy("leaf", "bits").toArrow()
+    leaf, bits, n = (table.column(c).to_numpy() for c in ("leaf", "bits", "n"))
+    edges = np.searchsorted(leaf, np.arange(len(leaves) + 1))
+    rows = int(n[:edges[1]].sum()) if len(leaves) else 0
+    return [(bits[i:j], n[i:j] / max(rows, 1)) for i, j in zip(edges, edges[1:])], rows
+
+
+def _interventional(leaves: list[Leaf], patterns: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Contributions against a background given by its patterns: cost follows the leaves, not rows times background."""
     out = np.zeros_like(x)
     fact = [float(math.factorial(i)) for i in range(64)]
-    for leaf in leaves:
+    for leaf, (theirs, weight) in zip(leaves, patterns):
         d = len(leaf.features)
         if d == 0:
             continue
-        mine = (x[:, leaf.features] > leaf.low) & (x[:, leaf.features] <= leaf.high)
-        theirs = (background[:, leaf.features] > leaf.low) & (background[:, leaf.features] <= leaf.high)
-        a = mine[:, None, :] & ~theirs[None, :, :]
-        b = ~mine[:, None, :] & theirs[None, :, :]
-        reachable = ~np.any(~mine[:, None, :] & ~theirs[None, :, :], axis=2)
+        mine, place = np.unique(_bits(leaf, x), return_inverse=True)
+        each = np.arange(d)
+        here, there = (mine[:, None] >> each & 1).astype(bool), (theirs[:, None] >> each & 1).astype(bool)
+        a = here[:, None, :] & ~there[None, :, :]
+        b = ~here[:, None, :] & there[None, :, :]
+        reachable = ~np.any(~here[:, None, :] & ~there[None, :, :], axis=2)
         na, nb = a.sum(2), b.sum(2)
         table_a, table_b = np.zeros((d + 1, d + 1)), np.zeros((d + 1, d + 1))
         for p in range(d + 1):
@@ -205,42 +237,37 @@ def _interventional(leaves: list[Leaf], x: np.ndarray, background: np.ndarray) -
                 if q:
                     table_b[p, q] = fact[p] * fact[q - 1] / fact[p + q]
         plus, minus = table_a[na, nb] * reachable, table_b[na, nb] * reachable
-        effect = (a * plus[:, :, None] - b * minus[:, :, None]).mean(axis=1)
-        out[:, leaf.features] += leaf.value * effect
+        effect = ((a * plus[:, :, None] - b * minus[:, :, None]) * weight[None, :, None]).sum(axis=1)
+        out[:, leaf.features] += leaf.value * effect[place]
     return out
 
 
-def tree_shap(
-    fitted: Fitted, df: DataFrame, id_col: str, background: DataFrame | None = None, max_background: int = 100
-) -> tuple[DataFrame, float]:
+def tree_shap(fitted: Fitted, df: DataFrame, id_col: str, background: DataFrame | None = None) -> tuple[DataFrame, float]:
     """Class-1 contributions of every row and feature, and the base value.
 
-    Without ``background`` the training cover weighs the paths; with it, the
-    given rows do (at most ``max_background``, a reference sample by design).
-    Contributions and base add up to the model output.
+    Without ``background`` the training cover weighs the paths; with it, the given rows do, of any number: they are counted by the
+    patterns that they leave at the leaves. Contributions and base add up to the model output.
     """
     spark = df.sparkSession
     leaves, base = tree_leaves(fitted, spark)
-    features = fitted.features
-    reference = None
+    features, patterns = fitted.features, None
     if background is not None:
-        rows = to_matrix(background, features).limit(max_background + 1).toPandas().to_numpy(np.float64)
-        if len(rows) > max_background:
-            raise ValueError(f"background has more than {max_background} rows; pass a reference sample")
-        reference = rows
-        base = float(np.mean([
-            sum(leaf.value for leaf in leaves
-                if np.all((r[leaf.features] > leaf.low) & (r[leaf.features] <= leaf.high))) for r in rows]))
-    shared = spark.sparkContext.broadcast((leaves, reference))
-    block = 4096 if reference is None else 256
+        patterns, rows = leaf_patterns(leaves, background, features)
+        if not rows:
+            raise ValueError("the background has no rows")
+        # The leaf that a row reaches is the one all of whose conditions it meets.
+        reached = [float(w[bits == (1 << len(leaf.features)) - 1].sum()) for leaf, (bits, w) in zip(leaves, patterns)]
+        base = getattr(fitted.model, "base", 0.0) + float(sum(leaf.value * r for leaf, r in zip(leaves, reached)))
+    shared = spark.sparkContext.broadcast((leaves, patterns))
+    block = 4096
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        paths, ref = shared.value
+        paths, theirs = shared.value
         for batch in batches:
             for start in range(0, len(batch), block):
                 part = batch.iloc[start: start + block]
                 x = part[features].to_numpy(np.float64)
-                phi = _path_dependent(paths, x) if ref is None else _interventional(paths, x, ref)
+                phi = _path_dependent(paths, x) if theirs is None else _interventional(paths, theirs, x)
                 yield pd.DataFrame({
                     id_col: np.repeat(part[id_col].to_numpy(), len(features)),
                     "feature": np.tile(features, len(part)), "shap": phi.ravel()})

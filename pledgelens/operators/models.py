@@ -4,23 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting as B
 from . import metrics as M
 from . import ranks as R
 from .columns import TEXT_GROUPS, balanced_weights, categories, class_sizes, feature_sets, fold_assign, one_hot, to_matrix
+from .parallel import side_by_side
 from .scaling import Scaler
 from .stored import stored
 
@@ -101,16 +100,6 @@ def _class_weight(sizes: dict, y: str) -> Column:
     return weight
 
 
-#: Fits that are sent to the cluster at the same time.
-PARALLEL_FITS = 4
-
-
-def _side_by_side(spark: SparkSession, calls: list[Callable], threads: int = PARALLEL_FITS) -> list:
-    """The results of independent fits, several of which share the cluster at a time."""
-    with ThreadPoolExecutor(threads) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
-
-
 def fold_prepare(features: list[str], category: str | None = None, scaled: tuple[str, ...] = ("readability_avg",)) -> Prepare:
     """Categories and scaling parameters learnt from the training rows of the fold."""
 
@@ -195,7 +184,7 @@ def oof_many(
             return fit(train, names, y, e.spec).predict(test).select(id_col, y, "fold", F.lit(i).alias("entry"), "probability")
 
         rest = [i for i in range(len(entries)) if i not in dict(boosted)]
-        parts = _side_by_side(df.sparkSession, [lambda i=i, f=f: one(i, entries[i], f) for i in rest for f in folds])
+        parts = side_by_side(df.sparkSession, [lambda i=i, f=f: one(i, entries[i], f) for i in rest for f in folds])
         if boosted:
             parts.append(_boosted_scores(data, id_col, y, boosted, folds))
         scored = parts[0]
@@ -361,7 +350,7 @@ def learning_curve(
         grown = B.fit_many(data, y, weights, [(spec[0], features, str(i)) for i in used])
         models = [Fitted(m, features) for m in grown]
     else:
-        models = _side_by_side(df.sparkSession, [lambda i=i: fit(data.where(part[i]), features, y, spec) for i in used])
+        models = side_by_side(df.sparkSession, [lambda i=i: fit(data.where(part[i]), features, y, spec) for i in used])
     scored = None
     for i, model in zip(used, models):
         fold, size, rows = cells[i]

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from ..functions import text as T
 from ..functions.lexicons import RUSSIAN, LanguagePack
 from .features import lemmatize
 from .lookup import lookup_join
+from .parallel import side_by_side
 
 
 # --------------------------------------------------------------------------
@@ -159,14 +160,22 @@ class TopicTransformer:
     model: object = None
 
     def fit(self, df: DataFrame, terms_col: str = "terms") -> "TopicTransformer":
+        counter = self.counter(df, terms_col)
+        return self.fit_counted(counter, counter.transform(df))
+
+    def counter(self, df: DataFrame, terms_col: str = "terms") -> CountVectorizerModel:
+        """The vocabulary; it does not depend on the number of topics."""
         n_docs = df.count()
         # The counter reads a limit of 1 and more as a number of documents.
-        counter = CountVectorizer(
+        return CountVectorizer(
             inputCol=terms_col, outputCol="__bow", vocabSize=self.max_vocabulary or 2**31 - 1,
-            minDF=float(self.no_below), maxDF=float(max(int(self.no_above * n_docs), 1)))
+            minDF=float(self.no_below), maxDF=float(max(int(self.no_above * n_docs), 1))).fit(df)
+
+    def fit_counted(self, counter: CountVectorizerModel, counted: DataFrame) -> "TopicTransformer":
+        """Fit to documents that the counter has turned into term counts."""
         lda = LDA(featuresCol="__bow", k=self.k, maxIter=self.passes, seed=self.seed, optimizer="online",
                   topicDistributionCol="__shares")
-        self.model = Pipeline(stages=[counter, lda]).fit(df)
+        self.model = PipelineModel(stages=[counter, lda.fit(counted)])
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -229,12 +238,24 @@ def coherence(bags: DataFrame, id_col: str, tops: DataFrame) -> DataFrame:
 def select_k_by_coherence(
     df: DataFrame, id_col: str, terms_col: str = "terms", ks: range = range(2, 11), n_top: int = 8, **kwargs
 ) -> tuple[int, DataFrame]:
-    """Topic count with the best mean coherence, and the table of tried counts."""
-    bags = term_rows(df, id_col, terms_col)
-    tried = []
-    for k in ks:
-        model = TopicTransformer(k=k, **kwargs).fit(df, terms_col)
-        mean = coherence(bags, id_col, model.top_terms(n_top)).agg(F.avg("coherence")).first()[0]
-        tried.append((k, float(mean)))
+    """Topic count with the best mean coherence, and the table of tried counts.
+
+    The documents are counted once for all fits, which run side by side; the topics of all counts are judged in one job.
+    """
+    spark = df.sparkSession
+    counter = TopicTransformer(**kwargs).counter(df, terms_col)
+    counted = counter.transform(df.select(id_col, terms_col)).persist()
+    try:
+        counted.count()
+        models = side_by_side(spark, [lambda k=k: TopicTransformer(k=k, **kwargs).fit_counted(counter, counted) for k in ks])
+        tops = None
+        for k, model in zip(ks, models):
+            own = model.top_terms(n_top).withColumn("topic", F.struct(F.lit(k).alias("k"), F.col("topic").alias("topic")))
+            tops = own if tops is None else tops.unionByName(own)
+        judged = coherence(term_rows(counted, id_col, terms_col), id_col, tops)
+        means = {r["k"]: r["mean"] for r in judged.groupBy(F.col("topic.k").alias("k")).agg(F.avg("coherence").alias("mean")).collect()}
+    finally:
+        counted.unpersist()
+    tried = [(k, float(means[k])) for k in ks]
     best = max(tried, key=lambda item: item[1])[0]
-    return best, df.sparkSession.createDataFrame(tried, "k int, coherence double")
+    return best, spark.createDataFrame(tried, "k int, coherence double")

@@ -151,6 +151,26 @@ def test_a_forest_tree_is_the_best_of_its_draw():
     assert many.mean() == pytest.approx(1, abs=0.02) and many.var() == pytest.approx(1, abs=0.03)
 
 
+def test_a_background_of_all_rows_equals_all_subsets(spark, rows):
+    """Four features, the whole table as background; every subset's value is the mean over its rows."""
+    df, x, _ = rows
+    fitted = Z.fit(df, ["a", "b", "c", "d"], "y", (B.Boost(4, 0.3, 9, bins=40), False))
+    shap, base = X.tree_shap(fitted, df.where("id < 3"), "id", df)
+    got = {(r.id, r.feature): r.shap for r in shap.collect()}
+    assert base == pytest.approx(fitted.model.margin(x).mean())
+    for i in range(3):
+        def value(known, i=i):
+            z = x.copy()
+            z[:, list(known)] = x[i, list(known)]
+            return fitted.model.margin(z).mean()
+
+        for j, name in enumerate("abcd"):
+            rest = [f for f in range(4) if f != j]
+            want = sum(
+                math.factorial(n) * math.factorial(3 - n) / 24 * (value({*s, j}) - value(set(s))) for n in range(4) for s in itertools.combinations(rest, n))
+            assert got[i, name] == pytest.approx(want, abs=1e-9)
+
+
 def test_zoo_scores_each_row_by_models_of_other_folds(spark, rows):
     df, x, y = rows
     zoo = {"LeafBoost": (B.leaf_wise(5), True), "LevelBoost": (B.level_wise(5, 2), False), "LogReg_L1": Z.model_zoo()["LogReg_L1"]}

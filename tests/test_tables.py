@@ -1,5 +1,7 @@
+import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -153,5 +155,29 @@ def test_histogram_and_boxes(spark, skewed):
     q1, q3 = np.quantile(a, [0.25, 0.75])
     reach = 1.5 * (q3 - q1)
     assert box.n_outliers == ((a < q1 - reach) | (a > q3 + reach)).sum()
-    report = H.profile_report(skewed, "id", "y", "b", skip=["id"])
+    report = H.profile_report(skewed.withColumn("kind", F.when(F.col("id") % 4 > 0, F.concat(F.lit("k"), F.col("id") % 4))), "id", "y", "b", skip=["id"])
+    assert {r.kind for r in report["categorical/success_kind"].collect()} == {"k1", "k2", "k3"}
     assert {"summary/overview", "target_analysis/group_stats", "bivariate/trends"} <= set(report)
+
+
+@pytest.mark.parametrize("m, n", [(1, 1), (1, 5), (3, 4), (5, 2), (6, 6), (8, 8)])
+def test_exact_rank_test_equals_enumeration(m, n):
+    """Every choice of ranks for the first sample."""
+    counts = Counter(sum(ranks) - m * (m - 1) // 2 for ranks in itertools.combinations(range(m + n), m))
+    assert D.rank_sum_counts(m, n) == [counts[u] for u in range(m * n + 1)]
+    for u in range(m * n + 1):
+        tail = sum(c for v, c in counts.items() if abs(v - m * n / 2) >= abs(u - m * n / 2) - 1e-9)
+        assert D.rank_sum_two_sided(u, m, n) == pytest.approx(min(1.0, tail / math.comb(m + n, m)))
+
+
+def test_rank_test_is_exact_for_small_untied_samples_only(spark):
+    rows = [(i, float(i * i), float(i // 2), float(i), int(i in (1, 3, 4, 9))) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y int")
+    got = {r.feature: r for r in K.mann_whitney(df, ["a", "b"], "y").collect()}
+    assert got["a"].mw_p == pytest.approx(D.rank_sum_two_sided(got["a"].mw_U, 4, 8))
+    assert got["b"].mw_p == pytest.approx(math.erfc(abs(got["b"].mw_z) / math.sqrt(2)))
+    many = spark.createDataFrame([(i, float(i), i % 2) for i in range(20)], "id int, a double, y int")
+    r = K.mann_whitney(many, ["a"], "y").first()
+    assert r.mw_p == pytest.approx(math.erfc(abs(r.mw_z) / math.sqrt(2)))
+    table = {r.feature: r.mw_p for r in K.test_table(df, ["a", "b"], "y").collect()}
+    assert table == pytest.approx({f: got[f].mw_p for f in "ab"})
