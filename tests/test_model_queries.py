@@ -2,10 +2,12 @@ from pledgelens.catalog import modeling
 
 
 def test_queries_take_the_full_sizes(spark):
-    forest, boost = modeling.ZOO["RandomForest"][0](100), modeling.ZOO["GradBoost"][0](100)
-    assert (forest.getNumTrees(), forest.getMaxDepth(), boost.getMaxIter()) == (300, 10, 200)
-    shallow = modeling.FOREST[0](100)
-    assert (shallow.getNumTrees(), shallow.getMaxDepth()) == (300, 6)
+    zoo = {name: rule for name, (rule, _) in modeling.ZOO.items()}
+    assert (zoo["RandomForest"].trees, zoo["RandomForest"].depth) == (300, 10)
+    assert (zoo["GradBoost"].rounds, zoo["GradBoost"].depth) == (200, 3)
+    assert (zoo["LeafBoost"].rounds, zoo["LeafBoost"].leaves, zoo["LevelBoost"].rounds, zoo["LevelBoost"].depth) == (200, 31, 200, 4)
+    shallow = modeling.FOREST[0]
+    assert (shallow.trees, shallow.depth) == (300, 6)
 
 
 def test_specifications_cover_the_features():
