@@ -15,7 +15,10 @@ name are replaced. Everything is row-local: no shuffle, memory of one Arrow batc
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
+from collections import Counter
 from collections.abc import Mapping
 from typing import NamedTuple
 
@@ -43,8 +46,10 @@ class Band(NamedTuple):
     entropy_low: float
 
 
-#: Fewer tokens are not measured: their measures vary too much.
-MIN_TOKENS = 64
+#: From so many tokens on the limits hold as they are; they are wider for fewer tokens, whose measures vary more.
+FULL_TOKENS = 64
+#: Characters of the parts that longer texts are encoded in.
+PART = 1 << 16
 #: Bands per language and, for other languages, per script. The lower limits of the four languages lie just below
 #: the lowest values of labelled documents of good quality; pass ``bands`` for another corpus.
 BANDS: dict[str, Band] = {
@@ -119,6 +124,33 @@ def script(text: str) -> str:
     return "latin" if 2 * len(_LATIN.findall(text)) >= letters else "other"
 
 
+def limits_at(band: Band, n_tokens: int) -> Band:
+    """The band for a text of so many tokens: wider by the root of what it lacks."""
+    wide = max(1.0, math.sqrt(FULL_TOKENS / max(n_tokens, 1)))
+    return Band(band.chars_low / wide, band.chars_high * wide, band.fallback_high * wide, band.entropy_low / wide)
+
+
+def token_ids(vocabulary: bpe.ByteBpe, text: str) -> np.ndarray:
+    """The ids of a whole text; a long one, whose runs of one kind the encoder may not hold, goes part by part."""
+    if len(text) <= PART:
+        return vocabulary.core.encode_to_numpy(text)
+    ids: list[np.ndarray] = []
+    for run, parts in itertools.groupby(bpe.cut(vocabulary, text, PART), key=lambda p: p[0]):
+        if run:
+            ids.append(np.array(vocabulary.tree([vocabulary.leaf(data) for _, data in parts]), np.uint32))
+        else:
+            ids += [vocabulary.core.encode_to_numpy(data.decode()) for _, data in parts]
+    return np.concatenate(ids)
+
+
+def without_piece(text: str, letters: set[str]) -> int:
+    """Characters of words that the piece vocabulary has no piece for."""
+    missing = {c for c in set(text) - letters if not c.isspace()}
+    if len(missing) <= 8:
+        return sum(map(text.count, missing))
+    return sum(n for c, n in Counter(text).items() if c in missing)
+
+
 TYPES = {
     "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
     "n_repeat_words": "bigint", "n_tokens": "bigint", "chars_per_token": "double", "fallback_share": "double",
@@ -137,13 +169,13 @@ def measure(vocabulary: bpe.ByteBpe, letters: set[str], text: str, lang: str | N
     base = (len(words), word_chars, int(counts[_SYMBOLS].sum()), repeated_lines(data), repeated)
     if not words:
         return (*base, 0, None, None, None, failed, False)
-    ids = vocabulary.core.encode_to_numpy(text)
+    ids = token_ids(vocabulary, text)
     chars = len(text) / len(ids)
-    unknown = sum(map(text.count, (c for c in set(text) - letters if not c.isspace()))) / word_chars
+    unknown = without_piece(text, letters) / word_chars
     spread = entropy(ids) if len(ids) > 1 else 1.0
     kept = not failed
-    if kept and len(ids) >= MIN_TOKENS:
-        band = bands.get(lang) or bands[script(text)]
+    if kept:
+        band = limits_at(bands.get(lang) or bands[script(text)], len(ids))
         kept = (
             band.chars_low <= chars <= band.chars_high and unknown <= band.fallback_high and spread >= band.entropy_low
         )
