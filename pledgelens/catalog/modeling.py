@@ -356,6 +356,15 @@ def tree_shap_background(spark, sf):
     return X.shap_ranking(shap, signed=True)
 
 
+@query("boosted_contributions")
+def boosted_contributions(spark, sf):
+    """The boosted trees of the explanation report, against the whole training part."""
+    rows = C.train_test_split(model_table(spark, sf), "id", "y")
+    fitted = Z.fit(rows.where("is_test = 0"), FEATURES, "y", Z.slow_boost())
+    shap, _ = X.tree_shap(fitted, rows.where("is_test = 1"), "id", rows.where("is_test = 0"))
+    return X.shap_ranking(shap, signed=True)
+
+
 @query("local_surrogate")
 def local_surrogate(spark, sf):
     fitted, rows = forest(spark, sf)

@@ -90,7 +90,7 @@ def model_report(
 
 def explain_report(
     df: DataFrame, id_col: str, y: str, features: list[str], category: str | None = None, goal: str | None = None,
-    spec: tuple | None = None, repeats: int = 20, top: int = 6, background: int = 100,
+    spec: tuple | None = None, repeats: int = 20, top: int = 6, background: int | None = None,
 ) -> dict[str, DataFrame]:
     """Split, scale, fit and every explanation table of one model."""
     split = C.train_test_split(df, id_col, y).persist()
@@ -100,8 +100,8 @@ def explain_report(
     features = C.varying_columns(C.to_matrix(split, features), C.present_columns(split, features))
     model = Z.fit(train, features, y, spec or Z.shallow_forest())
     scored = model.predict(test)
-    reference = X.background_rows(train, id_col, background)
-    shap, _ = X.tree_shap(model, test, id_col, reference, background)
+    reference = train if background is None else X.background_rows(train, id_col, background)
+    shap, _ = X.tree_shap(model, test, id_col, reference)
     shap = shap.persist()
     spark = df.sparkSession
     strongest = [r["feature"] for r in Z.impurity_top(model, spark, top).collect()]
