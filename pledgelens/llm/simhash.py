@@ -32,6 +32,8 @@ SEED = 42
 #: Words of a shingle, and the most bits in which linked fingerprints differ.
 SHINGLE = 3
 RADIUS = 3
+#: Most keys of leaving documents that are sent to every executor; beyond that the documents are shuffled once.
+GONE = 2_000_000
 #: Fingerprints of a block; two blocks are compared at a time.
 BLOCK = 4096
 #: Rows of a block that are compared with the other block at once.
@@ -185,18 +187,22 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
     Groups are those of ``near_duplicates``. Rows without an id go before none with one; of rows equal in id and text one stays.
     """
-    row = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.coalesce(F.col(text), F.lit("")))))
     keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), row.alias("row"))
     prints = written(fingerprints(keyed, "text", shingle), "dedup-prints")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     classes = prints.groupBy("bits").agg(F.min(order).alias("first"))
     grouped = _grouped(written(classes, "dedup-classes"), radius)
-    stay = written(grouped.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row")), "dedup-stay")
-    # A document that stays is known by its row key; copies of that row in the table are one again.
+    first = grouped.groupBy("label").agg(F.min("first").alias("kept"))
+    named = written(lookup_join(grouped, first, ["label"]).select("bits", F.col("kept.row").alias("kept")), "dedup-named")
+    # What leaves is known by its row key, 16 bytes; up to ``GONE`` keys reach the documents without a shuffle of their texts.
+    judged = lookup_join(prints.groupBy("bits", "row").agg(F.count(F.lit(1)).alias("n")), named, ["bits"])
+    judged = written(judged.select(F.col("row").alias("__row"), "n", (F.col("row") == F.col("kept")).alias("stays")), "dedup-rows")
     rows = docs.withColumn("__row", row).select("__row", F.struct(*docs.columns).alias("__doc"))
-    kept = written(lookup_join(rows, stay, ["__row"], "left_semi"), "dedup-kept")
-    again = written(kept.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__row"), "dedup-again")
+    kept = lookup_join(rows, judged.where(~F.col("stays")).select("__row"), ["__row"], "left_anti", GONE)
+    again = judged.where(F.col("stays") & (F.col("n") > 1)).select("__row")
     if again.limit(1).count():
-        once = lookup_join(kept, again, ["__row"], "left_semi").groupBy("__row").agg(F.first("__doc").alias("__doc"))
-        kept = lookup_join(kept, again, ["__row"], "left_anti").unionByName(once)
+        # Rows that stay and are repeated.
+        once = lookup_join(kept, again, ["__row"], "left_semi", GONE).groupBy("__row").agg(F.first("__doc").alias("__doc"))
+        kept = lookup_join(kept, again, ["__row"], "left_anti", GONE).unionByName(once)
     return kept.select("__doc.*")
