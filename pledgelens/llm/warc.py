@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -153,6 +154,11 @@ _INDEX_SCHEMA = pa.schema([(n, _KINDS[t]) for n, t in (x.split() for x in INDEX.
 _RECORD_SCHEMA = pa.schema([(n, _KINDS[t]) for n, t in (x.split() for x in RECORD.split(", "))])
 
 
+#: Bytes of records that a task reads, and of a stretch of an archive that is not cut.
+TASK_BYTES = 64 << 20
+STRETCH_BYTES = 4 << 20
+
+
 def ranges(rows: list[tuple[str, int, int]], gap: int = GAP_BYTES, most: int = READ_BYTES) -> Iterator[list[tuple[str, int, int]]]:
     """Runs of (archive, offset, length) in order that one read can serve."""
     run: list[tuple[str, int, int]] = []
@@ -165,6 +171,19 @@ def ranges(rows: list[tuple[str, int, int]], gap: int = GAP_BYTES, most: int = R
         yield run
 
 
+def dealt(index: DataFrame) -> DataFrame:
+    """The places of an index in reading order, dealt to tasks by the bytes of their records, not by those of the index.
+
+    A stretch of an archive stays together; there are as many tasks as ``TASK_BYTES`` of records ask for, or as cores have a megabyte each.
+    """
+    places = index.select("archive", "offset", "length")
+    whole = places.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(cores, math.ceil(whole / (1 << 20))), math.ceil(whole / TASK_BYTES))
+    stretch = F.floor(F.col("offset") / F.lit(max(1, min(STRETCH_BYTES, whole // (4 * parts)))))
+    return places.repartition(parts, F.col("archive"), stretch).sortWithinPartitions("archive", "offset")
+
+
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records that the rows of an index name, with ``payload`` (binary) if asked for."""
     schema = _RECORD_SCHEMA.append(pa.field("payload", pa.binary())) if with_payload else _RECORD_SCHEMA
@@ -185,9 +204,7 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                     rows.append(values | {"payload": payload} if with_payload else values)
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    places = index.select("archive", "offset", "length")
-    ordered = places.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return ordered.mapInArrow(read, RECORD + (", payload binary" if with_payload else ""))
+    return dealt(index).mapInArrow(read, RECORD + (", payload binary" if with_payload else ""))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

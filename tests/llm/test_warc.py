@@ -45,3 +45,16 @@ def test_ranges():
     rows = [("a", 0, 10), ("a", 10, 5), ("a", 40, 5), ("a", 200, 5), ("b", 205, 5), ("b", 210, 500), ("b", 710, 1)]
     got = list(warc.ranges(rows, gap=30, most=100))
     assert got == [rows[:3], rows[3:4], rows[4:5], rows[5:6], rows[6:]]
+
+
+def test_reading_is_dealt_by_bytes_of_records(spark):
+    """Two archives of 256 MB, in an index of a few kilobytes."""
+    rows = [(f"a{k}", i << 18, 1 << 18) for k in range(2) for i in range(1024)]
+    index = spark.createDataFrame(rows, "archive string, offset bigint, length bigint")
+    parts = {}
+    for r in warc.dealt(index).select("*", F.spark_partition_id().alias("part")).collect():
+        parts.setdefault(r.part, []).append((r.archive, r.offset, r.length))
+    assert len(parts) >= 6 and sorted(x for p in parts.values() for x in p) == sorted(rows)
+    assert max(sum(n for _, _, n in p) for p in parts.values()) <= 192 << 20
+    for p in parts.values():
+        assert p == sorted(p) and len(list(warc.ranges(p))) <= len(p) / 8
