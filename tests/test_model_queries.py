@@ -12,3 +12,8 @@ def test_queries_take_the_full_sizes(spark):
 
 def test_specifications_cover_the_features():
     assert len(modeling._SPECS) == 5 and modeling._SPECS["M_full"] == modeling.FEATURES
+
+
+def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert modeling.score_stream(spark, str(tmp_path)).count() == 200
