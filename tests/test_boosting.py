@@ -192,3 +192,28 @@ def test_zoo_scores_each_row_by_models_of_other_folds(spark, rows):
     assert table["LeafBoost"].ROC_AUC == pytest.approx(M.ranking_metrics(scored.where("model = 'LeafBoost'"), "y", "probability").first().ROC_AUC)
     curve = Z.learning_curve(df, "id", "y", ["a", "b"], zoo["LevelBoost"], sizes=[0.3, 1.0]).collect()
     assert [r.share for r in curve] == [0.3, 1.0] and curve[1].n_train == 400 and curve[0].train_mean > curve[0].validation_mean
+
+
+@pytest.mark.parametrize("rule", [B.Forest(1, 4).rules(4)[0], B.Forest(1, 10).rules(4)[0], B.Boost(1, 0.1, 31, min_rows=5)])
+def test_bits_lead_to_the_node_that_a_walk_finds(rule):
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 60, (4000, 4)).astype(np.uint8), rng.integers(0, 2, 4000)
+    job, keys = B.Job(rule, (0, 1, 2, 3), 0), np.arange(4000)
+    tree = B._grow_here(job, B.Growth(rule, 0.0), B.Block(job, x, y, np.ones(4000), np.zeros(4000), keys), 60)[0]
+
+    def walk(row):
+        at = 0
+        while tree.left[at] >= 0:
+            at = tree.left[at] if row[tree.feature[at]] <= tree.bin[at] else tree.right[at]
+        return at
+
+    nodes = [walk(row) for row in x]
+    assert len(set(nodes)) > 10
+    assert tree.reach().nodes(x.T).tolist() == nodes
+    assert np.array_equal(tree.reach().values(x.T, np.array(tree.value)), np.array(tree.value)[nodes])
+
+
+def test_draws_by_first_bits_are_those_of_the_whole_hash():
+    keys = np.arange(200_000)
+    share = B._mixed(keys.astype(np.uint64), 2 * 7) / 2.0**64
+    assert (B._DRAWS_OF < 0).sum() >= 4 and np.array_equal(B.drawn(keys, 7), np.searchsorted(B._DRAWS, share, "right"))
