@@ -170,3 +170,30 @@ def test_spread_deals_small_tables_to_all_cores(spark, tmp_path):
     dealt = A.spread(df, "id").groupBy(F.spark_partition_id()).count().collect()
     assert len(dealt) == spark.sparkContext.defaultParallelism and sum(r["count"] for r in dealt) == 1000
     assert A.spread(df, "id", bytes_per_task=1) is df
+
+
+def test_tidy_links_are_their_own_normal_form(spark):
+    urls = ["https://a.b/c/d.png?x=1&y=%20#z", "http://a-b.c", "https://a.b/", "https://a.b/c/../d", "https://a.b/.x", "https://A.b/c", "http://a.b:80/c",
+            "https://a.b/ш", "https://a.b/c\\d", "https://a.b/c`d", "https://a.b?q", "https://a.b/c\n", "https://a.b/c//d/", "https://u@a.b/c"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    long_way = U.bind(U.bind(U.bind(F.col("u"), U._split_url), U._tidy_path), U._join_url)
+    rows = df.select("u", F.col("u").rlike(U._TIDY).alias("tidy"), long_way.alias("made")).collect()
+    assert all(r.made == r.u for r in rows if r.tidy) and [r.u for r in rows if r.tidy] == [urls[0], urls[2], urls[12]]
+
+
+def test_tags_of_a_broken_page_are_read_as_before(spark):
+    page = ('<title>t</title><META name="description" content="d"><a <img src="/1.png" <a href="/x">y</a><p <iframe src="https://youtu.be/1">'
+            '<metadata name="description" content="no"><source\nsrc="/2.mp4"/><a href="/z"')
+    r = B.page_meta(spark.createDataFrame([(page, "https://e.com/p")], "html string, url string"), "html", "url").first()
+    assert r.meta.description == "d" and r.domImages == ["https://e.com/1.png"] and r.anchorLinks == ["https://e.com/x", "https://e.com/z"]
+    assert r.domVideos == ["https://e.com/2.mp4", "https://youtu.be/1"]
+
+
+def test_pages_are_dealt_after_a_join_of_large_tables(spark):
+    from pledgelens.catalog import pages as queries
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert queries.state_pages(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
