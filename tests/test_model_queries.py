@@ -17,3 +17,7 @@ def test_specifications_cover_the_features():
 def test_stream_reads_a_table_of_many_files(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     assert modeling.score_stream(spark, str(tmp_path)).count() == 200
+
+
+def test_model_rows_are_dealt_to_all_cores(spark):
+    assert modeling.model_table(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
