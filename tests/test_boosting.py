@@ -217,3 +217,33 @@ def test_draws_by_first_bits_are_those_of_the_whole_hash():
     keys = np.arange(200_000)
     share = B._mixed(keys.astype(np.uint64), 2 * 7) / 2.0**64
     assert (B._DRAWS_OF < 0).sum() >= 4 and np.array_equal(B.drawn(keys, 7), np.searchsorted(B._DRAWS, share, "right"))
+
+
+@pytest.mark.parametrize("cells", [1, 16, 512])
+def test_cells_of_leaves_give_what_each_row_gives(spark, rows, monkeypatch, cells):
+    """Contributions and background patterns looked up by cell equal those worked out row by row, with and without leaves beyond the limit."""
+    rng = np.random.default_rng(5)
+    leaves = []
+    for _ in range(40):
+        f = np.sort(rng.choice(4, rng.integers(0, 5), replace=False))
+        low, high = np.sort(rng.integers(-3, 4, (2, len(f))), axis=0).astype(float)
+        high[rng.random(len(f)) < 0.3] = np.inf
+        low[rng.random(len(f)) < 0.3] = -np.inf
+        leaves.append(X.Leaf(float(rng.normal()), f, low, high, rng.random(len(f)), 0.1))
+    x, base = rng.integers(-4, 5, (500, 4)).astype(float), rng.integers(-4, 5, (300, 4)).astype(float)
+    monkeypatch.setattr(X, "CELLS", cells)
+    names = list("abcd")
+    patterns, n = X.leaf_patterns(leaves, spark.createDataFrame(base.tolist(), "a double, b double, c double, d double").repartition(3), names)
+    assert n == 300
+    for leaf, (bits, share) in zip(leaves, patterns, strict=True):
+        want, count = np.unique(X._bits(leaf, base), return_counts=True)
+        assert np.array_equal(bits, want) and np.allclose(share, count / 300)
+    calls = []
+    path = X._path_dependent
+    monkeypatch.setattr(X, "_path_dependent", lambda leaves, x: calls.append(len(x)) or path(leaves, x))
+    tables = X.contribution_tables(leaves, None, 4)
+    calls.clear()
+    assert np.allclose(tables.of(x), path(leaves, x))
+    if cells == 512:
+        assert not calls  # no row is worked out by itself
+    assert np.allclose(X.contribution_tables(leaves, patterns, 4).of(x), X._interventional(leaves, patterns, x))
