@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.lexicons import WESTERN
 from ..operators import features as E
 from ..operators import lemmas as LM
+from ..operators.stored import stored
 from .base import query, r6, sql_words, table
 
 P = WESTERN
@@ -74,8 +75,14 @@ seen AS (SELECT DISTINCT lower(token) AS form FROM toks),
 forms AS (SELECT s.form, b.form AS lemma FROM seen s JOIN seen b ON s.form = b.form || 's')"""
 
 
-def corpus_forms(documents):
-    seen = (documents.select(F.explode(T.tokenize(F.lower("text"), P.token_pattern)).alias("form")).distinct())
+def corpus_seen(documents):
+    """The distinct lower-case forms of the corpus; stored, as every table of forms is made of them."""
+    tokens = T.tokenize(F.lower("text"), P.token_pattern)
+    return stored(documents.select(F.explode(F.array_distinct(tokens)).alias("form")).distinct(), "seen-forms")
+
+
+def corpus_forms(documents, seen=None):
+    seen = corpus_seen(documents) if seen is None else seen
     base = seen.select(F.col("form").alias("lemma"), F.concat("form", F.lit("s")).alias("form"))
     return base.join(seen, "form", "left_semi").select("form", "lemma")
 
@@ -106,11 +113,11 @@ rules AS (
 _ENTRIES_SQL = _ENTRIES_SQL.replace("{longest}", str(LM.LONGEST)).replace("{least}", str(LM.LEAST))
 
 
-def corpus_entries(documents):
-    forms = corpus_forms(documents)
-    seen = documents.select(F.explode(T.tokenize(F.lower("text"), P.token_pattern)).alias("form")).distinct()
+def corpus_entries(documents, seen=None):
+    seen = corpus_seen(documents) if seen is None else seen
+    forms = corpus_forms(documents, seen)
     own = seen.where(F.col("form").endswith("s") & (F.length("form") >= 4)).join(forms, "form", "left_anti")
-    return forms.unionByName(own.select("form", F.col("form").alias("lemma")))
+    return stored(forms.unionByName(own.select("form", F.col("form").alias("lemma"))), "form-entries")
 
 
 @query("lemma_rules", f"""WITH {_ENTRIES_SQL} SELECT ending, strip::INT AS strip, add, n, round(share, 6) + 0.0 AS share FROM rules""")
@@ -129,8 +136,8 @@ FROM (SELECT form FROM seen WHERE form NOT IN (SELECT form FROM entries)) LEFT J
 def predict_lemmas(spark, sf):
     """Every form of the corpus with its lemma: from the table, else by rule."""
     docs = table(spark, sf, "documents")
-    words = docs.select(F.explode(T.tokenize(F.lower("text"), P.token_pattern)).alias("form"))
-    return LM.complete_forms(words, corpus_entries(docs))
+    seen = corpus_seen(docs)
+    return LM.complete_forms(seen, corpus_entries(docs, seen))
 
 
 @query("lemma_rule_accuracy")

@@ -76,3 +76,11 @@ def test_held_out_accuracy(spark):
     forms = spark.createDataFrame(entries(3000, 3), "form string, lemma string")
     r = L.rule_accuracy(forms).first()
     assert r.n > 400 and r.accuracy == r.correct / r.n and r.accuracy > 0.9 > r.unchanged / r.n
+
+
+@pytest.mark.parametrize("name", ["lemma_rules", "predict_lemmas", "lemma_rule_accuracy"])
+def test_texts_are_cut_into_forms_once(spark, name):
+    """What follows the distinct forms reads them from their table, not from the documents again."""
+    from pledgelens.catalog import all_queries
+
+    assert not [f for f in all_queries()[name](spark, "/root/testdata/sf0.001").inputFiles() if "documents" in f]
