@@ -291,3 +291,21 @@ def test_lasso_keeps_the_features_that_matter(spark, data):
     best, kept = J.lasso_logit_cv(df, ["a", "b", "c"], "y", "id")
     assert best > 1e-3 and [r.feature for r in kept.collect()][:2] == ["a", "b"]
     assert J.lasso_logit_cv(df.where("y = 1"), ["a"], "y", "id")[0] is None
+
+
+def test_terms_are_made_once(spark):
+    """TF-IDF, its scaling and the ranking of words make each document's terms once; missing terms are no terms."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def terms(text):
+        made.add(1)
+        return [None if w == "-" else w for w in text.split()]
+
+    docs = spark.createDataFrame([(i, "aa bb - cc " * (i % 3 + 1)) for i in range(40)], "doc_id long, text string")
+    scaled = W.max_abs_scale(W.tfidf(docs.select("doc_id", terms.asNondeterministic()("text").alias("terms")), "doc_id", longest=1))
+    assert scaled.count() == 120 and made.value == 40
+    coef = scaled.select("term").distinct().select("term", F.lit(1.0).alias("coef"))
+    assert X.top_signed(X.sparse_linear_ranking(scaled, coef, 40).select("term", "coef"), 2).count() == 4 and made.value == 40
+    bags = W.term_rows(spark.createDataFrame([(1, ["b", None, "a", "b", None]), (2, []), (3, [None])], "doc_id long, terms array<string>"), "doc_id")
+    assert sorted(map(tuple, bags.collect())) == [(1, "a", 1), (1, "b", 2)]
