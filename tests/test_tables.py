@@ -181,3 +181,24 @@ def test_rank_test_is_exact_for_small_untied_samples_only(spark):
     assert r.mw_p == pytest.approx(math.erfc(abs(r.mw_z) / math.sqrt(2)))
     table = {r.feature: r.mw_p for r in K.test_table(df, ["a", "b"], "y").collect()}
     assert table == pytest.approx({f: got[f].mw_p for f in "ab"})
+
+
+def test_pairs_of_one_column_with_gaps_need_no_joint_counts(spark, monkeypatch):
+    """Pairs with one incomplete column are ranked over its rows together; joint values are counted for pairs of two such columns only."""
+    rng = np.random.default_rng(3)
+    data = {c: rng.integers(0, 6, 400).astype(float) for c in "abcde"}
+    data["d"][rng.random(400) < 0.3] = np.nan
+    data["e"][:] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in zip(*data.values())], "a double, b double, c double, d double, e double")
+    asked = []
+    cells = H._pair_cells
+    monkeypatch.setattr(H, "_pair_cells", lambda wide, pairs: asked.extend(pairs) or cells(wide, pairs))
+    got = {(r.a, r.b): r.r for r in H.spearman_pairs(df, [("a", "b"), ("a", "d"), ("d", "c"), ("a", "e"), ("d", "e")]).collect()}
+    assert asked == [("d", "e")] and set(got) == {("a", "b"), ("a", "d"), ("d", "c")}
+
+    def ranks(x):
+        return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+
+    for (a, b), r in got.items():
+        both = ~np.isnan(data[a]) & ~np.isnan(data[b])
+        assert r == pytest.approx(np.corrcoef(ranks(data[a][both]), ranks(data[b][both]))[0, 1], abs=1e-12)
