@@ -12,6 +12,7 @@ from pledgelens.operators import metrics as M
 from pledgelens.operators import models as Z
 from pledgelens.operators import regress as J
 from pledgelens.operators import terms as W
+from pledgelens.operators import topics as T
 from pledgelens.operators.scaling import Scaler
 from pledgelens.streaming import score as S
 
@@ -244,6 +245,56 @@ def test_topics(spark):
         W.TopicTransformer().transform(df)
 
 
+def topic_corpus(spark):
+    """60 documents of two kinds with 400 terms, an empty one, one with unknown terms and one without a list."""
+    kinds = [[f"{kind}{i}" for i in range(200)] for kind in "ab"]
+    docs = [(i, [kinds[i % 2][(i * 7 + j * j) % 200] for j in range(30 + i)]) for i in range(60)]
+    return spark.createDataFrame([*docs, (97, ["new", "newer"]), (98, []), (99, None)], "id int, terms array<string>")
+
+
+def test_topics_hold_bounded_values_on_the_driver(spark, monkeypatch):
+    df = topic_corpus(spark)
+    fitted = {}
+    for values in (T.FREQUENT_VALUES, 60):
+        monkeypatch.setattr(T, "FREQUENT_VALUES", values)
+        model = W.TopicTransformer(k=2, passes=2, no_above=1.0).fit(df)
+        assert model.model.hot.size <= max(values, 2) and model.vocabulary().count() > 200
+        shares = {r.id: (r.lda_topic_0, r.lda_topic_1) for r in model.transform(df).collect()}
+        fitted[values] = shares, [tuple(r) for r in model.top_terms(5).orderBy("topic", "rank").collect()]
+    (whole, tops), *others = fitted.values()
+    assert len(whole) == 63 and whole[97] == whole[98] == whole[99] == (0.5, 0.5) and len({round(a, 3) for a, _ in whole.values()}) > 2
+    for shares, own in others:
+        assert all(shares[i] == pytest.approx(whole[i], abs=1e-6) for i in whole)
+        assert [r[:3] for r in own] == [r[:3] for r in tops]
+        assert [r[3] for r in own] == pytest.approx([r[3] for r in tops])
+
+
+def test_topic_counts_share_draws_and_terms(spark, monkeypatch):
+    monkeypatch.setattr(T, "FREQUENT_VALUES", 100)
+    df = topic_corpus(spark)
+    model = W.TopicTransformer(passes=1).fit_many(df, [2, 3])
+    assert model.hot.shape == (20, 5) and model.cold.count() + 20 == model.vocabulary.count()
+    assert [model.top_terms(place, 4).count() for place in (0, 1)] == [8, 12]
+    best, tried = W.select_k_by_coherence(df, "id", ks=range(2, 4), n_top=4, passes=1)
+    assert [r.k for r in tried.collect()] == [2, 3] and best in (2, 3)
+    assert all(r.coherence <= 0.7 for r in tried.collect())
+
+
+def test_inference_is_the_plain_loop():
+    draw = np.random.default_rng(3)
+    lengths, alpha = np.array([1, 40, 7, 300]), np.array([0.2, 0.3, 0.5])
+    beta = np.exp(draw.normal(-6, 1.5, (lengths.sum(), 3)))
+    weights = lambda g: np.exp(T.digamma(g) - T.digamma(g.sum()))
+    for part, got in zip(np.split(beta, np.cumsum(lengths)[:-1]), T.infer(beta.T.copy(), lengths, alpha)):
+        gamma, last = np.ones(3), np.full(3, np.inf)
+        while np.abs(gamma - last).mean() > 1e-3:
+            last, theta = gamma, weights(gamma)
+            gamma = theta * (part / (part @ theta + 1e-100)[:, None]).sum(0) + alpha
+        assert got == pytest.approx(gamma)
+    assert T.digamma(np.array([1.0, 0.5])) == pytest.approx([-0.5772156649, -1.9635100260])
+    assert T.trigamma(np.array([1.0, 0.5])) == pytest.approx([np.pi**2 / 6, np.pi**2 / 2])
+
+
 def test_sparse_ranking_equals_dense(spark):
     dense = {0: {"u": 1.0, "v": 0.0}, 1: {"u": 0.0, "v": 0.5}, 2: {"u": 0.2, "v": 0.0}}
     coef = {"u": 2.0, "v": -1.0}
