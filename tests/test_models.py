@@ -88,6 +88,23 @@ def test_tobit_is_a_maximum(spark, data):
     assert fit.beta == pytest.approx([0.5, 1.0, 0.0], abs=0.2)
 
 
+def test_staged_specifications_share_their_passes(spark, data, monkeypatch):
+    """All fits of all specifications take one pass at a time together; a weight without a maximum ends with the gains."""
+    from pledgelens.operators import gram as G
+
+    df, _, _, amount = data
+    passes, plain = [], G.summed
+    monkeypatch.setattr(G, "summed", lambda *a: passes.append(1) or plain(*a))
+    rows = df.withColumn("some", (F.col("amount") > 0).cast("int"))
+    specs = {"M0": ["a"], "M1": ["b"], "M_full": ["a", "b", "some"]}
+    out = {r.label: r for r in J.staged_specs(rows, "id", "y", "amount", "tobit", specs=specs, with_lasso=False)["tobit"].collect()}
+    assert len(passes) < 45 and all(r.converged for r in out.values())
+    for name, features in list(specs.items())[:2]:
+        m, names = C.design_matrix(df, features, ["amount"])
+        assert out[name].llf == pytest.approx(J.tobit(m, names, "amount").stats["llf"], rel=1e-12)
+    assert out["M_full"].n_censored == (amount <= 0).sum()
+
+
 def test_staged_and_lasso(spark, data):
     df, *_ = data
     out = J.staged_specs(df, "id", "y", "amount", specs={"M0": ["a"], "M_full": ["a", "b", "c"]}, with_lasso=False)
