@@ -354,6 +354,22 @@ def test_lasso_paths_meet_the_conditions_of_the_minimum(spark, data):
     assert not weights[0, 1:].any() and weights[-1, 1:].all()
 
 
+def test_l1_direction_is_the_minimum_for_features_that_add_up_to_each_other():
+    """The fourth feature is the mean of the first two, as averaged scores are; steps by coordinates never got there."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 3))
+    x = np.column_stack([np.ones(500), x, (x[:, 0] + x[:, 1]) / 2])
+    hessian, gradient = x.T @ x, x.T @ rng.normal(size=500) * 10
+    for penalty in (1e-4, 1.0, 50.0, 1e5):
+        costs = np.array([0.0, *[penalty] * 4])
+        w = np.array([0.1, 0.5, 0.0, -0.2, 0.3])
+        v = w + J._l1_direction(w, gradient, hessian, costs)
+        slope = gradient + hessian @ (v - w)
+        scale = np.abs(gradient).max()
+        for s, value, cost in zip(slope, v, costs):
+            assert s == pytest.approx(-math.copysign(cost, value), abs=1e-6 * scale) if value else abs(s) <= cost + 1e-6 * scale
+
+
 def test_lasso_keeps_the_features_that_matter(spark, data):
     df, *_ = data
     best, kept = J.lasso_logit_cv(df, ["a", "b", "c"], "y", "id")
