@@ -247,3 +247,31 @@ def test_cells_of_leaves_give_what_each_row_gives(spark, rows, monkeypatch, cell
     if cells == 512:
         assert not calls  # no row is worked out by itself
     assert np.allclose(X.contribution_tables(leaves, patterns, 4).of(x), X._interventional(leaves, patterns, x))
+
+
+def test_logits_of_all_folds_share_their_passes_and_equal_spark(spark, monkeypatch):
+    """Each fold's logit is the one that Spark fits to the fold's training rows; all take one pass at a time together."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from pledgelens.operators import columns as C
+    from pledgelens.operators import regress as J
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3)) * [1.0, 50.0, 0.02] + [0.0, 1000.0, 0.0]
+    y = (rng.random(300) < 1 / (1 + np.exp(-x[:, 0] - (x[:, 1] - 1000) / 80))).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(t), "uvw"[i % 3]) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, y int, tag string")
+    passes, plain = [], J.summed
+    monkeypatch.setattr(J, "summed", lambda *a: passes.append(1) or plain(*a))
+    rule = Z.model_zoo()["LogReg_L1"]
+    entries = [Z.Entry({"set": "all"}, ["a", "b", "c"], rule, "tag"), Z.Entry({"set": "two"}, ["a", "c"], rule)]
+    got = {(r["set"], r.id): r for r in Z.oof_many(df, "id", "y", entries, k=3).collect()}
+    assert len(passes) < 25 and len(got) == 600
+    folds = spark.createDataFrame([(r.id, r.fold) for (s, _), r in got.items() if s == "all"], "id long, fold int")
+    data = C.one_hot(df.join(folds, "id"), "tag")
+    for name, features in (("all", ["a", "b", "c", "cat_v", "cat_w"]), ("two", ["a", "c"])):
+        rows = VectorAssembler(inputCols=features, outputCol="x").transform(data)
+        train = C.balanced_weights(rows.where("fold <> 1"), "y", "w")
+        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", elasticNetParam=1.0, regParam=1.0 / train.count(), maxIter=1000, tol=1e-12).fit(train)
+        for r in model.transform(rows.where("fold = 1")).collect():
+            assert got[name, r.id].probability == pytest.approx(r.probability[1], abs=2e-4)
