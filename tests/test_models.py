@@ -393,3 +393,28 @@ def test_terms_are_made_once(spark):
     assert X.top_signed(X.sparse_linear_ranking(scaled, coef, 40).select("term", "coef"), 2).count() == 4 and made.value == 40
     bags = W.term_rows(spark.createDataFrame([(1, ["b", None, "a", "b", None]), (2, []), (3, [None])], "doc_id long, terms array<string>"), "doc_id")
     assert sorted(map(tuple, bags.collect())) == [(1, "a", 1), (1, "b", 2)]
+
+
+def test_word_report_fits_both_models(spark):
+    """Coefficients meet the conditions of the L1 minimum; trees and logit both find the word that tells the classes."""
+    docs = [(i, ["good"] * (i % 2) + ["plain"] * (1 + i % 3) + ["other"] * (i % 5 == 0)) for i in range(120)]
+    df = spark.createDataFrame([(i, t, int((i % 2 == 1) ^ (i % 11 == 0))) for i, t in docs], "doc_id long, terms array<string>, y int")
+    weights = W.max_abs_scale(W.tfidf(df.select("doc_id", "terms"), "doc_id", longest=1))
+    linear, boosted = X.word_rankings(weights, df.select("doc_id", "y"), "doc_id", "y", rounds=20)
+    report = {r.word: r for r in X.word_report(linear, boosted).collect()}
+    assert set(report) == {"good", "plain", "other"} and all(v is not None for r in report.values() for v in r)
+    assert report["good"].logreg_coef > 1 and max(report.values(), key=lambda r: r.shap_boost_mean_abs).word == "good"
+    x, y = np.zeros((120, 3)), np.array([r.y for r in df.orderBy("doc_id").collect()])
+    terms = sorted(report)
+    for r in weights.collect():
+        x[r.doc_id, terms.index(r.term)] = r.scaled
+    w = np.array([report[t].logreg_coef for t in terms])
+    each = np.where(y == 1, 60 / y.sum(), 60 / (120 - y.sum()))
+    # The free constant: where its gradient is 0.
+    low, high = -50.0, 50.0
+    for _ in range(200):
+        b = (low + high) / 2
+        low, high = (low, b) if (each * (1 / (1 + np.exp(-b - x @ w)) - y)).sum() > 0 else (b, high)
+    gradient = x.T @ (each * (1 / (1 + np.exp(-b - x @ w)) - y))
+    for g, v in zip(gradient, w):
+        assert g == pytest.approx(-math.copysign(1.0, v), abs=1e-3) if v else abs(g) <= 1.001
