@@ -275,3 +275,21 @@ def test_logits_of_all_folds_share_their_passes_and_equal_spark(spark, monkeypat
         model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", elasticNetParam=1.0, regParam=1.0 / train.count(), maxIter=1000, tol=1e-12).fit(train)
         for r in model.transform(rows.where("fold = 1")).collect():
             assert got[name, r.id].probability == pytest.approx(r.probability[1], abs=2e-4)
+
+
+@pytest.mark.parametrize("depth", [2, 9])
+def test_response_of_a_forest_from_leaf_counts_is_the_mean_of_all_scores(spark, depth):
+    """One pass over the rows gives what scoring every row at every grid value gives, also for trees of more leaves than a word has bits."""
+    rng = np.random.default_rng(depth)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, y int")
+    fitted = Z.fit(df, ["a", "b", "c"], "y", (B.Forest(7, depth, 1), True))
+    grid = [-9.0, -0.5, 0.0, 0.25, 9.0]
+    want = {r.grid: r.m for r in Z.ice_curves(fitted, df, "id", "b", grid).groupBy("grid").agg(F.avg("probability").alias("m")).collect()}
+    leaves = B.FreeFeature(fitted.model, 1)
+    got = Z.partial_dependence(fitted, df, "b", grid).collect()
+    assert [r.grid for r in got] == grid and {r.feature for r in got} == {"b"}
+    for r in got:
+        assert r.mean_probability == pytest.approx(want[r.grid], abs=1e-12)
+    assert len(leaves.values) % 64 == 0 and leaves.counts(x).max() <= 400
