@@ -293,3 +293,24 @@ def test_response_of_a_forest_from_leaf_counts_is_the_mean_of_all_scores(spark,
     for r in got:
         assert r.mean_probability == pytest.approx(want[r.grid], abs=1e-12)
     assert len(leaves.values) % 64 == 0 and leaves.counts(x).max() <= 400
+
+
+@pytest.mark.parametrize("piece", [1, 30_000])
+def test_pieces_of_histograms_give_the_trees_of_whole_ones(spark, rows, monkeypatch, piece):
+    """Pieces of one feature and one node, or of all features and some nodes: the same trees, and few groups where pieces are small."""
+    df, *_ = rows
+    features = [c for c in df.columns if c not in ("id", "y")]
+    whole = B.fit_many(df, "y", {"all": F.lit(1.0)}, [(B.leaf_wise(3), features, "all"), (B.Forest(3, 4, 1), features, "all")])
+    monkeypatch.setattr(B, "PIECE_BYTES", piece)
+    parted = B.fit_many(df, "y", {"all": F.lit(1.0)}, [(B.leaf_wise(3), features, "all"), (B.Forest(3, 4, 1), features, "all")], local_bytes=0)
+    for a, b in zip(whole, parted):
+        for s, t in zip(a.trees, b.trees):
+            assert all(np.allclose(u, v) for u, v in zip(s, t))
+    assert B._pieces(5, 64) == ((5, 3) if piece == 30_000 else (1, 1))
+
+
+def test_bytes_of_a_slice_are_those_of_its_values():
+    for kind in ("binary", "large_binary"):
+        column = B.pa.array([b"abc", b"def", b"", b"ghi", b"jkl"], kind)
+        for start, n in ((0, 5), (1, 3), (4, 1), (2, 1), (3, 0)):
+            assert B._bytes(column.slice(start, n), n).tobytes() == b"".join(column.slice(start, n).to_pylist())
